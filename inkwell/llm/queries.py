@@ -10,6 +10,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.arc import archive_pages, read_archives
+
+    back = read_archives(archive_pages(table(spark, sf_dir, "pages")))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkwell.llm.mixing import mix
 
@@ -44,4 +51,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op4_mixing, op6_line_rules, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_warc, op4_mixing, op6_line_rules, op10_token_files)}
