@@ -39,6 +39,15 @@ def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.brown_lm import score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
+    scored = score(docs, docs.where(~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -51,4 +60,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op4_mixing, op6_line_rules, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_warc, op4_mixing, op6_line_rules, op9_brown_lm, op10_token_files)}
