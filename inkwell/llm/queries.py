@@ -27,6 +27,18 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.line_crf import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    scored = score(docs, fit(docs.where(~held_out), labels))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkwell.llm.line_rules import clean
 
@@ -60,4 +72,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op4_mixing, op6_line_rules, op9_brown_lm, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_warc, op4_mixing, op5_line_crf, op6_line_rules, op9_brown_lm, op10_token_files)}
