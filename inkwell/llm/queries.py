@@ -17,6 +17,19 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from inkwell.llm.piece_index import encode
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = encode(docs, public_tokenizers.path("piece_bpe_32k.model"), with_decoded=True, packed=True)
+    return coded.select(
+        "doc_id", F.col("n_pieces").cast("long").alias("n_pieces"), F.crc32("piece_ids").alias("ids_crc32"),
+        F.col("piece_text").eqNullSafe(F.col("text")).alias("same_text"),
+    )
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkwell.llm.mixing import mix
 
@@ -72,4 +85,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op4_mixing, op5_line_crf, op6_line_rules, op9_brown_lm, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_warc, op3_sentencepiece, op4_mixing, op5_line_crf, op6_line_rules, op9_brown_lm, op10_token_files)}
