@@ -64,6 +64,12 @@ def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.chosen_path import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=80)
+
+
 def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkwell.llm.brown_lm import score
 
@@ -85,4 +91,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_sentencepiece, op4_mixing, op5_line_crf, op6_line_rules, op9_brown_lm, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_warc, op3_sentencepiece, op4_mixing, op5_line_crf, op6_line_rules, op8_chosen_path, op9_brown_lm, op10_token_files)}
