@@ -64,6 +64,13 @@ def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.suffix_dedup import remove_repeats
+
+    cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkwell.llm.chosen_path import near_duplicates
 
@@ -91,4 +98,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_sentencepiece, op4_mixing, op5_line_crf, op6_line_rules, op8_chosen_path, op9_brown_lm, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_warc, op3_sentencepiece, op4_mixing, op5_line_crf, op6_line_rules, op7_suffix_dedup, op8_chosen_path, op9_brown_lm, op10_token_files)}
