@@ -17,6 +17,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.multi_index import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -98,4 +104,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_sentencepiece, op4_mixing, op5_line_crf, op6_line_rules, op7_suffix_dedup, op8_chosen_path, op9_brown_lm, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_multi_index, op3_sentencepiece, op4_mixing, op5_line_crf, op6_line_rules, op7_suffix_dedup, op8_chosen_path, op9_brown_lm, op10_token_files)}
