@@ -1,4 +1,82 @@
-"""placeholder"""
+"""The corpus pipeline: quality rules, near-dedup, passage dedup, mixing, tokens.
+
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last give the columns of
+documents. Every stage works on all rows that its predecessor kept.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkwell.llm.chosen_path import near_duplicates
+from inkwell.llm.common import staged
+from inkwell.llm.line_rules import passed
+from inkwell.llm.mixing import mix, repeated
+from inkwell.llm.piece_index import encode
+from inkwell.llm.suffix_dedup import remove_repeats
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _with_length(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass, without the lines that failed. Empty and null texts fail."""
+    return _with_length(passed(docs.select(COLUMNS)))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five words, 0.8) the document of the smallest id. Of rows that
+    repeat an id, one of those with the smallest text stays; rows without an id all stay."""
+    found = staged(near_duplicates(docs.select("doc_id", "text"), words=5, percent=80), "near-dedup")
+    gone = found.where("NOT kept").select("doc_id").distinct()
+    kept = docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
+    twice = found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    if twice.isEmpty():
+        return kept
+    some = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
+    return kept.join(twice, "doc_id", "left_anti").unionByName(some.select("doc_id", "row.*"))
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 bytes or more that an earlier document holds are cut; a document of which no
+    word is left goes."""
+    cut = remove_repeats(docs.select(COLUMNS))
+    return _with_length(cut).where(F.length(F.trim(F.translate("text", "\t\n\x0b\x0c\r", ""))) > 0)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them: whole copies, the fractional one by a seeded draw."""
+    return repeated(mix(docs.select(COLUMNS))).select(COLUMNS)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every row, with the columns of documents but the text."""
+    coded = encode(docs.select(COLUMNS), public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", "lang", "source", "n_chars", "n_pieces", "piece_ids")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_dedup),
+    ("suffix-array dedup", suffix_dedup),
+    ("mixing sources to target weights", mixing),
+    ("SentencePiece encoding and decoding", sentencepiece),
+]
+
+#: Suffix sorting and the pieces' merges are beyond SQL; tests/llm holds brute-force versions.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the table documents; each stage's rows are written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for number, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if number + 1 < len(STAGES):
+            docs = staged(docs, f"pipeline-{number}")
+    return docs

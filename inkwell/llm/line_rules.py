@@ -93,3 +93,15 @@ def clean(docs: DataFrame, text: str = "text") -> DataFrame:
     failed = (F.col("q_n_words") < MIN_WORDS) | (F.lit(100) * F.col("q_n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("q_n_words"))
     lost = F.lit(100) * (F.col("q_word_chars") - F.col("q_kept_chars")) > F.lit(MAX_LOST_PERCENT) * F.col("q_word_chars")
     return df.withColumn("q_base_failed", failed).withColumn("q_kept", ~failed & ~lost).drop("q_text")
+
+
+def passed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows that are kept, with their cleaned text; the columns stay as they are.
+
+    The verdict is applied by a generator: a plain filter would be pushed down through the
+    projections, and every array of words would be built again for each of its elements.
+    """
+    cleaned = clean(docs, text)
+    kept = F.explode(F.when(F.col("q_kept"), F.array("q_clean")).otherwise(F.array().cast("array<string>")))
+    out = cleaned.select(*[F.col(f"`{c}`") for c in docs.columns if c != text], kept.alias(text))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
