@@ -1,4 +1,6 @@
 """All queries over the given tables, with their DuckDB twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from inkwell.plans import corpus, curation, graphs, people, search, star, structure  # noqa: F401
+from inkwell.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
