@@ -61,20 +61,21 @@ def _count_words(batches):
         for data in batch.column(0):
             found.update(tokens_of(data.as_py()))
         found[END] += batch.num_rows
-        if len(found) > 1_000_000:
+        if len(found) > 250_000:
             yield from out()
     yield from out()
 
 
 class Vocabulary:
-    """The frequent words with their counts and classes, as every task holds them."""
+    """The frequent words, as every task holds them: one joined string, and one dict in a worker."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray):
-        self.words, self.counts, self.key = words, counts, uuid.uuid4().hex
+    def __init__(self, words: list[bytes]):
+        self.words, self.key = END.join(words), uuid.uuid4().hex
 
     def index(self) -> dict[bytes, int]:
         if _worker.get("key") != self.key:
-            _worker.update(key=self.key, index={w: i for i, w in enumerate(self.words)})
+            _worker.clear()
+            _worker.update(index={w: i for i, w in enumerate(self.words.split(END))} if self.words else {}, key=self.key)
         return _worker["index"]
 
 
@@ -98,7 +99,7 @@ def _sequence(texts: list[bytes], index: dict[bytes, int], classes: np.ndarray):
     return ids, kinds, ends, rare, words
 
 
-def _slices(batch: pa.RecordBatch, column: int, most: int = 2_000_000):
+def _slices(batch: pa.RecordBatch, column: int, most: int = 1_000_000):
     """Rows of a batch in runs of about `most` bytes: (first, end)."""
     sizes = np.array([len(x) for x in batch.column(column).to_pylist()], np.int64)
     total, at = np.cumsum(sizes), 0
@@ -125,7 +126,8 @@ def context_counts(texts: DataFrame, shared, with_words: bool) -> DataFrame:
         vocabulary, classes = shared.value
         index = vocabulary.index()
         size = len(classes) * K
-        near = np.zeros(2 * size if with_words else 0, np.uint32)
+        near = np.zeros(2 * size if with_words else 0, np.uint16)  # full cells move to `spill`
+        spill: list[np.ndarray] = []
         steps = np.zeros(K * K, np.int64)
         for batch in batches:
             for a, b in _slices(batch, 0):
@@ -137,11 +139,19 @@ def context_counts(texts: DataFrame, shared, with_words: bool) -> DataFrame:
                     known = np.flatnonzero(ids >= 0)
                     for side, other in enumerate((before, after)):
                         cells, n = np.unique(ids[known] * K + other[known], return_counts=True)
-                        near[side * size + cells] += n.astype(np.uint32)
+                        full = near[side * size + cells] + n
+                        over = full > 60_000
+                        spill.append(np.stack([side * size + cells[over], full[over]]))
+                        near[side * size + cells] = np.where(over, 0, full)
         at = TaskContext.get().partitionId() % 64
+        extra = np.concatenate(spill, 1) if spill else np.zeros((2, 0), np.int64)
         rows = [(-1, at, _packed(np.arange(K * K, dtype="<u4")), _packed(steps.astype("<i8")))]
         for first in range(0, len(classes) if with_words else 0, SPAN):
-            both = np.concatenate([near[s * size + first * K : s * size + min((first + SPAN) * K, size)] for s in (0, 1)])
+            here = slice(first * K, min((first + SPAN) * K, size))
+            both = np.concatenate([near[s * size + here.start : s * size + here.stop] for s in (0, 1)]).astype(np.int64)
+            for s in (0, 1):
+                own = extra[:, (extra[0] >= s * size + here.start) & (extra[0] < s * size + here.stop)]
+                np.add.at(both, own[0] - s * size - here.start + s * (here.stop - here.start), own[1])
             cells = np.flatnonzero(both)
             rows.append((first // SPAN, at, _packed(cells.astype("<u4")), _packed(both[cells].astype("<i8"))))
         yield pa.RecordBatch.from_arrays(
@@ -219,7 +229,7 @@ def score(docs: DataFrame, training: DataFrame, frequent: int = FREQUENT, rounds
     n_end = words.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     top_words = [bytes(w) for w in top["word"]]
     counts = top["n"].to_numpy(np.int64)
-    vocabulary = Vocabulary(top_words, counts)
+    vocabulary = Vocabulary(top_words)
 
     # seeds: the most frequent words, one class each; all others wait in the first rare class
     classes = np.full(len(top_words), CLASSES, np.int16)
@@ -227,6 +237,7 @@ def score(docs: DataFrame, training: DataFrame, frequent: int = FREQUENT, rounds
     for _ in range(rounds if len(top_words) else 0):
         shared = spark.sparkContext.broadcast((vocabulary, classes))
         contexts = staged(context_counts(texts, shared, True), "contexts")
+        shared.destroy()
         classes = exchange(contexts, _transitions(contexts), len(top_words), classes)
     shared = spark.sparkContext.broadcast((vocabulary, classes))
     steps = _transitions(staged(context_counts(texts, shared, False), "transitions"))
