@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -63,3 +66,40 @@ def fused(lists: list[DataFrame], key: str, k: int = 60) -> DataFrame:
     for other in lists[1:]:
         union = union.unionByName(other.select("qid", key, "rank"))
     return union.groupBy("qid", key).agg(F.sum(F.lit(1.0) / (F.lit(float(k)) + F.col("rank"))).alias("rrf"))
+
+
+def diversified(candidates: DataFrame, k: int, cap: int, buckets: list[str], ratio: float = 0.5) -> DataFrame:
+    """(qid, key, pick): results picked from the buckets in turn, at most `cap` of a source, each context
+    once; then the rest by score. candidates: qid, key, bucket, source, context, score — a bounded list
+    per query, as a ranked search gives it, so that one group is one small task.
+    """
+
+    def pick(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["score", "key"], ascending=[False, True])
+        best = rows["score"].iloc[0] if len(rows) else 0.0
+        queues = {b: iter(rows[(rows["bucket"] == b) & (rows["score"] >= ratio * best)].itertuples()) for b in buckets}
+        seen, used, out = set(), Counter(), []
+
+        def take(found) -> bool:
+            for r in found:
+                if r.context not in seen and used[r.source] < cap:
+                    seen.add(r.context)
+                    used[r.source] += 1
+                    out.append(r.key)
+                    return True
+            return False
+
+        moved = True
+        while moved and len(out) < k:
+            moved = False
+            for b in buckets:
+                if len(out) < k and take(queues[b]):
+                    moved = True
+        rest = iter(rows.itertuples())
+        while len(out) < k and take(rest):
+            pass
+        return pd.DataFrame({"qid": [rows["qid"].iloc[0]] * len(out), "key": out, "pick": range(1, len(out) + 1)})
+
+    kind = candidates.schema["qid"].dataType.simpleString()
+    columns = ["qid", "key", "bucket", "source", "context", "score"]
+    return candidates.select(columns).groupBy("qid").applyInPandas(pick, f"qid {kind}, key long, pick int")

@@ -181,3 +181,35 @@ def html_blocks(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["page_id", "ord", "type", "text"])
 
     return pages.select("page_id", "html").mapInPandas(parse, "page_id long, ord int, type string, text string")
+
+
+PASSAGE = (120, 260, 25)  # words: enough, most, least kept
+
+
+def passages(docs: DataFrame, heading_chars: int = 80) -> DataFrame:
+    """Lines gathered to passages inside their section: (doc_id, passage, section, start, end, words).
+
+    A passage closes when it has enough words, when a line would carry it past the most, or when the
+    section (opened by a line of heading_chars or fewer) ends; very short ones are left out.
+    """
+    enough, most, least = PASSAGE
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                section, held, found = 0, None, []
+                for n, line in enumerate(x for x in (text or "").split("\n") if x.strip()):
+                    size = len(line.split())
+                    if len(line) <= heading_chars:
+                        section += 1
+                        continue
+                    if held and (held[0] != section or held[3] >= enough or held[3] + size > most):
+                        found.append(held)
+                        held = None
+                    held = [section, held[1], n, held[3] + size] if held else [section, n, n, size]
+                found += [held] if held else []
+                rows += [(doc_id, k, *p) for k, p in enumerate(p for p in found if p[3] >= least)]
+            yield pd.DataFrame(rows, columns=["doc_id", "passage", "section", "start", "end", "words"])
+
+    return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, passage int, section int, start int, end int, words int")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkwell.functions.text import tokens
-from inkwell.operators.ranking import bm25, cosine, fused, postings, quantized, top
+from inkwell.operators.ranking import bm25, cosine, diversified, fused, postings, quantized, top
 from inkwell.plans.registry import query
 from inkwell.sources.tables import lines_of, table
 
@@ -158,3 +158,13 @@ SELECT token, count(*) AS n FROM t WHERE token LIKE 'ther%' GROUP BY token""")
 def prefix_terms(spark, sf_dir):
     words = table(spark, sf_dir, "documents").select(F.explode(tokens(F.col("text"))).alias("token"))
     return words.where(F.col("token").startswith("ther")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query()
+def diverse_results(spark, sf_dir):
+    """The hundred best documents of each asked list, picked by length bucket and source."""
+    docs = table(spark, sf_dir, "documents")
+    ranked = top(bm25(docs, asked(spark)).withColumn("score", F.round("score", 6)), 100, ["qid"], F.desc("score"), "doc_id")
+    bucket = F.when(F.col("n_chars") < 800, "small").when(F.col("n_chars") < 3000, "medium").otherwise("large")
+    rows = ranked.join(docs.select("doc_id", "source", bucket.alias("bucket"), F.md5(F.substring("text", 1, 80).cast("binary")).alias("context")), "doc_id")
+    return diversified(rows.withColumnRenamed("doc_id", "key"), 8, 2, ["small", "medium", "large"])

@@ -150,3 +150,8 @@ def doubled_layers(spark, sf_dir):
 
     lines = lines_of(table(spark, sf_dir, "documents"))
     return lines.select("doc_id", "ord", undo("text").alias("text"))
+
+
+@query()
+def section_passages(spark, sf_dir):
+    return st.passages(table(spark, sf_dir, "documents"))

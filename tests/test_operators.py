@@ -103,3 +103,19 @@ def test_sources_and_versions(spark, tmp_path):
     sinks.write_version(spark.range(3), out, "1")
     sinks.write_version(spark.range(5), out, "2")
     assert sinks.read_current(spark, out).count() == 5
+
+
+def test_passages_stay_in_their_section(spark):
+    line = " ".join(["word"] * 70)
+    text = "\n".join([line, line, line, "SECTION", line, "few words of a line that is long enough to be no heading but has few " + "x" * 20])
+    rows = structure.passages(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).orderBy("passage").collect()
+    assert [(r.section, r.start, r.end, r.words) for r in rows] == [(0, 0, 1, 140), (0, 2, 2, 70), (1, 4, 5, 87)]
+
+
+def test_diversified_caps_and_turns(spark):
+    from inkwell.operators.ranking import diversified
+
+    rows = [("q", i, "small" if i % 3 else "large", f"s{i % 2}", f"c{i // 2}", 10.0 - i) for i in range(10)]
+    got = diversified(spark.createDataFrame(rows, "qid string, key long, bucket string, source string, context string, score double"), 4, 2, ["small", "medium", "large"])
+    keys = [r.key for r in got.orderBy("pick").collect()]
+    assert keys[:2] == [1, 3] and len(keys) == 4 and len({k // 2 for k in keys}) == 4 and max(sum(k % 2 == s for k in keys) for s in (0, 1)) <= 2
