@@ -29,8 +29,10 @@ from pyspark.sql.window import Window
 from inkwell.llm.common import connected_components, staged, text_bytes
 
 WIDTH, TREES, DEPTH, LEAF, BLOCK = 128, 12, 3, 64, 256
-#: Signatures that agree on so many coordinates are worth a look at the full sets: 3.5 deviations below 0.8.
-SLACK = 3.5
+#: Signatures that agree on so many coordinates are worth a look at the full sets: 3 deviations below 0.8.
+SLACK = 3.0
+#: So many ids at most (4 MB) are broadcast to pick texts; more are joined by shuffle.
+BROADCAST_IDS = 500_000
 SLICE = 4_000_000
 _random = np.random.default_rng(11)
 MIX, POWER = _random.integers(1, 1 << 62, 256, np.int64).astype(np.uint64), (_random.integers(1, 1 << 62, 1024, np.int64) | 1).astype(np.uint64)
@@ -129,7 +131,8 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _branch(rows: DataFrame, chance: float) -> DataFrame:
-    """(node, rep, signature) rows to those of the children; a null node stands for the roots."""
+    """(node, rep, root, signature) rows to those of the children; a null node stands for the roots.
+    root numbers the coordinates that the roots chose; below them it stays."""
 
     def run(batches):
         roots = _stir(np.arange(1, TREES + 1, dtype=np.uint64))
@@ -141,49 +144,54 @@ def _branch(rows: DataFrame, chance: float) -> DataFrame:
                 if part.column(0).null_count:
                     tree, coordinate = chosen(roots, chance)
                     row = np.repeat(np.arange(len(rep)), len(tree))
+                    root = np.tile(np.arange(len(tree), dtype=np.int32), len(rep))
                     node, coordinate = np.tile(roots[tree], len(rep)), np.tile(coordinate, len(rep))
                 else:
                     own = part.column(0).to_numpy().view(np.uint64)
                     row, coordinate = chosen(own, chance)
-                    node = own[row]
+                    node, root = own[row], part.column(3).to_numpy()[row]
                 child = _child(node, coordinate, sig[row, coordinate])
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(rep[row])], ["node", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(rep[row]), pa.array(root)], ["node", "rep", "root"])
 
-    return rows.select("node", "rep", "signature").mapInArrow(run, "node long, rep long")
+    return rows.select("node", "rep", "signature", "root").mapInArrow(run, "node long, rep long, root int")
 
 
 def trees(reps: DataFrame, chance: float) -> DataFrame:
-    """(node, rep, size, leaf) of all nodes with two documents or more. reps: rep, signature."""
-    level, found = staged(_branch(reps.select(F.lit(None).cast("long").alias("node"), "rep", "signature"), chance), "nodes"), None
+    """(node, rep, root, depth, size, leaf) of all nodes with two documents or more. reps: rep, signature."""
+    none = F.lit(None)
+    level, found = staged(_branch(reps.select(none.cast("long").alias("node"), "rep", "signature", none.cast("int").alias("root")), chance), "nodes"), None
     for depth in range(DEPTH):
-        level = level.distinct()
+        level = level.groupBy("node", "rep").agg(F.min("root").alias("root"))
         sizes = level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         last = F.lit(depth == DEPTH - 1) | (F.col("size") <= LEAF)
-        kept = staged(level.join(sizes, "node").withColumn("leaf", last), "nodes")
+        kept = staged(level.join(sizes, "node").withColumn("leaf", last).withColumn("depth", F.lit(depth)), "nodes")
         found = kept if found is None else found.unionByName(kept)
-        large = kept.where("NOT leaf").select("node", "rep")
+        large = kept.where("NOT leaf").select("node", "rep", "root")
         if depth == DEPTH - 1 or large.isEmpty():
             break
-        level = staged(_branch(large.join(reps, "rep"), chance), "nodes")
+        level = staged(_branch(large.join(reps.select("rep", "signature"), "rep"), chance), "nodes")
     return found
 
 
-def _agreeing(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) with the number of coordinates on which their signatures agree, `least` at least."""
+def _agreeing(pairs: DataFrame, reps: DataFrame, least: int, percent: int) -> DataFrame:
+    """Pairs (a, b) with the number of coordinates on which their signatures agree, `least` at least,
+    and of sizes that allow the similarity."""
 
     def run(batches):
         for batch in batches:
             left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, WIDTH) for i in (2, 3))
             same = (left == right).sum(1)
-            at = np.flatnonzero(same >= least)
+            n_left, n_right = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+            fits = 100 * np.minimum(n_left, n_right) >= percent * np.maximum(n_left, n_right)
+            at = np.flatnonzero((same >= least) & fits)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(same[at], pa.int64())], ["a", "b", "same"]
             )
 
-    both = pairs.join(reps.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a").join(
-        reps.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b"
+    both = pairs.join(reps.select(F.col("rep").alias("a"), F.col("signature").alias("sa"), F.col("n").alias("na")), "a").join(
+        reps.select(F.col("rep").alias("b"), F.col("signature").alias("sb"), F.col("n").alias("nb")), "b"
     )
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, same long")
+    return both.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long, same long")
 
 
 def full_sets(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
@@ -197,6 +205,8 @@ def full_sets(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, values)], ["rep", "set"])
 
+    if reps.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        reps = F.broadcast(reps)
     texts = docs.select(F.col("doc_id").alias("rep"), text_bytes().alias("text")).join(reps, "rep", "left_semi")
     return texts.mapInArrow(run, "rep long, set array<bigint>")
 
@@ -210,23 +220,30 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
-def _across(nodes: DataFrame, reps: DataFrame, components: DataFrame, least: int) -> DataFrame:
+def _across(nodes: DataFrame, reps: DataFrame, components: DataFrame, least: int, percent: int) -> DataFrame:
     """Pairs of one leaf that are in different components and whose signatures agree enough.
 
+    A pair that several trees bring together is given by the first root under which both are in
+    a leaf of the first level (`met`: the roots where that holds for a document), if there is one.
+
     Of each leaf the largest component is dealt out in blocks; the rest of the leaf meets every
     block. A leaf that is one component needs nothing.
     """
-    held = nodes.where("leaf").select("node", "rep").join(components.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    held = nodes.where("leaf").select("node", "rep", "root", "depth").join(components.select(F.col("id").alias("rep"), "component"), "rep", "left")
     held = held.withColumn("component", F.coalesce("component", "rep"))
-    by_part = held.groupBy("node", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark"))
+    by_part = held.groupBy("node", "component").agg(F.count("*").alias("n"), F.min(F.struct("depth", "root")).alias("at"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark"))
     mixed = by_part.groupBy("node").agg(
-        F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("size"), F.sum("mark").alias("mark")
+        F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("size"), F.sum("mark").alias("mark"), F.min("at").alias("at")
     ).where("parts > 1")
     # leaves of the same documents, from several trees, are compared once
-    mixed = mixed.groupBy("size", "mark").agg(F.min(F.struct("node", "main")).alias("one")).select(
+    mixed = mixed.groupBy("size", "mark").agg(F.min(F.struct("at", "node", "main")).alias("one")).select(
         F.col("one.node").alias("node"), F.col("one.main.component").alias("main"), F.ceil(F.col("one.main.n") / BLOCK).cast("int").alias("blocks")
     )
-    rows = held.join(mixed, "node").join(reps.select("rep", "signature"), "rep")
+    met = nodes.where("leaf AND depth = 0").groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1L, root)")).alias("met"))
+    rows = held.join(mixed, "node").join(reps.select("rep", "signature", "n"), "rep").join(met, "rep", "left")
+    rows = rows.withColumn("met", F.coalesce("met", F.lit(0)))
+    roots = _stir(np.arange(1, TREES + 1, dtype=np.uint64))
+    picked = chosen(roots, 1.0 / (percent / 100.0 * WIDTH))[1]
     own = (F.abs(F.xxhash64("rep")) % F.col("blocks")).cast("int")
     rows = rows.withColumn("minor", F.col("component") != F.col("main")).withColumn(
         "block", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own)))
@@ -236,6 +253,7 @@ def _across(nodes: DataFrame, reps: DataFrame, components: DataFrame, least: int
         rows = rows.sort_values("rep")
         rep, part, minor = rows["rep"].to_numpy(), rows["component"].to_numpy(), rows["minor"].to_numpy()
         sig = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(-1, WIDTH)
+        n, met, root = rows["n"].to_numpy(), rows["met"].to_numpy(), int(rows["root"].min())
         a, b = [], []
         for i in np.flatnonzero(minor):
             others = part != part[i]
@@ -244,12 +262,16 @@ def _across(nodes: DataFrame, reps: DataFrame, components: DataFrame, least: int
             else:
                 others &= ~minor
             at = np.flatnonzero(others)
+            at = at[100 * np.minimum(n[at], n[i]) >= percent * np.maximum(n[at], n[i])]
             at = at[(sig[at] == sig[i]).sum(1) >= least]
+            before = picked[:root]
+            sooner = (sig[at][:, before] == sig[i, before]) & ((met[i] >> np.arange(root)) & 1 > 0)
+            at = at[~sooner.any(1)]
             a.append(np.minimum(rep[at], rep[i]))
             b.append(np.maximum(rep[at], rep[i]))
         return pd.DataFrame({"a": np.concatenate(a) if a else [], "b": np.concatenate(b) if b else []}, dtype="int64")
 
-    rows = rows.select("node", "block", "rep", "component", "minor", "signature")
+    rows = rows.select("node", "block", "rep", "component", "minor", "signature", "n", "met", "root")
     return rows.groupBy("node", "block").applyInPandas(compare, "a long, b long").distinct()
 
 
@@ -262,10 +284,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """
     rows = staged(describe(docs, words), "signatures")
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    groups = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"))
+    groups = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"), F.min("n_shingles").alias("n"))
     groups = staged(groups, "sets")
     # a doc_id with several texts stands for all of them
-    reps = groups.select("rep", "signature")
+    reps = groups.select("rep", "signature", "n")
     chance = 1.0 / (percent / 100.0 * WIDTH)
     share = percent / 100.0
     least = int(WIDTH * (share - SLACK * (share * (1 - share) / WIDTH) ** 0.5))
@@ -273,12 +295,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     # round 1: every node's documents against two of its documents
     pivots = nodes.groupBy("node").agg(
-        F.min("rep").alias("low"), F.min(F.struct(F.xxhash64("node", "rep"), "rep")).alias("any")
+        F.min("rep").alias("low"), F.min(F.struct(F.xxhash64("rep"), "rep")).alias("any")
     ).select("node", F.explode(F.array_distinct(F.array("low", "any.rep"))).alias("pivot"))
     pairs = nodes.join(pivots, "node").where("rep <> pivot").select(
         F.col("pivot").alias("a"), F.col("rep").alias("b")
     ).distinct()
-    near = _agreeing(pairs, reps, least)
+    near = _agreeing(pairs, reps, least, percent)
     best = Window.partitionBy("b").orderBy(F.desc("same"), "a")
     near = near.withColumn("at", F.row_number().over(best)).where("at <= 2").select("a", "b")
     near = staged(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
@@ -288,7 +310,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     components = staged(connected_components(links), "components")
 
     # round 2: within the leaves, whatever is not connected yet
-    rest = staged(_across(nodes, reps, components, least).join(near, ["a", "b"], "left_anti"), "pairs")
+    rest = staged(_across(nodes, reps, components, least, percent).join(near, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
         new = rest.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
         more = full_sets(docs, new.join(looked, "rep", "left_anti"), words)
