@@ -42,7 +42,7 @@ from inkwell.llm.files import read_whole, write_whole
 
 SPAN, KEY = 50, 24
 REACH = SPAN - KEY
-CHUNK = 8_000_000
+CHUNK = 4_000_000
 BUCKET = 16_000_000
 RUN = 300_000
 SEGMENT = 1 << 17
@@ -50,7 +50,8 @@ LAST_ID = (1 << 63) - 1
 _random = np.random.default_rng(3)
 BYTE = (_random.integers(1, 1 << 62, 256, np.int64) | 1).astype(np.uint64)
 ODD = (_random.integers(1, 1 << 62, 16, np.int64) | 1).astype(np.uint64)
-TUPLE = np.dtype([("right", "u1", SPAN), ("left", "u1", REACH), ("n_left", "u1"), ("n_right", "u1"), ("doc", "<i8"), ("row", "<i4"), ("at", "<i4")])
+SENT = np.dtype([("right", "u1", SPAN), ("left", "u1", REACH), ("n_left", "u1"), ("n_right", "u1"), ("doc", "<i8")])
+TUPLE = np.dtype([*((n, *([SENT[n]] if SENT[n].subdtype is None else [SENT[n].base, SENT[n].shape])) for n in SENT.names), ("row", "<i4"), ("at", "<i4")])
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -139,6 +140,13 @@ class Chunk:
         return out, which, first
 
 
+def _sent(x: np.ndarray) -> np.ndarray:
+    out = np.empty(len(x), SENT)
+    for name in SENT.names:
+        out[name] = x[name]
+    return out
+
+
 # --- sorted runs and induction -------------------------------------------
 
 
@@ -392,7 +400,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         return pa.ipc.open_file(pa.py_buffer(read_whole(f"{folder}/{kind}-{number}"))).read_all().column("data").to_pylist()
 
     def post(rows: DataFrame, kind: str) -> set[int]:
-        done = rows.groupBy("chunk").applyInArrow(answered(kind), "chunk long").collect()  # a number for each 8 MB chunk
+        done = rows.groupBy("chunk").applyInArrow(answered(kind), "chunk long").collect()  # a number for each chunk
         return {r[0] for r in done}
 
     source = chunks.select("chunk", "rows", "places")
@@ -420,8 +428,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         for batch in batches:
             for number, part in opened(batch):
                 _, found, _, own = of_chunk(number, part)
-                found["at"] = np.arange(len(found))
-                yield dealt(number, bucket_of(own), lambda a, b: _packed(found[a:b]))
+                yield dealt(number, bucket_of(own), lambda a, b: int(a).to_bytes(4, "little") + _packed(_sent(found[a:b])))
 
     def sort_and_induce(batches):
         queue, bucket, numbers = SuffixQueue(), None, []
@@ -446,8 +453,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
                     if bucket is not None:
                         yield from answers()
                     queue, bucket, numbers = SuffixQueue(), b, []
-                x = _unpacked(data, TUPLE).copy()
+                sent = _unpacked(data[4:], SENT)
+                x = np.empty(len(sent), TUPLE)
+                for name in SENT.names:
+                    x[name] = sent[name]
                 x["row"] = len(numbers)
+                x["at"] = np.arange(len(x)) + int.from_bytes(data[:4], "little")
                 numbers.append(number)
                 queue.push(x)
         if bucket is not None:
@@ -476,7 +487,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
                     for a in range(REACH + 1):
                         hit = (((mine >> np.uint32(a)) & np.uint32(1)) > 0) & (n_left >= a) & (n_right >= SPAN - a)
                         start[p[hit] - a] = True
-                open_until = np.cumsum(start[:-1])
+                open_until = np.cumsum(start[:-1], dtype=np.int32)
                 gone = open_until.copy()
                 gone[SPAN:] -= open_until[:-SPAN]
                 gone = gone > 0
@@ -484,7 +495,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
                 edge[1:] &= ~gone[:-1]
                 edge[part.begins[part.begins < len(gone)]] = gone[part.begins[part.begins < len(gone)]]
                 kept, removed, spans, digests = [], [], [], []
-                sums, edges = np.concatenate([[0], np.cumsum(gone)]), np.concatenate([[0], np.cumsum(edge)])
+                del open_until, start
+                sums, edges = (np.concatenate([np.zeros(1, np.int32), np.cumsum(x, dtype=np.int32)]) for x in (gone, edge))
                 missing = part.batch.column(text_column).is_null().to_pylist()
                 for a, b, null in zip(part.begins.tolist(), part.ends.tolist(), missing, strict=True):
                     n = int(sums[b] - sums[a])
