@@ -37,42 +37,69 @@ _worker: dict = {}
 
 
 def _encoder(path: str):
-    """The tokenizer and what this worker has already encoded with it (bounded)."""
+    """path: file|kind of ids. The tokenizer and what this worker has already encoded with it (bounded)."""
     if _worker.get("path") != path:
         from tokenizers import Tokenizer
 
-        _worker.update(path=path, tokenizer=Tokenizer.from_file(path), cache={})
+        _worker.update(path=path, tokenizer=Tokenizer.from_file(path.rpartition("|")[0]), cache={})
     return _worker["tokenizer"], _worker["cache"]
 
 
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers, without special tokens.
+#: White space other than blank and line feed, as the pre-tokenizer's pattern knows it.
+ODD_SPACE = [chr(c) for c in (*range(9, 14), *range(28, 32), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288) if c != 10]
+
+
+def _single_blanks(text: str) -> bool:
+    """Whether every blank stands between two characters that are no white space."""
+    if text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text:
+        return False
+    return not any(c in text for c in ODD_SPACE)
+
+
+def encode_texts(texts: list[str], path: str, kind: str = "<u4") -> list[bytes]:
+    """Ids of each text as packed integers of the given kind, without special tokens.
 
     A byte-level pre-tokenizer always cuts before a single blank between two other
-    characters, so texts are cut there and each distinct piece is encoded once. Texts in
-    which a blank touches other white space are encoded whole.
+    characters, so texts are cut there and each distinct piece is encoded once (the cache
+    is keyed by the piece without its blank). Texts with other white space beside a blank,
+    or with rarer white space, are encoded whole.
     """
-    tokenizer, cache = _encoder(path)
-    cut: list[list[str]] = []
-    new: set[str] = set()
-    for text in texts:
-        parts = text.split(" ")
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
-            parts = [text] if text else []
-        else:
-            parts = [parts[0], *[" " + p for p in parts[1:]]]
-        cut.append(parts)
-        new.update(p for p in parts if p not in cache)
+    tokenizer, cache = _encoder(f"{path}|{kind}")
+    cut = [text.split(" ") if text and _single_blanks(text) else None for text in texts]
+
+    def coded(pieces: list[str]) -> list[bytes]:
+        return [np.asarray(x.ids, kind).tobytes() for x in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def coded_lines(pieces: list[str]) -> list[bytes]:
+        """The same for pieces without line feeds that begin with a blank: many in one text, a line
+        each, since a line feed before such a piece is a token of its own. Lines that do not come
+        back one by one are encoded singly."""
+        mark = tokenizer.encode("\n", add_special_tokens=False).ids
+        parts = [pieces[i : i + 500] for i in range(0, len(pieces), 500)]
+        out: list[bytes] = []
+        for part, found in zip(parts, tokenizer.encode_batch_fast(["\n" + "\n".join(p) + "\n" for p in parts], add_special_tokens=False), strict=True):
+            ids = np.asarray(found.ids, kind)
+            at = (np.flatnonzero(ids == mark[0]) * ids.itemsize).tolist()
+            raw = ids.tobytes()
+            good = len(mark) == 1 and len(at) == len(part) + 1 and at[0] == 0 and at[-1] + ids.itemsize == len(raw)
+            out += [raw[a + ids.itemsize : b] for a, b in zip(at, at[1:], strict=False)] if good else coded(part)
+        return out
+
+    whole = sorted({t for t, parts in zip(texts, cut, strict=True) if parts is None and t} | {parts[0] for parts in cut if parts})
+    heads = dict(zip(whole, coded(whole), strict=True)) | {"": b""}
+    found = set().union(*(parts[1:] for parts in cut if parts))
+    new = list(found.difference(cache))
     if len(cache) + len(new) > CACHE_UNITS:
         cache.clear()
-        new = {p for parts in cut for p in parts}
-    pieces = list(new)
-    for i in range(0, len(pieces), 4096):
-        some = pieces[i : i + 4096]
-        for piece, found in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            cache[piece] = np.asarray(found.ids, "<u4").tobytes()
+        new = list(found)
+    for i in range(0, len(new), 4096):
+        some = new[i : i + 4096]
+        lines = [piece for piece in some if "\n" not in piece]
+        cache.update(zip(lines, coded_lines([" " + piece for piece in lines]), strict=True))
+        rest = [piece for piece in some if "\n" in piece]
+        cache.update(zip(rest, coded([" " + piece for piece in rest]), strict=True))
     get = cache.__getitem__
-    return [b"".join(map(get, parts)) for parts in cut]
+    return [heads[text] if parts is None else heads[parts[0]] + b"".join(map(get, parts[1:])) for text, parts in zip(texts, cut, strict=True)]
 
 
 def token_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
@@ -90,8 +117,7 @@ def token_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                coded = encode_texts(part.column(1).to_pylist(), path)
-                ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in coded]
+                ids = [x + end for x in encode_texts(part.column(1).to_pylist(), path, kind)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
