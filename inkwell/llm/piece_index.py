@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 MARK_BYTE = b"\xfd"  # stands for the mark in matched text; UTF-8 holds neither it nor 0xFE
-SLICE = 8_000_000
-CACHE_UNITS = 400_000
+SLICE = 2_000_000
+CACHE_UNITS = 100_000
 CACHE_LENGTH = 64
 _worker: dict = {}
 
@@ -294,6 +294,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", with_decoded: bool =
                     columns.append(pa.array([None if m else decode_ids(x, vocabulary) for x, m in zip(some, missing, strict=True)], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names + new)
                 at = to
+        # workers live on: what a task has learnt goes with it
+        if "cache" in _worker:
+            _worker["cache"].clear()
+        pa.default_memory_pool().release_unused()
 
     os.environ.setdefault("OMP_NUM_THREADS", "1")
     return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
