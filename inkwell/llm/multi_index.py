@@ -65,20 +65,21 @@ class MultiIndex:
         k = int(np.clip(2 ** round(np.log2(max((len(sample) / 8) ** 0.5, 1))), 1, MAX_CODES))
         self.books = (_means(sample[:, :half], k, 1), _means(sample[:, half:], k, 2))
         own = self.cell(sample)
-        ranks = []
+        # found[r]: linked pairs of the sample, in each direction, whose cell is the (r + 1)-th of the row's own order
+        found = np.zeros(len(self.books[0]) * len(self.books[1]), np.int64)
         for label in np.unique(labels):
             at = np.flatnonzero(labels == label)
-            for i in range(0, len(at), 512):
-                rows = at[i : i + 512]
-                left, right = np.nonzero(sample[rows] @ sample[at].T >= least)
-                differ = rows[left] != at[right]
-                rows_at, right = rows[left[differ]], at[right[differ]]
-                keep = np.flatnonzero(own[rows_at] != own[right])[:4096]
-                ranks.append(np.zeros(int(differ.sum()) - len(keep)))
-                if len(keep):
-                    ranks.append(self._rank(sample[rows_at[keep]], own[right[keep]]))
-        ranks = np.concatenate(ranks) if ranks else np.zeros(0)
-        need = np.quantile(ranks, TARGET) + 1 if len(ranks) else 0
+            for i in range(0, len(at), 256):
+                rows = at[i : i + 256]
+                close = sample[rows] @ sample[at].T >= least
+                close[np.arange(len(rows)), np.arange(i, i + len(rows))] = False
+                ordered, cells = self._ordered(sample[rows])
+                for row, every in enumerate(cells):
+                    met = np.flatnonzero(close[row])
+                    if len(met):
+                        np.add.at(found, np.searchsorted(ordered[row], every[own[at[met]]]), 1)
+        total = np.cumsum(found)
+        need = int(np.searchsorted(total, TARGET * total[-1])) + 1 if total[-1] else 0
         self.cells = int(min(max(need * SPARE, LEAST_CELLS), len(self.books[0]) * len(self.books[1])))
 
     def halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,11 +89,11 @@ class MultiIndex:
         a, b = self.halves(x)
         return a.argmin(1) * len(self.books[1]) + b.argmin(1)
 
-    def _rank(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        """How many cells are nearer to x than the given one."""
+    def _ordered(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distances from each row to all cells, sorted and by cell."""
         a, b = self.halves(x)
         every = (a[:, :, None] + b[:, None, :]).reshape(len(x), -1)
-        return (every < every[np.arange(len(x)), cell][:, None]).sum(1)
+        return np.sort(every, 1), every
 
     def visits(self, x: np.ndarray) -> np.ndarray:
         """Per row the cells that it visits, its own first."""

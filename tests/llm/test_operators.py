@@ -110,6 +110,21 @@ def test_near_vectors(spark, monkeypatch):
     assert multi_index.near_vectors(table.limit(0)).count() == 0
 
 
+def test_index_recall_in_a_hot_cluster():
+    """A third of the sample is one cluster over many cells: the cells to visit must reach the target there as well."""
+    r = np.random.default_rng(3)
+    hot = r.normal(size=16) + r.normal(size=(1300, 16)) * 0.25
+    x = np.concatenate([hot, r.normal(size=(2700, 16))])
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    index = multi_index.MultiIndex(x, np.zeros(len(x), np.int64), 0.93)
+    close = x @ x.T >= 0.93
+    np.fill_diagonal(close, False)
+    visited = np.zeros((len(x), len(index.books[0]) * len(index.books[1])), bool)
+    np.put_along_axis(visited, index.visits(x), True, 1)
+    found = visited[:, index.cell(x)]
+    assert close.sum() > 500_000 and (close & found).sum() >= multi_index.TARGET * close.sum()
+
+
 # 3
 
 
