@@ -226,8 +226,10 @@ def _across(nodes: DataFrame, reps: DataFrame, components: DataFrame, least: int
     A pair that several trees bring together is given by the first root under which both are in
     a leaf of the first level (`met`: the roots where that holds for a document), if there is one.
 
-    Of each leaf the largest component is dealt out in blocks; the rest of the leaf meets every
-    block. A leaf that is one component needs nothing.
+    The documents outside a leaf's largest component (minor) are dealt out in blocks, and so is that
+    component, in blocks of its own. Each minor block meets every other block of the leaf in a
+    group of the two, and itself in the group with the component's first block. A leaf that is one
+    component needs nothing.
     """
     held = nodes.where("leaf").select("node", "rep", "root", "depth").join(components.select(F.col("id").alias("rep"), "component"), "rep", "left")
     held = held.withColumn("component", F.coalesce("component", "rep"))
@@ -237,30 +239,31 @@ def _across(nodes: DataFrame, reps: DataFrame, components: DataFrame, least: int
     ).where("parts > 1")
     # leaves of the same documents, from several trees, are compared once
     mixed = mixed.groupBy("size", "mark").agg(F.min(F.struct("at", "node", "main")).alias("one")).select(
-        F.col("one.node").alias("node"), F.col("one.main.component").alias("main"), F.ceil(F.col("one.main.n") / BLOCK).cast("int").alias("blocks")
+        F.col("one.node").alias("node"), F.col("one.main.component").alias("main"),
+        F.ceil((F.col("size") - F.col("one.main.n")) / BLOCK).cast("int").alias("first"), F.ceil(F.col("one.main.n") / BLOCK).cast("int").alias("blocks"),
     )
     met = nodes.where("leaf AND depth = 0").groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1L, root)")).alias("met"))
     rows = held.join(mixed, "node").join(reps.select("rep", "signature", "n"), "rep").join(met, "rep", "left")
     rows = rows.withColumn("met", F.coalesce("met", F.lit(0)))
     roots = _stir(np.arange(1, TREES + 1, dtype=np.uint64))
     picked = chosen(roots, 1.0 / (percent / 100.0 * WIDTH))[1]
-    own = (F.abs(F.xxhash64("rep")) % F.col("blocks")).cast("int")
-    rows = rows.withColumn("minor", F.col("component") != F.col("main")).withColumn(
-        "block", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own)))
-    )
+    # minor blocks are numbered from 0, those of the largest component from `first`
+    dealt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    rows = rows.withColumn("minor", F.col("component") != F.col("main"))
+    rows = rows.withColumn("own", F.when(F.col("minor"), dealt("first")).otherwise(F.col("first") + dealt("blocks")))
+    others = F.when(F.col("minor"), F.array_remove(F.sequence(F.lit(0), F.col("first") + F.col("blocks") - 1), F.col("own")))
+    rows = rows.withColumn("other", F.explode(others.otherwise(F.sequence(F.lit(0), F.col("first") - 1))))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 
     def compare(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rep")
-        rep, part, minor = rows["rep"].to_numpy(), rows["component"].to_numpy(), rows["minor"].to_numpy()
+        rep, part, left = rows["rep"].to_numpy(), rows["component"].to_numpy(), rows["own"].to_numpy() == key[1]
+        within = key[2] == rows["first"].iloc[0]
         sig = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(-1, WIDTH)
         n, met, root = rows["n"].to_numpy(), rows["met"].to_numpy(), int(rows["root"].min())
         a, b = [], []
-        for i in np.flatnonzero(minor):
-            others = part != part[i]
-            if key[1] == 0:
-                others &= ~minor | (rep > rep[i])  # minor ones meet each other in the first block only
-            else:
-                others &= ~minor
+        for i in np.flatnonzero(left):
+            others = (part != part[i]) & (~left | (within & (rep > rep[i])))
             at = np.flatnonzero(others)
             at = at[100 * np.minimum(n[at], n[i]) >= percent * np.maximum(n[at], n[i])]
             at = at[(sig[at] == sig[i]).sum(1) >= least]
@@ -271,8 +274,8 @@ def _across(nodes: DataFrame, reps: DataFrame, components: DataFrame, least: int
             b.append(np.maximum(rep[at], rep[i]))
         return pd.DataFrame({"a": np.concatenate(a) if a else [], "b": np.concatenate(b) if b else []}, dtype="int64")
 
-    rows = rows.select("node", "block", "rep", "component", "minor", "signature", "n", "met", "root")
-    return rows.groupBy("node", "block").applyInPandas(compare, "a long, b long").distinct()
+    rows = rows.select("node", "i", "j", "own", "first", "rep", "component", "signature", "n", "met", "root")
+    return rows.groupBy("node", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -5,8 +5,10 @@ import hashlib
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark.sql import GroupedData
 
 from inkwell.llm import arc, brown_lm, chosen_path, line_crf, line_rules, mixing, multi_index, piece_index, suffix_dedup, token_files
 from inkwell.llm.common import connected_components
@@ -285,6 +287,32 @@ def test_near_duplicates(spark, monkeypatch):
     assert got[None].kept and chosen_path.near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("main", [1, 90])
+def test_large_leaf_is_compared_in_blocks(spark, monkeypatch, main):
+    """No group holds more than about two blocks, however many documents are outside the largest component."""
+    apply = GroupedData.applyInPandas
+
+    def bounded(self, f, schema):
+        def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+            assert len(rows) <= 64
+            return f(key, rows)
+
+        return apply(self, run, schema)
+
+    monkeypatch.setattr(chosen_path, "BLOCK", 16)
+    monkeypatch.setattr(GroupedData, "applyInPandas", bounded)
+    r = np.random.default_rng(5)
+    sig = np.tile(r.integers(0, 1 << 32, chosen_path.WIDTH, np.uint32), (240, 1))
+    sig = np.where(r.random(sig.shape) < 0.3, r.integers(0, 1 << 32, sig.shape, np.uint32), sig).astype(np.uint32)
+    nodes = spark.createDataFrame([(7, i, 0, 2, 240, True) for i in range(240)], "node long, rep long, root int, depth int, size long, leaf boolean")
+    reps = spark.createDataFrame([(i, bytearray(x.tobytes()), 100) for i, x in enumerate(sig)], "rep long, signature binary, n long")
+    components = spark.createDataFrame([(i, 0) for i in range(main)], "id long, component long")
+    got = sorted((x.a, x.b) for x in chosen_path._across(nodes, reps, components, 64, 80).collect())
+    part = np.where(np.arange(240) < main, 0, np.arange(240))
+    want = [(a, b) for a in range(240) for b in range(a + 1, 240) if part[a] != part[b] and (sig[a] == sig[b]).sum() >= 64]
+    assert len(want) > 1000 and got == want
+
+
 # 9
 
 
