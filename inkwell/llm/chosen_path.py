@@ -4,14 +4,18 @@ Each distinct set has a signature of WIDTH minwise values. A tree splits documen
 coordinates of the signature: at every node the node itself picks coordinates (each with the
 chance 1 / (similarity * WIDTH), one at least), and documents with equal values there go to one
 child, so that about 1 / similarity copies of a document go down and similar ones stay together.
-Nodes of LEAF documents or fewer are compared exhaustively; larger ones branch on, to DEPTH
-levels, and the few that are still large then are compared in blocks. TREES independent trees
-give the recall. At the threshold a pair meets in one leaf below the root with chance 0.63 and
-three levels down with 0.37, so twelve trees find 99.6 % of pairs or more, each of which has
-still to be confirmed on the full sets.
-
-Only connections matter: within a node documents are first compared with two pivots, links are
-confirmed, and only documents of different components are compared with each other after that.
+A node branches until it is small: LEAF documents, or after DEPTH levels LARGE, as every further
+level costs recall at the threshold. (Documents that agree on all values never part; after LAST
+levels what is left is a leaf.) Leaves are compared exhaustively. TREES independent trees give the
+recall: at the threshold a pair meets in one leaf below the root with chance 0.63 and three levels
+down with 0.37, so twelve trees find 99.6 % of pairs or more, each of which has still to be
+confirmed on the full sets.
+
+Only connections matter. First all documents of a node meet two pivots, and what is confirmed
+links. Then the leaves compare documents of different components, block by block: documents whose
+signatures agree with any other one bring their full sets into the block, links are confirmed
+there, and documents that a link has joined are not compared again. So a block gives fewer links
+than it has documents, however many pairs it compares.
 """
 
 from __future__ import annotations
@@ -28,10 +32,13 @@ from pyspark.sql.window import Window
 
 from inkwell.llm.common import connected_components, staged, text_bytes
 
-WIDTH, TREES, DEPTH, LEAF, BLOCK = 128, 12, 3, 64, 256
+WIDTH, TREES = 128, 12
+LEAF, DEPTH, LARGE, LAST = 64, 3, 4096, 24
+#: Documents of a block, and shingles of a block's documents, as far as several documents go.
+BLOCK, WEIGHT = 256, 4_000_000
 #: Signatures that agree on so many coordinates are worth a look at the full sets: 3 deviations below 0.8.
 SLACK = 3.0
-#: So many ids at most (4 MB) are broadcast to pick texts; more are joined by shuffle.
+#: So many ids or pairs of ids at most (4 or 8 MB) are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 SLICE = 4_000_000
 _random = np.random.default_rng(11)
@@ -113,26 +120,27 @@ def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 
 
 def describe(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, signature): set_key is a 128-bit digest of the set."""
+    """(doc_id, n_shingles, set_key, signature, marks): set_key is a 128-bit digest of the set, marks
+    are the low bytes of the minwise values, to compare by."""
 
     def run(batches):
         for batch in batches:
             for part in _slices(batch, 1):
                 sets = shingle_sets(part.column(1).to_pylist(), words)
+                signatures = [signature(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                     pa.array([signature(s).tobytes() for s in sets], pa.binary())],
-                    ["doc_id", "n_shingles", "set_key", "signature"],
+                     pa.array([s.tobytes() for s in signatures], pa.binary()), pa.array([s.astype(np.uint8).tobytes() for s in signatures], pa.binary())],
+                    ["doc_id", "n_shingles", "set_key", "signature", "marks"],
                 )
 
     rows = docs.select("doc_id", text_bytes().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature binary")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature binary, marks binary")
 
 
 def _branch(rows: DataFrame, chance: float) -> DataFrame:
-    """(node, rep, root, signature) rows to those of the children; a null node stands for the roots.
-    root numbers the coordinates that the roots chose; below them it stays."""
+    """(node, rep, signature) rows to those of the children; a null node stands for the roots."""
 
     def run(batches):
         roots = _stir(np.arange(1, TREES + 1, dtype=np.uint64))
@@ -144,30 +152,27 @@ def _branch(rows: DataFrame, chance: float) -> DataFrame:
                 if part.column(0).null_count:
                     tree, coordinate = chosen(roots, chance)
                     row = np.repeat(np.arange(len(rep)), len(tree))
-                    root = np.tile(np.arange(len(tree), dtype=np.int32), len(rep))
                     node, coordinate = np.tile(roots[tree], len(rep)), np.tile(coordinate, len(rep))
                 else:
                     own = part.column(0).to_numpy().view(np.uint64)
                     row, coordinate = chosen(own, chance)
-                    node, root = own[row], part.column(3).to_numpy()[row]
+                    node = own[row]
                 child = _child(node, coordinate, sig[row, coordinate])
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(rep[row]), pa.array(root)], ["node", "rep", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(rep[row])], ["node", "rep"])
 
-    return rows.select("node", "rep", "signature", "root").mapInArrow(run, "node long, rep long, root int")
+    return rows.select("node", "rep", "signature").mapInArrow(run, "node long, rep long")
 
 
 def trees(reps: DataFrame, chance: float) -> DataFrame:
-    """(node, rep, root, depth, size, leaf) of all nodes with two documents or more. reps: rep, signature."""
-    none = F.lit(None)
-    level, found = staged(_branch(reps.select(none.cast("long").alias("node"), "rep", "signature", none.cast("int").alias("root")), chance), "nodes"), None
-    for depth in range(DEPTH):
-        level = level.groupBy("node", "rep").agg(F.min("root").alias("root"))
+    """(node, rep, size, leaf) of all nodes with two documents or more. reps: rep, signature."""
+    level, found = staged(_branch(reps.select(F.lit(None).cast("long").alias("node"), "rep", "signature"), chance), "nodes"), None
+    for depth in range(LAST):
+        small = LEAF if depth + 1 < DEPTH else LARGE if depth + 1 < LAST else 1 << 62
         sizes = level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        last = F.lit(depth == DEPTH - 1) | (F.col("size") <= LEAF)
-        kept = staged(level.join(sizes, "node").withColumn("leaf", last).withColumn("depth", F.lit(depth)), "nodes")
+        kept = staged(level.join(sizes, "node").withColumn("leaf", F.col("size") <= small), "nodes")
         found = kept if found is None else found.unionByName(kept)
-        large = kept.where("NOT leaf").select("node", "rep", "root")
-        if depth == DEPTH - 1 or large.isEmpty():
+        large = kept.where("NOT leaf").select("node", "rep")
+        if large.isEmpty():
             break
         level = staged(_branch(large.join(reps.select("rep", "signature"), "rep"), chance), "nodes")
     return found
@@ -179,7 +184,7 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, least: int, percent: int) -> Da
 
     def run(batches):
         for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, WIDTH) for i in (2, 3))
+            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, WIDTH) for i in (2, 3))
             same = (left == right).sum(1)
             n_left, n_right = batch.column(4).to_numpy(), batch.column(5).to_numpy()
             fits = 100 * np.minimum(n_left, n_right) >= percent * np.maximum(n_left, n_right)
@@ -188,8 +193,8 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, least: int, percent: int) -> Da
                 [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(same[at], pa.int64())], ["a", "b", "same"]
             )
 
-    both = pairs.join(reps.select(F.col("rep").alias("a"), F.col("signature").alias("sa"), F.col("n").alias("na")), "a").join(
-        reps.select(F.col("rep").alias("b"), F.col("signature").alias("sb"), F.col("n").alias("nb")), "b"
+    both = pairs.join(reps.select(F.col("rep").alias("a"), F.col("marks").alias("sa"), F.col("n").alias("na")), "a").join(
+        reps.select(F.col("rep").alias("b"), F.col("marks").alias("sb"), F.col("n").alias("nb")), "b"
     )
     return both.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long, same long")
 
@@ -213,6 +218,8 @@ def full_sets(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets reach the similarity."""
+    if pairs.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        pairs = F.broadcast(pairs)
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("sa")), "a").join(
         sets.select(F.col("rep").alias("b"), F.col("set").alias("sb")), "b"
     )
@@ -220,62 +227,107 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
-def _across(nodes: DataFrame, reps: DataFrame, components: DataFrame, least: int, percent: int) -> DataFrame:
-    """Pairs of one leaf that are in different components and whose signatures agree enough.
-
-    A pair that several trees bring together is given by the first root under which both are in
-    a leaf of the first level (`met`: the roots where that holds for a document), if there is one.
+def blocks(nodes: DataFrame, reps: DataFrame, components: DataFrame) -> DataFrame:
+    """(node, i, j, rep, component, left, within, leaves, ...): what the leaves have still to compare.
 
     The documents outside a leaf's largest component (minor) are dealt out in blocks, and so is that
-    component, in blocks of its own. Each minor block meets every other block of the leaf in a
-    group of the two, and itself in the group with the component's first block. A leaf that is one
-    component needs nothing.
+    component, in blocks of its own. Each minor block meets every other block of the leaf in a group
+    of the two, and itself in the group with the component's first block (`within`). A leaf that is
+    one component needs nothing; leaves of the same documents, from several trees, are one.
+    `leaves` are all leaves of a document: a pair belongs to the least that both are in.
     """
-    held = nodes.where("leaf").select("node", "rep", "root", "depth").join(components.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    held = held.withColumn("component", F.coalesce("component", "rep"))
-    by_part = held.groupBy("node", "component").agg(F.count("*").alias("n"), F.min(F.struct("depth", "root")).alias("at"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark"))
+    held = nodes.where("leaf").select("node", "rep").join(components.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    held = held.withColumn("component", F.coalesce("component", "rep")).join(reps.select("rep", "n"), "rep")
+    by_part = held.groupBy("node", "component").agg(F.count("*").alias("docs"), F.sum("n").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark"))
     mixed = by_part.groupBy("node").agg(
-        F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("size"), F.sum("mark").alias("mark"), F.min("at").alias("at")
+        F.count("*").alias("parts"), F.max(F.struct("docs", "component", "n")).alias("main"), F.sum("docs").alias("docs"), F.sum("n").alias("n"), F.sum("mark").alias("mark")
     ).where("parts > 1")
-    # leaves of the same documents, from several trees, are compared once
-    mixed = mixed.groupBy("size", "mark").agg(F.min(F.struct("at", "node", "main")).alias("one")).select(
+    count = lambda docs, n: F.greatest(F.ceil(docs / BLOCK), F.least(docs, F.ceil(n / WEIGHT))).cast("int")
+    mixed = mixed.groupBy("docs", "mark").agg(F.min(F.struct("node", "main", "n")).alias("one")).select(
         F.col("one.node").alias("node"), F.col("one.main.component").alias("main"),
-        F.ceil((F.col("size") - F.col("one.main.n")) / BLOCK).cast("int").alias("first"), F.ceil(F.col("one.main.n") / BLOCK).cast("int").alias("blocks"),
+        count(F.col("docs") - F.col("one.main.docs"), F.col("one.n") - F.col("one.main.n")).alias("first"), count(F.col("one.main.docs"), F.col("one.main.n")).alias("more"),
     )
-    met = nodes.where("leaf AND depth = 0").groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1L, root)")).alias("met"))
-    rows = held.join(mixed, "node").join(reps.select("rep", "signature", "n"), "rep").join(met, "rep", "left")
-    rows = rows.withColumn("met", F.coalesce("met", F.lit(0)))
-    roots = _stir(np.arange(1, TREES + 1, dtype=np.uint64))
-    picked = chosen(roots, 1.0 / (percent / 100.0 * WIDTH))[1]
+    rows = held.join(mixed, "node")
+    lists = rows.groupBy("rep").agg(F.array_sort(F.collect_list("node")).alias("leaves"))
+    rows = rows.join(lists, "rep").join(reps.select("rep", "marks"), "rep")
     # minor blocks are numbered from 0, those of the largest component from `first`
     dealt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     rows = rows.withColumn("minor", F.col("component") != F.col("main"))
-    rows = rows.withColumn("own", F.when(F.col("minor"), dealt("first")).otherwise(F.col("first") + dealt("blocks")))
-    others = F.when(F.col("minor"), F.array_remove(F.sequence(F.lit(0), F.col("first") + F.col("blocks") - 1), F.col("own")))
+    rows = rows.withColumn("own", F.when(F.col("minor"), dealt("first")).otherwise(F.col("first") + dealt("more")))
+    others = F.when(F.col("minor"), F.array_remove(F.sequence(F.lit(0), F.col("first") + F.col("more") - 1), F.col("own")))
     rows = rows.withColumn("other", F.explode(others.otherwise(F.sequence(F.lit(0), F.col("first") - 1))))
     rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-
-    def compare(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rep")
-        rep, part, left = rows["rep"].to_numpy(), rows["component"].to_numpy(), rows["own"].to_numpy() == key[1]
-        within = key[2] == rows["first"].iloc[0]
-        sig = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(-1, WIDTH)
-        n, met, root = rows["n"].to_numpy(), rows["met"].to_numpy(), int(rows["root"].min())
+    return rows.select("node", "i", "j", "rep", "component", (F.col("own") == F.col("i")).alias("left"), (F.col("j") == F.col("first")).alias("within"), "n", "marks", "leaves")
+
+
+class _Block:
+    """The documents of one group of two blocks, and which pairs of them are to be compared."""
+
+    def __init__(self, rows: pd.DataFrame, least: int, percent: int):
+        self.rows = rows = rows.sort_values("rep").reset_index(drop=True)
+        self.rep, self.part, self.left = rows["rep"].to_numpy(), rows["component"].to_numpy().copy(), rows["left"].to_numpy()
+        self.n, self.within = rows["n"].to_numpy(), bool(rows["within"].iloc[0])
+        self.marks = np.frombuffer(b"".join(rows["marks"]), np.uint8).reshape(-1, WIDTH)
+        self.least, self.percent = least, percent
+
+    def partners(self, i: int) -> np.ndarray:
+        """Documents of other components that i, which is on the left, may be similar to."""
+        later = ~self.left
+        if self.within:
+            later[i + 1 :] = True
+        at = np.flatnonzero(later & (self.part != self.part[i]))
+        at = at[100 * np.minimum(self.n[at], self.n[i]) >= self.percent * np.maximum(self.n[at], self.n[i])]
+        return at[(self.marks[at] == self.marks[i]).sum(1) >= self.least]
+
+
+def _brought(rows: DataFrame, least: int, percent: int) -> DataFrame:
+    """The rows of blocks() of documents that may be similar to another one in their group."""
+
+    def look(rows: pd.DataFrame) -> pd.DataFrame:
+        block = _Block(rows, least, percent)
+        node, leaves = block.rows["node"].iloc[0], block.rows["leaves"].to_numpy()
+        known = {}
+        use = np.zeros(len(block.rep), bool)
+        for i in np.flatnonzero(block.left):
+            for k in block.partners(i):
+                if use[i] and use[k]:
+                    continue
+                for x in (i, k):
+                    if x not in known:
+                        known[x] = frozenset(v for v in leaves[x] if v < node)
+                if known[i].isdisjoint(known[k]):
+                    use[i] = use[k] = True
+        return block.rows.loc[use].drop(columns="leaves")
+
+    schema = "node long, i int, j int, rep long, component long, left boolean, within boolean, n long, marks binary"
+    return rows.groupBy("node", "i", "j").applyInPandas(look, schema)
+
+
+def _linked(rows: DataFrame, sets: DataFrame, least: int, percent: int) -> DataFrame:
+    """Links (a, b) of the groups, on full sets; as many as join what is similar and no more."""
+
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        block = _Block(rows, least, percent)
+        sets = [np.asarray(x) for x in block.rows["set"]]
+        _, every = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum([len(x) for x in sets])
+        begins = ends - [len(x) for x in sets]
+        seen = np.zeros(int(every.max()) + 1, bool)
         a, b = [], []
-        for i in np.flatnonzero(left):
-            others = (part != part[i]) & (~left | (within & (rep > rep[i])))
-            at = np.flatnonzero(others)
-            at = at[100 * np.minimum(n[at], n[i]) >= percent * np.maximum(n[at], n[i])]
-            at = at[(sig[at] == sig[i]).sum(1) >= least]
-            before = picked[:root]
-            sooner = (sig[at][:, before] == sig[i, before]) & ((met[i] >> np.arange(root)) & 1 > 0)
-            at = at[~sooner.any(1)]
-            a.append(np.minimum(rep[at], rep[i]))
-            b.append(np.maximum(rep[at], rep[i]))
-        return pd.DataFrame({"a": np.concatenate(a) if a else [], "b": np.concatenate(b) if b else []}, dtype="int64")
-
-    rows = rows.select("node", "i", "j", "own", "first", "rep", "component", "signature", "n", "met", "root")
-    return rows.groupBy("node", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+        for i in np.flatnonzero(block.left):
+            seen[every[begins[i] : ends[i]]] = True
+            for k in block.partners(i):
+                if block.part[k] == block.part[i]:
+                    continue
+                common = int(np.count_nonzero(seen[every[begins[k] : ends[k]]]))
+                if 100 * common >= percent * (len(sets[i]) + len(sets[k]) - common):
+                    a.append(block.rep[i])
+                    b.append(block.rep[k])
+                    block.part[block.part == block.part[k]] = block.part[i]
+            seen[every[begins[i] : ends[i]]] = False
+        return pd.DataFrame({"a": a, "b": b}, dtype="int64")
+
+    return rows.join(sets, "rep").groupBy("node", "i", "j").applyInPandas(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -287,10 +339,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """
     rows = staged(describe(docs, words), "signatures")
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    groups = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"), F.min("n_shingles").alias("n"))
-    groups = staged(groups, "sets")
+    groups = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min(F.struct("signature", "marks", F.col("n_shingles").alias("n"))).alias("of"))
+    groups = groups.select("set_key", "rep", "of.*")
     # a doc_id with several texts stands for all of them
-    reps = groups.select("rep", "signature", "n")
+    groups = staged(groups, "sets")
+    reps = groups.select("rep", "signature", "marks", "n")
     chance = 1.0 / (percent / 100.0 * WIDTH)
     share = percent / 100.0
     least = int(WIDTH * (share - SLACK * (share * (1 - share) / WIDTH) ** 0.5))
@@ -304,6 +357,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         F.col("pivot").alias("a"), F.col("rep").alias("b")
     ).distinct()
     near = _agreeing(pairs, reps, least, percent)
+    # the two pivots most alike: what else is similar is left to round 2
     best = Window.partitionBy("b").orderBy(F.desc("same"), "a")
     near = near.withColumn("at", F.row_number().over(best)).where("at <= 2").select("a", "b")
     near = staged(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
@@ -313,12 +367,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     components = staged(connected_components(links), "components")
 
     # round 2: within the leaves, whatever is not connected yet
-    rest = staged(_across(nodes, reps, components, least, percent).join(near, ["a", "b"], "left_anti"), "pairs")
+    rest = staged(_brought(blocks(nodes, reps, components), least, percent), "blocks")
     if not rest.isEmpty():
-        new = rest.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        new = rest.select("rep").distinct()
         more = full_sets(docs, new.join(looked, "rep", "left_anti"), words)
         sets = sets.unionByName(staged(more, "full-sets"))
-        links = links.unionByName(staged(confirmed(rest, sets, percent), "links"))
+        links = links.unionByName(staged(_linked(rest, sets, least, percent), "links"))
         components = staged(connected_components(links), "components")
 
     named = groups.select("set_key", "rep").join(components.withColumnRenamed("id", "rep"), "rep", "left").select(

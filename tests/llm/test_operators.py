@@ -289,28 +289,58 @@ def test_near_duplicates(spark, monkeypatch):
 
 @pytest.mark.parametrize("main", [1, 90])
 def test_large_leaf_is_compared_in_blocks(spark, monkeypatch, main):
-    """No group holds more than about two blocks, however many documents are outside the largest component."""
+    """No group holds more than about two blocks, however many documents are outside the largest
+    component; the links join what brute force joins, and no group gives more of them than documents."""
     apply = GroupedData.applyInPandas
 
     def bounded(self, f, schema):
         def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-            assert len(rows) <= 64
-            return f(key, rows)
+            out = f(rows)
+            assert len(rows) <= 64 and ("left" in out.columns or len(out) < len(rows))
+            return out
 
         return apply(self, run, schema)
 
     monkeypatch.setattr(chosen_path, "BLOCK", 16)
     monkeypatch.setattr(GroupedData, "applyInPandas", bounded)
     r = np.random.default_rng(5)
-    sig = np.tile(r.integers(0, 1 << 32, chosen_path.WIDTH, np.uint32), (240, 1))
-    sig = np.where(r.random(sig.shape) < 0.3, r.integers(0, 1 << 32, sig.shape, np.uint32), sig).astype(np.uint32)
-    nodes = spark.createDataFrame([(7, i, 0, 2, 240, True) for i in range(240)], "node long, rep long, root int, depth int, size long, leaf boolean")
-    reps = spark.createDataFrame([(i, bytearray(x.tobytes()), 100) for i, x in enumerate(sig)], "rep long, signature binary, n long")
+    base = r.integers(0, 1 << 62, 100)
+    sets = []
+    for _ in range(240):  # one value in seventeen changed: pairs are just below or above the similarity
+        one = base.copy()
+        at = r.random(100) < 0.06
+        one[at] = r.integers(0, 1 << 62, at.sum())
+        sets.append(np.unique(one))
+    marks = [chosen_path.signature(s).astype(np.uint8).tobytes() for s in sets]
+    leaf = [(7, i, 240, True) for i in range(240)] + [(9, i, 200, True) for i in range(200)]
+    nodes = spark.createDataFrame(leaf, "node long, rep long, size long, leaf boolean")
+    reps = spark.createDataFrame([(i, bytearray(m), len(s)) for i, (m, s) in enumerate(zip(marks, sets, strict=True))], "rep long, marks binary, n long")
+    full = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sets)], "rep long, set array<bigint>")
     components = spark.createDataFrame([(i, 0) for i in range(main)], "id long, component long")
-    got = sorted((x.a, x.b) for x in chosen_path._across(nodes, reps, components, 64, 80).collect())
-    part = np.where(np.arange(240) < main, 0, np.arange(240))
-    want = [(a, b) for a in range(240) for b in range(a + 1, 240) if part[a] != part[b] and (sig[a] == sig[b]).sum() >= 64]
-    assert len(want) > 1000 and got == want
+    rows = chosen_path.staged(chosen_path._brought(chosen_path.blocks(nodes, reps, components), 60, 80), "rows")
+    assert {x.node for x in rows.collect()} == {7}  # the other leaf has no pair of its own
+    links = [(x.a, x.b) for x in chosen_path._linked(rows, full, 60, 80).collect()]
+    alike = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))
+    assert all(alike(a, b) for a, b in links)
+    start = [(0, i) for i in range(main)]
+    pairs = [(a, b) for a in range(240) for b in range(a + 1, 240) if alike(a, b)]
+    assert len(pairs) > 1000
+    assert union(240, start + links) == union(240, start + pairs)
+
+
+def union(n: int, links) -> list[int]:
+    """The smallest member of each one's component."""
+    part = list(range(n))
+
+    def root(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for a, b in links:
+        low, high = sorted((root(a), root(b)))
+        part[high] = low
+    return [root(x) for x in range(n)]
 
 
 # 9
