@@ -20,6 +20,7 @@ than it has documents, however many pairs it compares.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkwell.llm.common import connected_components, staged, text_bytes
+from inkwell.llm.common import connected_components, staged, text_bytes, width
 
 WIDTH, TREES = 128, 12
 LEAF, DEPTH, LARGE, LAST = 64, 3, 4096, 24
@@ -260,6 +261,11 @@ def blocks(nodes: DataFrame, reps: DataFrame, components: DataFrame) -> DataFram
     return rows.select("node", "i", "j", "rep", "component", (F.col("own") == F.col("i")).alias("left"), (F.col("j") == F.col("first")).alias("within"), "n", "marks", "leaves")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """By group, to as many tasks as a shuffle has: comparing takes longer than the bytes tell."""
+    return rows.repartition(width(rows.sparkSession), "node", "i", "j")
+
+
 class _Block:
     """The documents of one group of two blocks, and which pairs of them are to be compared."""
 
@@ -270,14 +276,17 @@ class _Block:
         self.marks = np.frombuffer(b"".join(rows["marks"]), np.uint8).reshape(-1, WIDTH)
         self.least, self.percent = least, percent
 
-    def partners(self, i: int) -> np.ndarray:
-        """Documents of other components that i, which is on the left, may be similar to."""
-        later = ~self.left
-        if self.within:
-            later[i + 1 :] = True
-        at = np.flatnonzero(later & (self.part != self.part[i]))
-        at = at[100 * np.minimum(self.n[at], self.n[i]) >= self.percent * np.maximum(self.n[at], self.n[i])]
-        return at[(self.marks[at] == self.marks[i]).sum(1) >= self.least]
+    def alike(self) -> Iterator[tuple[int, int]]:
+        """Pairs (i, k), i on the left, of different components that may be similar."""
+        left, every = np.flatnonzero(self.left), np.arange(len(self.rep))
+        for a in range(0, len(left), 32):
+            some = left[a : a + 32, None]
+            fits = (self.part != self.part[some]) & (~self.left | (self.within & (every > some)))
+            fits &= 100 * np.minimum(self.n, self.n[some]) >= self.percent * np.maximum(self.n, self.n[some])
+            i, k = np.nonzero(fits)
+            i = left[a + i]
+            good = (self.marks[i] == self.marks[k]).sum(1) >= self.least
+            yield from zip(i[good].tolist(), k[good].tolist(), strict=True)
 
 
 def _brought(rows: DataFrame, least: int, percent: int) -> DataFrame:
@@ -286,21 +295,15 @@ def _brought(rows: DataFrame, least: int, percent: int) -> DataFrame:
     def look(rows: pd.DataFrame) -> pd.DataFrame:
         block = _Block(rows, least, percent)
         node, leaves = block.rows["node"].iloc[0], block.rows["leaves"].to_numpy()
-        known = {}
+        earlier = functools.cache(lambda x: frozenset(v for v in leaves[x] if v < node))
         use = np.zeros(len(block.rep), bool)
-        for i in np.flatnonzero(block.left):
-            for k in block.partners(i):
-                if use[i] and use[k]:
-                    continue
-                for x in (i, k):
-                    if x not in known:
-                        known[x] = frozenset(v for v in leaves[x] if v < node)
-                if known[i].isdisjoint(known[k]):
-                    use[i] = use[k] = True
+        for i, k in block.alike():
+            if not (use[i] and use[k]) and earlier(i).isdisjoint(earlier(k)):
+                use[i] = use[k] = True
         return block.rows.loc[use].drop(columns="leaves")
 
     schema = "node long, i int, j int, rep long, component long, left boolean, within boolean, n long, marks binary"
-    return rows.groupBy("node", "i", "j").applyInPandas(look, schema)
+    return _dealt(rows).groupBy("node", "i", "j").applyInPandas(look, schema)
 
 
 def _linked(rows: DataFrame, sets: DataFrame, least: int, percent: int) -> DataFrame:
@@ -312,22 +315,23 @@ def _linked(rows: DataFrame, sets: DataFrame, least: int, percent: int) -> DataF
         _, every = np.unique(np.concatenate(sets), return_inverse=True)
         ends = np.cumsum([len(x) for x in sets])
         begins = ends - [len(x) for x in sets]
-        seen = np.zeros(int(every.max()) + 1, bool)
+        seen, last = np.zeros(int(every.max()) + 1, bool), None
         a, b = [], []
-        for i in np.flatnonzero(block.left):
-            seen[every[begins[i] : ends[i]]] = True
-            for k in block.partners(i):
-                if block.part[k] == block.part[i]:
-                    continue
-                common = int(np.count_nonzero(seen[every[begins[k] : ends[k]]]))
-                if 100 * common >= percent * (len(sets[i]) + len(sets[k]) - common):
-                    a.append(block.rep[i])
-                    b.append(block.rep[k])
-                    block.part[block.part == block.part[k]] = block.part[i]
-            seen[every[begins[i] : ends[i]]] = False
+        for i, k in block.alike():
+            if block.part[i] == block.part[k]:
+                continue
+            if i != last:
+                seen[:] = False
+                seen[every[begins[i] : ends[i]]] = True
+                last = i
+            common = int(np.count_nonzero(seen[every[begins[k] : ends[k]]]))
+            if 100 * common >= percent * (len(sets[i]) + len(sets[k]) - common):
+                a.append(block.rep[i])
+                b.append(block.rep[k])
+                block.part[block.part == block.part[k]] = block.part[i]
         return pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
-    return rows.join(sets, "rep").groupBy("node", "i", "j").applyInPandas(link, "a long, b long")
+    return _dealt(rows.join(sets, "rep")).groupBy("node", "i", "j").applyInPandas(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -12,6 +12,9 @@ block of BLOCK ids. Blocks decode on their own: a reader takes one look-up in a
 
 from __future__ import annotations
 
+import functools
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -36,17 +39,10 @@ _worker: dict = {}
 # --- ids -----------------------------------------------------------------
 
 
-def _encoder(path: str):
-    """path: file|kind of ids. The tokenizer and what this worker has already encoded with it (bounded)."""
-    if _worker.get("path") != path:
-        from tokenizers import Tokenizer
-
-        _worker.update(path=path, tokenizer=Tokenizer.from_file(path.rpartition("|")[0]), cache={})
-    return _worker["tokenizer"], _worker["cache"]
-
-
 #: White space other than blank and line feed, as the pre-tokenizer's pattern knows it.
 ODD_SPACE = [chr(c) for c in (*range(9, 14), *range(28, 32), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288) if c != 10]
+#: Marks that a word may end in.
+MARKS = ".,;:!?%*"
 
 
 def _single_blanks(text: str) -> bool:
@@ -56,55 +52,100 @@ def _single_blanks(text: str) -> bool:
     return not any(c in text for c in ODD_SPACE)
 
 
+def byte_alphabet() -> dict[int, int]:
+    """What a byte-level vocabulary writes for each byte: printable Latin-1 for itself, the rest from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
+
+
+class Pieces(dict):
+    """Packed ids of a piece of text that follows a blank or (after="") nothing, made when first asked for.
+
+    Words of letters go to the vocabulary's merges at once; a line feed between two words and
+    marks after one are tokens apart, as the pre-tokenizer cuts there. All else is encoded by the
+    whole tokenizer.
+    """
+
+    def __init__(self, tokenizer, kind: str, after: str = ""):
+        self.model, self.alphabet, self.kind, self.after = tokenizer.model, byte_alphabet(), kind, after
+        self.plain = Pieces(tokenizer, kind) if after else self
+        self.all = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, kind).tobytes()
+        self.between = functools.lru_cache(10_000)(self.all)  # a line feed, or marks
+
+    def __missing__(self, piece: str) -> bytes:
+        self[piece] = ids = self._made(piece)
+        return ids
+
+    def _made(self, piece: str) -> bytes:
+        if "\n" in piece:
+            lines = piece.split("\n")
+            if not all(lines):
+                return self.all(self.after + piece)
+            feed = self.between("\n")
+            return self[lines[0]] + b"".join([feed + self.plain[x] for x in lines[1:]])
+        word = piece.rstrip(MARKS)
+        if not word.isalpha() or not (word.isascii() or max(word) < "\u0530"):
+            return self.all(self.after + piece)
+        if len(word) < len(piece):
+            return self[word] + self.between(piece[len(word) :])
+        shown = (self.after + word).encode().decode("latin-1").translate(self.alphabet)
+        return np.array([t.id for t in self.model.tokenize(shown)], self.kind).tobytes()
+
+    def bounded(self, most: int) -> None:
+        if len(self) + len(self.plain) > most:
+            self.clear()
+            self.plain.clear()
+
+
+def cut_at_blanks(tokenizer) -> bool:
+    """Whether the tokenizer is one whose texts may be cut as Pieces does: byte-level BPE with the
+    usual pattern, and no added token that such a cut or such a word could touch."""
+    made = json.loads(tokenizer.to_str())
+    model, before = made["model"], made["pre_tokenizer"] or {}
+    plain = all(not t["lstrip"] and not t["rstrip"] and not re.search(r"\s", t["content"]) and not all(c.isalpha() or c in MARKS for c in t["content"]) and not set(t["content"]) & set(MARKS) for t in made["added_tokens"])
+    return (
+        plain and not made["normalizer"] and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        and model["type"] == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+    )
+
+
+def _encoder(path: str, kind: str):
+    """The tokenizer, and what this worker has already encoded with it: bounded, None where texts stay whole."""
+    if _worker.get("path") != (path, kind):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        _worker.update(path=(path, kind), tokenizer=tokenizer, pieces=Pieces(tokenizer, kind, " ") if cut_at_blanks(tokenizer) else None)
+    return _worker["tokenizer"], _worker["pieces"]
+
+
 def encode_texts(texts: list[str], path: str, kind: str = "<u4") -> list[bytes]:
     """Ids of each text as packed integers of the given kind, without special tokens.
 
-    A byte-level pre-tokenizer always cuts before a single blank between two other
-    characters, so texts are cut there and each distinct piece is encoded once (the cache
-    is keyed by the piece without its blank). Texts with other white space beside a blank,
-    or with rarer white space, are encoded whole.
+    A byte-level pre-tokenizer always cuts before a single blank between two other characters, so
+    texts are cut there and each distinct piece is encoded once. Texts with other white space
+    beside a blank, or with rarer white space, are encoded whole.
     """
-    tokenizer, cache = _encoder(f"{path}|{kind}")
-    cut = [text.split(" ") if text and _single_blanks(text) else None for text in texts]
-
-    def coded(pieces: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, kind).tobytes() for x in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def coded_lines(pieces: list[str]) -> list[bytes]:
-        """The same for pieces without line feeds that begin with a blank: many in one text, a line
-        each, since a line feed before such a piece is a token of its own. Lines that do not come
-        back one by one are encoded singly."""
-        mark = tokenizer.encode("\n", add_special_tokens=False).ids
-        parts = [pieces[i : i + 500] for i in range(0, len(pieces), 500)]
-        out: list[bytes] = []
-        for part, found in zip(parts, tokenizer.encode_batch_fast(["\n" + "\n".join(p) + "\n" for p in parts], add_special_tokens=False), strict=True):
-            ids = np.asarray(found.ids, kind)
-            at = (np.flatnonzero(ids == mark[0]) * ids.itemsize).tolist()
-            raw = ids.tobytes()
-            good = len(mark) == 1 and len(at) == len(part) + 1 and at[0] == 0 and at[-1] + ids.itemsize == len(raw)
-            out += [raw[a + ids.itemsize : b] for a, b in zip(at, at[1:], strict=False)] if good else coded(part)
-        return out
-
-    whole = sorted({t for t, parts in zip(texts, cut, strict=True) if parts is None and t} | {parts[0] for parts in cut if parts})
-    heads = dict(zip(whole, coded(whole), strict=True)) | {"": b""}
-    found = set().union(*(parts[1:] for parts in cut if parts))
-    new = list(found.difference(cache))
-    if len(cache) + len(new) > CACHE_UNITS:
-        cache.clear()
-        new = list(found)
-    for i in range(0, len(new), 4096):
-        some = new[i : i + 4096]
-        lines = [piece for piece in some if "\n" not in piece]
-        cache.update(zip(lines, coded_lines([" " + piece for piece in lines]), strict=True))
-        rest = [piece for piece in some if "\n" in piece]
-        cache.update(zip(rest, coded([" " + piece for piece in rest]), strict=True))
-    get = cache.__getitem__
-    return [heads[text] if parts is None else heads[parts[0]] + b"".join(map(get, parts[1:])) for text, parts in zip(texts, cut, strict=True)]
+    tokenizer, pieces = _encoder(path, kind)
+    if pieces is not None:
+        pieces.bounded(CACHE_UNITS)
+    out = []
+    for text in texts:
+        if pieces is None or not text or not _single_blanks(text):
+            out.append(np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, kind).tobytes())
+        else:
+            parts = text.split(" ")
+            parts[0] = pieces.plain[parts[0]]
+            parts[1:] = map(pieces.__getitem__, parts[1:])
+            out.append(b"".join(parts))
+    return out
 
 
 def token_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, ids): the ids of every text with end_id after them, as packed 16-bit integers
-    where the vocabulary allows, else 32-bit. A null text is an empty one."""
+    """(doc_id, ids, counts) and the kind of integer: the ids of every text with end_id after them, packed as
+    16-bit integers where the vocabulary allows, else 32-bit. A null text is an empty one. Each task
+    adds one row that has only counts: how often it saw each id (64-bit, up to its largest)."""
     from tokenizers import Tokenizer
 
     kind = "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
@@ -114,14 +155,20 @@ def token_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         end = np.asarray([end_id], kind).tobytes()
+        total, names = np.zeros(0, np.int64), ["doc_id", "ids", "counts"]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids = [x + end for x in encode_texts(part.column(1).to_pylist(), path, kind)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                seen = np.bincount(np.frombuffer(b"".join(ids), kind), minlength=len(total))
+                seen[: len(total)] += total
+                total = seen
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names)
+        if len(total):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([zlib.compress(total.astype("<i8").tobytes(), 1)], pa.binary())], names)
 
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids binary"), kind
+    return rows.mapInArrow(run, "doc_id long, ids binary, counts binary"), kind
 
 
 # --- the code ------------------------------------------------------------
@@ -265,20 +312,20 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 0, folder: str |
     """
     spark = docs.sparkSession
     rows, kind = token_ids(docs, path, end_id)
-    ids = staged(rows, "token-ids")
+    staged_ids = staged(rows, "token-ids")
 
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = np.frombuffer(b"".join(batch.column(0).slice(at, 512).to_pylist()), kind)
-                got = np.bincount(some, minlength=len(total))
-                got[: len(total)] += total
-                total = got
+            for packed in batch.column(0).to_pylist():
+                some = np.frombuffer(zlib.decompress(packed), "<i8")
+                total = np.pad(total, (0, max(0, len(some) - len(total))))
+                total[: len(some)] += some
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
 
-    counts = ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counts = staged_ids.where("counts IS NOT NULL").select("counts").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    ids = staged_ids.where("ids IS NOT NULL").select("doc_id", "ids")
     folder = folder or fresh_path(spark, "token-files")
     schema = "path string, bucket int, seq int, n_docs long, n_ids long"
     if counts.empty:
@@ -347,8 +394,12 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 0, folder: str |
         )
 
     files = staged(dealt.mapInArrow(write, schema), "token-list")
-    before = Window.orderBy("bucket", "seq").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
-    return files.select("path", "n_docs", "n_ids", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long").alias("start"))
+    # a row per bucket, of which there are as many as partitions; then the files of each bucket
+    sums = files.groupBy("bucket").agg(F.sum("n_ids").alias("own"))
+    sums = sums.select("bucket", F.coalesce(F.sum("own").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    before = Window.partitionBy("bucket").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("first") + F.coalesce(F.sum("n_ids").over(before), F.lit(0))
+    return files.join(sums, "bucket").select("path", "n_docs", "n_ids", start.cast("long").alias("start"))
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
