@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,7 +15,12 @@ from pyspark.sql.window import Window
 
 # Words that end in a point without ending a sentence.
 ABBREVIATIONS = ("dr", "mr", "mrs", "ms", "st", "jr", "sr", "vs", "etc", "prof", "rev", "vol", "no", "p", "pp")
-SMALL, MEDIUM = (20, 200), (150, 400)
+# Words of the four scales of chunks, and the stride of topic windows.
+SMALL, MEDIUM, LARGE_MOST = (4, 100), (80, 400), 1500
+TOPIC_LEAST, TOPIC_ENOUGH, TOPIC_MOST, TOPIC_STRIDE = 600, 1400, 2800, 700
+# Which scales may be the context and the topic of a chunk, the preferred one first.
+CONTEXT = {"small": ["medium", "large", "topic"], "medium": ["large", "topic"], "large": ["topic"], "topic": []}
+TOPIC = {"small": ["topic", "large", "medium"], "medium": ["topic", "large"], "large": ["topic"], "topic": []}
 
 
 def block_type(text: Column) -> Column:
@@ -35,10 +42,6 @@ def block_type(text: Column) -> Column:
     )
 
 
-def heading_level(text: Column) -> Column:
-    return F.when(text.rlike("(?i)^(part|section) "), 1).when(text.rlike("(?i)^(step|chapter|tradition) "), 2).otherwise(3)
-
-
 def in_order(by: str = "doc_id", at: str = "ord") -> Window:
     return Window.partitionBy(by).orderBy(at)
 
@@ -53,85 +56,174 @@ def with_section(blocks: DataFrame, starts: Column) -> DataFrame:
     return blocks.withColumn("section", F.sum(starts.cast("int")).over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def collapse_doubled(line: str | None) -> str | None:
+def collapse_doubled(line: Column) -> Column:
     """Undo a doubled text layer: where over 60 % of characters have an equal neighbour, runs are halved."""
-    if line is None or len(line) < 5:
-        return line
-    runs = [m.group(0) for m in re.finditer(r"(.)\1*", line, re.S)]
-    if sum(len(r) for r in runs if len(r) > 1) / len(line) <= 0.6:
-        return line
-    return "".join(r[: max(1, len(r) // 2)] for r in runs)
+    runs = F.regexp_extract_all(line, F.lit(r"(?s)((.)\2*)"), F.lit(1))
+    doubled = F.aggregate(runs, F.lit(0), lambda n, x: n + F.when(F.length(x) > 1, F.length(x)).otherwise(0))
+    halved = F.array_join(F.transform(runs, lambda x: F.substring(x, F.lit(1), F.greatest(F.lit(1), F.floor(F.length(x) / 2).cast("int")))), "")
+    return F.when((F.length(line) >= 5) & (doubled > 0.6 * F.length(line)), halved).otherwise(line)
+
 
+#: Ends of sentences are marked before they are cut; a closed point is one that ends none. What may end a
+#: sentence, close it and open the next (QUOTES and the classes in sentence_patterns) are fixed values.
+CLOSED, CUT = "\x01", "\x02"
+QUOTES = "\"'”“’‘"
 
-END = re.compile("([.!?][\"'”“’‘)]?)\\s+(?=[A-Z\"“‘])")
 
+def sentence_patterns() -> tuple[str, str]:
+    """Patterns, for Java's and RE2's dialect: a point that an abbreviation or an initial ends in, and
+    the end of a sentence with the first character of the next."""
+    known = "|".join(ABBREVIATIONS)
+    word = f"(?i:{known})|[A-Z]|(?:[A-Za-z][.])+[A-Za-z]"
+    return f"(^|[\\s(\\[{QUOTES}])((?:{word})[.][{QUOTES})]?)(\\s)", f"([.!?][{QUOTES})]?)\\s+([A-Z\"“‘])"
 
-def sentences(text: str | None) -> list[str]:
-    """Sentences of a paragraph; a point after an abbreviation or an initial ends none."""
-    out, start = [], 0
-    for m in END.finditer(text or ""):
-        piece = text[start : m.end(1)]
-        last = piece.split()[-1].strip("\"'”“’‘()[]") if piece.split() else ""
-        word = last.rstrip(".")
-        if last.endswith(".") and (word.lower() in ABBREVIATIONS or re.fullmatch(r"[A-Z]|(?:[A-Za-z]\.)+[A-Za-z]", word)):
-            continue
-        out.append(piece.strip())
-        start = m.end()
-    rest = (text or "")[start:].strip()
-    return [s for s in (*out, rest) if s]
 
+def sentences(text: Column) -> Column:
+    """Sentences of a paragraph; a point after an abbreviation or an initial ends none.
 
-def _pieces(words: list[str], most: int, least: int) -> list[list[str]]:
-    parts = [words[i : i + most] for i in range(0, len(words), most)]
-    if len(parts) > 1 and len(parts[-1]) < least:
-        parts[-2] += parts.pop()
-    return parts
+    Neighbouring abbreviations share the blank between them, so points are closed in two passes.
+    """
+    closed, end = sentence_patterns()
+    for _ in range(2):
+        text = F.regexp_replace(text, closed, f"$1$2{CLOSED}$3")
+    parts = F.split(F.regexp_replace(text, end, f"$1{CUT}$2"), CUT)
+    return F.filter(F.transform(parts, lambda x: F.trim(F.translate(x, CLOSED, ""))), lambda x: x != "")
+
+
+def _shared(words: list[str], most: int) -> list[list[str]]:
+    """Words in as few pieces of `most` at most as hold them, of sizes as equal as can be."""
+    n = -(-len(words) // most)
+    edges = [len(words) * k // n for k in range(n + 1)]
+    return [words[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def _long_pieces(paragraph: str) -> list[list[str]]:
+    """A paragraph of over MEDIUM words in pieces: clauses gathered while they fit, over-long ones cut evenly."""
+    clauses = [c.split() for c in re.split(r"(?<=[.!?])\s+", paragraph)]
+    out: list[list[str]] = []
+    for words in (piece for c in clauses if c for piece in _shared(c, MEDIUM[1])):
+        if out and len(out[-1]) + len(words) <= MEDIUM[1]:
+            out[-1] += words
+        else:
+            out.append(list(words))
+    if len(out) > 1 and len(out[-1]) < MEDIUM[0]:  # even out a short last piece with the one before
+        both = out.pop(-2) + out.pop()
+        out += _shared(both, MEDIUM[1])
+    return out
+
+
+def medium_chunks(paragraphs: list[str]) -> tuple[list, list]:
+    """Chunks (first, last, words) of the medium scale, and small ones that found no other place.
+
+    A paragraph of enough words stands alone and one of too many is cut; shorter ones gather until they
+    have enough. Short ones left before a stop join the chunk before, if there is one.
+    """
+    done, small, held = [], [], []
+
+    def settle() -> None:
+        words = [w for _, text in held for w in text]
+        if len(words) >= MEDIUM[0]:
+            done.append([held[0][0], held[-1][0], words])
+        elif held and done:
+            done[-1][1] = held[-1][0]
+            done[-1][2] = done[-1][2] + words
+        elif len(words) >= SMALL[0]:
+            small.append([held[0][0], held[-1][0], words])
+        held.clear()
+
+    for n, paragraph in enumerate(paragraphs):
+        words = paragraph.split()
+        if len(words) < MEDIUM[0]:
+            held.append((n, words))
+            if sum(len(w) for _, w in held) >= MEDIUM[0]:
+                settle()
+        else:
+            settle()
+            done += [[n, n, piece] for piece in ([words] if len(words) <= MEDIUM[1] else _long_pieces(paragraph))]
+    settle()
+    return done, small
+
+
+def large_spans(sizes: list[int]) -> list[tuple[int, int]]:
+    """Paragraphs gathered while LARGE_MOST words hold them; the last span only if it is more than a medium chunk."""
+    out, first, total = [], 0, 0
+    for n, size in enumerate(sizes):
+        if n > first and total + size > LARGE_MOST:
+            out.append((first, n - 1))
+            first, total = n, 0
+        total += size
+    return out + [(first, len(sizes) - 1)] if sizes and total > MEDIUM[1] else out
+
+
+def topic_spans(sizes: list[int]) -> list[tuple[int, int]]:
+    """Overlapping windows: TOPIC_ENOUGH words at least where there are so many, going on while TOPIC_MOST
+    holds the next paragraph; the next window starts TOPIC_STRIDE words later."""
+    upto = [0, *accumulate(sizes)]
+    out: list[tuple[int, int]] = []
+    first = 0
+    while upto[-1] > MEDIUM[1] and first < len(sizes):
+        enough = bisect_left(upto, upto[first] + TOPIC_ENOUGH, first + 1)
+        stop = min(max(enough, bisect_right(upto, upto[first] + TOPIC_MOST) - 1), len(sizes))
+        words = upto[stop] - upto[first]
+        if words >= TOPIC_LEAST or (not out and words > MEDIUM[1]):
+            out.append((first, stop - 1))
+        if stop == len(sizes):
+            break
+        first = min(max(bisect_left(upto, upto[first] + TOPIC_STRIDE, first + 1), first + 1), stop)
+    return out
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """Chunks of lines at two scales: (doc_id, scale, chunk_index, start, end, words, text).
+    """Chunks of a document's lines at four scales: (doc_id, scale, chunk_index, start, end, words, text).
 
-    small: each line of SMALL words; medium: lines gathered until MEDIUM would overflow, the last
-    one joined to its predecessor where it is too short. A document is one row of input, so each is
-    cut in its own task batch and none is gathered.
+    Every line is a paragraph. A document is one row of input, so each is cut in its own task batch
+    and none is gathered; null and blank texts have no chunk.
     """
 
+    def of_document(text: str | None) -> Iterator[tuple]:
+        paragraphs = [x.strip() for x in (text or "").split("\n") if x.strip()]
+        words = [x.split() for x in paragraphs]
+        sizes = [len(w) for w in words]
+        medium, left = medium_chunks(paragraphs)
+        small = [(n, n, w) for n, w in enumerate(words) if SMALL[0] <= len(w) <= SMALL[1]] + left
+        spans = {"large": large_spans(sizes), "topic": topic_spans(sizes)}
+        found = {"small": small, "medium": medium} | {k: [(a, b, [w for x in words[a : b + 1] for w in x]) for a, b in v] for k, v in spans.items()}
+        for scale, parts in found.items():
+            yield from ((scale, i, a, b, len(w), " ".join(w)) for i, (a, b, w) in enumerate(parts))
+
+    names = ["doc_id", "scale", "chunk_index", "start", "end", "words", "text"]
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                lines = [x for x in (text or "").split("\n") if x.strip()]
-                small = [(n, n, w) for n, w in enumerate(line.split() for line in lines) if SMALL[0] <= len(w) <= SMALL[1]]
-                medium, held, first = [], [], 0
-                for n, words in enumerate(line.split() for line in lines):
-                    if held and len(held) + len(words) > MEDIUM[1]:
-                        medium.append((first, n - 1, held))
-                        held, first = [], n
-                    for k, part in enumerate(parts := _pieces(words, MEDIUM[1], SMALL[0])):
-                        if k + 1 < len(parts):
-                            medium.append((n, n, part))
-                            first = n
-                        else:
-                            held = held + part
-                if held and medium and len(held) < MEDIUM[0]:
-                    a, _, words = medium.pop()
-                    held, first = words + held, a
-                if held:
-                    medium.append((first, len(lines) - 1, held))
-                for scale, found in (("small", small), ("medium", medium)):
-                    rows += [(doc_id, scale, i, a, b, len(w), " ".join(w)) for i, (a, b, w) in enumerate(found)]
-            yield pd.DataFrame(rows, columns=["doc_id", "scale", "chunk_index", "start", "end", "words", "text"])
+                rows += [(doc_id, *chunk) for chunk in of_document(text)]
+                if len(rows) > 5000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
 
     return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, scale string, chunk_index int, start int, end int, words int, text string")
 
 
 def covering(parts: DataFrame) -> DataFrame:
-    """For each small chunk the first medium chunk of its document that covers its lines, else itself."""
-    small = parts.where("scale = 'small'").select("doc_id", "chunk_index", "start", "end")
-    medium = parts.where("scale = 'medium'").select("doc_id", F.col("chunk_index").alias("p"), F.col("start").alias("ps"), F.col("end").alias("pe"))
-    near = small.join(medium, (small.doc_id == medium.doc_id) & (medium.ps <= small.start) & (medium.pe >= small.end), "left")
-    return near.groupBy(small.doc_id, "chunk_index").agg(F.min("p").alias("parent")).select(
-        "doc_id", "chunk_index", F.when(F.col("parent").isNull(), "small").otherwise("medium").alias("parent_scale"), F.coalesce("parent", "chunk_index").alias("parent_index"))
+    """Context and topic of every chunk: the first chunk that covers its lines, of the first scale in its
+    order of preference that has one; the chunk itself where none has.
+
+    (doc_id, scale, chunk_index, context_scale, context_index, topic_scale, topic_index)
+    """
+    own = parts.select("doc_id", "scale", "chunk_index", "start", "end")
+    other = parts.select("doc_id", F.col("scale").alias("at"), F.col("chunk_index").alias("k"), F.col("start").alias("a"), F.col("end").alias("b"))
+    near = own.join(other, "doc_id").where("at <> scale AND a <= start AND b >= end")
+
+    def place(order: dict[str, list[str]]) -> Column:
+        of = F.create_map(*[x for k, v in order.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
+        at = F.array_position(of[F.col("scale")], F.col("at"))
+        return F.min(F.when(at > 0, F.struct(at.alias("n"), "k", "at")))
+
+    best = near.groupBy("doc_id", "scale", "chunk_index").agg(place(CONTEXT).alias("c"), place(TOPIC).alias("t"))
+    names = [F.coalesce(f"{x}.{y}", z).alias(f"{n}_{m}") for x, n in (("c", "context"), ("t", "topic")) for y, z, m in (("at", "scale", "scale"), ("k", "chunk_index", "index"))]
+    return own.join(best, ["doc_id", "scale", "chunk_index"], "left").select("doc_id", "scale", "chunk_index", *names)
 
 
 class _Blocks(HTMLParser):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -132,24 +131,29 @@ def chunk_parents(spark, sf_dir):
     return st.covering(st.chunks(table(spark, sf_dir, "documents")))
 
 
-@query()
-def sentence_split(spark, sf_dir):
-    @F.pandas_udf("array<string>")
-    def split(s: pd.Series) -> pd.Series:
-        return s.map(st.sentences)
+SQL_CLOSED, SQL_END = (x.replace("'", "''") for x in st.sentence_patterns())
 
+
+@query(f"""WITH {SQL_LINES}, c AS (SELECT doc_id, ord, regexp_replace(text, '{SQL_CLOSED}', '\\1\\2' || chr(1) || '\\3', 'g') AS t FROM ln),
+d AS (SELECT doc_id, ord, regexp_replace(t, '{SQL_CLOSED}', '\\1\\2' || chr(1) || '\\3', 'g') AS t FROM c),
+p AS (SELECT doc_id, ord, list_filter(list_transform(string_split(regexp_replace(t, '{SQL_END}', '\\1' || chr(2) || '\\2', 'g'), chr(2)), lambda x: trim(replace(x, chr(1), ''))), lambda x: x <> '') AS s FROM d)
+SELECT doc_id, ord, CAST(i - 1 AS INTEGER) AS n, s[i] AS sentence FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM p)""")
+def sentence_split(spark, sf_dir):
     lines = lines_of(table(spark, sf_dir, "documents"))
-    return lines.select("doc_id", "ord", F.posexplode(split("text")).alias("n", "sentence"))
+    return lines.select("doc_id", "ord", F.posexplode(st.sentences(F.col("text"))).alias("n", "sentence"))
 
 
 @query()
 def doubled_layers(spark, sf_dir):
-    @F.pandas_udf("string")
-    def undo(s: pd.Series) -> pd.Series:
-        return s.map(st.collapse_doubled)
-
     lines = lines_of(table(spark, sf_dir, "documents"))
-    return lines.select("doc_id", "ord", undo("text").alias("text"))
+    return lines.select("doc_id", "ord", st.collapse_doubled(F.col("text")).alias("text"))
+
+
+@query()
+def chunk_audit(spark, sf_dir):
+    """Chunks and their words by scale."""
+    found = st.chunks(table(spark, sf_dir, "documents"))
+    return found.groupBy("scale").agg(F.count("*").alias("chunks"), F.round(F.avg("words"), 6).alias("words"))
 
 
 @query()

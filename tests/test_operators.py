@@ -2,20 +2,83 @@
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import e164, slug
-from inkwell.operators import graph, schedule, structure
+from inkwell.operators import graph, repair, schedule, structure
 from inkwell.operators.ranking import bm25
 from inkwell.sources import sinks, tables
 
 
-def test_doubled_layers_and_sentences():
-    assert structure.collapse_doubled("AABBCC") == "ABC"
-    assert structure.collapse_doubled("ordinary prose") == "ordinary prose"
-    assert structure.collapse_doubled(None) is None
-    assert structure.sentences("He met Dr. Bob there. Then A.A. Grew. Bill W. Spoke.") == ["He met Dr. Bob there.", "Then A.A. Grew.", "Bill W. Spoke."]
-    assert structure.sentences(None) == []
+def column(spark, f, values):
+    rows = spark.createDataFrame(list(enumerate(values)), "n int, x string")
+    return [r.y for r in rows.select("n", f(F.col("x")).alias("y")).orderBy("n").collect()]
+
+
+def test_doubled_layers_and_sentences(spark):
+    assert column(spark, structure.collapse_doubled, ["AABBCC", "ordinary prose", None, "", "aaaa"]) == ["ABC", "ordinary prose", None, "", "aaaa"]
+    got = column(spark, structure.sentences, ["He met Dr. Bob there. Then A.A. Grew. Bill W. Spoke.", "By J. R. R. Hall. So! “Yes.” No", None, "  "])
+    assert got == [["He met Dr. Bob there.", "Then A.A. Grew.", "Bill W. Spoke."], ["By J. R. R. Hall.", "So!", "“Yes.”", "No"], None, []]
+
+
+def test_repair(spark):
+    docs = spark.createDataFrame([
+        (1, "practi-\ncal self-\nsufficiency. self self sufficiency sufficiency"), (5, "PRACTI-\nCAL Cau- tious"), (2, "fi rst and suffi cient; a fl y fi sh"), (3, None), (4, "")], "doc_id long, text string")
+    mended = {r.doc_id: r.text for r in repair.repair_hyphens(docs).collect()}
+    assert mended == {1: "practical self-sufficiency. self self sufficiency sufficiency", 5: "PRACTICAL Cautious", 2: "fi rst and suffi cient; a fl y fi sh", 3: None, 4: ""}
+    assert {r.doc_id: r.text for r in repair.repair_ligatures(docs).collect()}[2] == "first and sufficient; a fly fi sh"
+    lines = ["It was", "late. He", "Went home to Dr.", "Bob and slept.", "Next day", "", "1. item", "more of it", "THE END", "So it was."]
+    rows = spark.createDataFrame([(7, n, x) for n, x in enumerate(lines)], "doc_id long, ord int, text string")
+    got = [(r.paragraph, r.lines, r.text) for r in repair.reflow(rows).orderBy("paragraph").collect()]
+    assert got == [(1, 4, "It was late. He Went home to Dr. Bob and slept."), (2, 1, "Next day"), (3, 2, "1. item more of it"), (4, 1, "THE END"), (5, 1, "So it was.")]
+
+
+def test_headings(spark):
+    got = column(spark, repair.clean_heading, ["6 BUILDING A NEW LIFE 476", "A", "22 STEP ONE", "PIONEERS OF A.A.", "Step 5", "THE DOCTOR'S OPINION xxv", "mentally ill", None, "", "How It Works"])
+    assert [g and (g.title, g.running) for g in got] == [None, None, ("Step One", True), ("Pioneers of A.A.", False), ("Step 5", False), ("The Doctor's Opinion", True), None, None, None, ("How It Works", False)]
+    assert column(spark, repair.is_title_like, ["The Way of Life", "the way of life", "of the", "12"]) == [True, False, False, False]
+    assert column(spark, repair.is_index, ["Abstinence, 4, 12\nAcceptance 12", "It was so.", ""]) == [True, False, False]
+
+
+def test_outline(spark):
+    texts = ["How It Works", "p", "p", "p", "Copyright", "p", "Into Action", "p", "Very Short", "p", "p", "p", *["Daily Note", "p", "p", "p"] * 5]
+    rows = spark.createDataFrame([(1, n, x) for n, x in enumerate(texts)], "doc_id long, ord int, text string")
+    got = [(r.start, r.title, r.blocks, r.parts) for r in repair.outline(rows, F.col("text") != "p", most=10).orderBy("start").collect()]
+    # "Daily Note" is said five times and opens nothing; "Into Action" has too little and joins the one before
+    assert got == [(0, "How It Works", 5, 1), (8, "Very Short", 18, 2)]
+
+
+@pytest.mark.parametrize("sizes", [[401], [405], [419], [420], [805], [1205], [30, 30, 30, 500, 10], [3], [90, 20], [450, 900, 60, 2000, 700, 10], [200] * 40])
+def test_chunks_keep_every_word(spark, sizes):
+    words = iter(range(10**6))
+    lines = [" ".join(f"w{next(words)}." if k % 17 == 16 else f"w{next(words)}" for k in range(n)) for n in sizes]
+    text = "\n".join(lines)
+    parts = structure.chunks(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")).collect()
+    assert {p.doc_id for p in parts} <= {1} and all(p.words == len(p.text.split()) for p in parts)
+    by = {k: [p for p in parts if p.scale == k] for k in ("small", "medium", "large", "topic")}
+    if sum(sizes) >= 80:
+        assert " ".join(p.text for p in by["medium"]).split() == text.split()
+    assert all(80 <= p.words <= 400 or p.end > p.start or len(by["medium"]) == 1 for p in by["medium"])
+    assert all(4 <= p.words <= 100 for p in by["small"])
+    if sum(sizes) > 400:
+        seen = {n for p in by["topic"] for n in range(p.start, p.end + 1)}
+        assert seen and by["topic"][0].start == 0 and all(a.start < b.start <= a.end + 1 for a, b in zip(by["topic"], by["topic"][1:]))
+        assert all(p.words <= 2800 or p.start == p.end for p in by["topic"])
+    assert all(p.words <= 1500 or p.start == p.end for p in by["large"])
+
+
+def test_covering(spark):
+    rows = [("small", 0, 0, 0), ("small", 1, 9, 9), ("medium", 0, 0, 2), ("medium", 1, 0, 5), ("large", 0, 0, 5), ("topic", 0, 0, 4), ("topic", 1, 3, 9)]
+    parts = spark.createDataFrame([(1, s, k, a, b) for s, k, a, b in rows], "doc_id long, scale string, chunk_index int, start int, end int")
+    got = {(r.scale, r.chunk_index): (r.context_scale, r.context_index, r.topic_scale, r.topic_index) for r in structure.covering(parts).collect()}
+    order = {"small": (("medium", "large", "topic"), ("topic", "large", "medium")), "medium": (("large", "topic"), ("topic", "large")), "large": (("topic",), ("topic",)), "topic": ((), ())}
+    for s, k, a, b in rows:
+        want = []
+        for prefer in order[s]:
+            want += next(((t, j) for p in prefer for t, j, c, d in rows if t == p and c <= a and d >= b), (s, k))
+        assert got[s, k] == tuple(want)
 
 
 def test_block_types(spark):
@@ -25,15 +88,7 @@ def test_block_types(spark):
     assert {r.text: r.type for r in rows} == cases
 
 
-def test_chunks_cover_all_words(spark):
-    line = " ".join(["word"] * 90)
-    text = "\n".join([line] * 9 + ["short line"] + [" ".join(["long"] * 950)])
-    parts = structure.chunks(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string"))
-    medium = parts.where("scale = 'medium'").collect()
-    assert sum(r.words for r in medium) == len(text.split()) and {r.doc_id for r in medium} == {1}
-    assert all(r.words <= 400 + 150 for r in medium)
-    parents = structure.covering(parts).collect()
-    assert len(parents) == 9 and all(r.parent_scale == "medium" for r in parents)
+
 
 
 def test_html_blocks(spark):
