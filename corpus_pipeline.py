@@ -30,16 +30,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, 0.8) the document of the smallest id. Of rows that
-    repeat an id, one of those with the smallest text stays; rows without an id all stay."""
-    found = staged(near_duplicates(docs.select("doc_id", "text"), words=5, percent=80), "near-dedup")
-    gone = found.where("NOT kept").select("doc_id").distinct()
-    kept = docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
-    twice = found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    if twice.isEmpty():
-        return kept
-    some = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
-    return kept.join(twice, "doc_id", "left_anti").unionByName(some.select("doc_id", "row.*"))
+    """Of each group of near copies (five words, 0.8) the document of the smallest id. Rows that repeat
+    an id are documents of their own; all but one of them count as later than all other ids. Rows
+    without an id all stay."""
+    rows = docs.select(COLUMNS).withColumn("row", F.col("doc_id").cast("long"))
+    twice = rows.where("row IS NOT NULL").groupBy("row").count().where("count > 1").select("row")
+    if not twice.isEmpty():
+        again = staged(rows.join(twice, "row", "left_semi").withColumn("at", F.monotonically_increasing_id()), "repeated")
+        first = again.groupBy("row").agg(F.min("at").alias("first"))
+        later = F.lit(rows.agg(F.max("row")).first()[0] + 1) + F.col("at")
+        again = again.join(first, "row").withColumn("row", F.when(F.col("at") == F.col("first"), F.col("row")).otherwise(later))
+        rows = staged(rows.join(twice, "row", "left_anti").unionByName(again.drop("at", "first")), "rows")
+    found = staged(near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), words=5, percent=80), "near-dedup")
+    return rows.join(found.where("NOT kept").select(F.col("doc_id").alias("row")), "row", "left_anti").select(COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
