@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,14 +14,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor and the driver see; one of our own only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that every executor and the driver see. Where none is set, one of our own on a single
+    machine; on a cluster that is an error, since executors would not see each other's files."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        own = spark.sparkContext.getCheckpointDir()
-        if own is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-            own = spark.sparkContext.getCheckpointDir()
-        path = own
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
 
 

@@ -25,3 +25,8 @@ def read_whole(uri: str) -> bytes:
     system, path = _at(uri)
     with system.open_input_stream(path, compression=None) as file:
         return file.read()
+
+
+def exists(uri: str) -> bool:
+    system, path = _at(uri)
+    return system.get_file_info(path).type == fs.FileType.File

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import fresh_path, staged, width
-from inkwell.llm.files import read_whole, write_whole
+from inkwell.llm.files import exists, read_whole, write_whole
 
 SPAN, KEY = 50, 24
 REACH = SPAN - KEY
@@ -394,22 +394,20 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
         return write
 
-    def answer(kind: str, number: int, has: set[int]) -> list[bytes]:
-        if number not in has:
-            return []
-        return pa.ipc.open_file(pa.py_buffer(read_whole(f"{folder}/{kind}-{number}"))).read_all().column("data").to_pylist()
+    def answer(kind: str, number: int) -> list[bytes]:
+        found = f"{folder}/{kind}-{number}"
+        return pa.ipc.open_file(pa.py_buffer(read_whole(found))).read_all().column("data").to_pylist() if exists(found) else []
 
-    def post(rows: DataFrame, kind: str) -> set[int]:
-        done = rows.groupBy("chunk").applyInArrow(answered(kind), "chunk long").collect()  # a number for each chunk
-        return {r[0] for r in done}
+    def post(rows: DataFrame, kind: str) -> None:
+        rows.groupBy("chunk").applyInArrow(answered(kind), "chunk long").count()
 
     source = chunks.select("chunk", "rows", "places")
     shared = source.mapInArrow(send_keys, deal).groupBy("bucket").applyInArrow(shared_keys, deal)
-    has_keys = post(shared, "keys")
+    post(shared, "keys")
 
     def of_chunk(number: int, part: Chunk):
         """Numbers of the anchors whose keys are shared, and their tuples in order of key."""
-        some = answer("keys", number, has_keys)
+        some = answer("keys", number)
         known = np.concatenate([_unpacked(s, "<u8") for s in some]) if some else np.zeros(0, np.uint64)
         keys = part.keys()
         mine = short(keys)
@@ -465,13 +463,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
             yield from answers()
 
     tuples = source.mapInArrow(send_tuples, deal).repartition(1 << high, "bucket").sortWithinPartitions("bucket")
-    has_answers = post(tuples.mapInArrow(sort_and_induce, deal), "answers")
+    post(tuples.mapInArrow(sort_and_induce, deal), "answers")
 
     def cut(batches):
         for batch in batches:
             for number, part in opened(batch):
                 start = np.zeros(len(part.data) + 1, bool)
-                some = answer("answers", number, has_answers)
+                some = answer("answers", number)
                 if some:
                     at, found, which, _ = of_chunk(number, part)
                     own, bits = [], []

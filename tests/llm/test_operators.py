@@ -9,6 +9,7 @@ import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import GroupedData
+from pyspark.sql import functions as F
 
 from inkwell.llm import arc, brown_lm, chosen_path, line_crf, line_rules, mixing, multi_index, piece_index, suffix_dedup, token_files
 from inkwell.llm.common import connected_components
@@ -346,21 +347,104 @@ def union(n: int, links) -> list[int]:
 # 9
 
 
-def test_brown_model(spark):
-    docs = documents(spark).select("doc_id", "text")
-    got = brown_lm.score(docs, docs).collect()
-    count = collections.Counter()
-    tokens = lambda t: (t or "").encode().lower().split() + [b"\n"]
-    rows = docs.collect()
-    for r in rows:
-        count.update(tokens(r.text))
+def brown_score(texts, learnt, class_of):
+    """Base and model score of each text by plain counting, given the class of every training word."""
+    tokens = [t.encode().lower().split() + [b"\n"] for t in texts]
+    count = collections.Counter(w for t, ok in zip(tokens, learnt, strict=True) if ok for w in t)
     n, v = sum(count.values()), len(count)
-    want = sorted((len(tokens(r.text)), round(sum(np.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens(r.text)), 6)) for r in rows)
-    assert sorted((r.n_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(r.n_known == r.n_tokens and r.train_tokens == n and r.score < 0 for r in got)
-    assert brown_lm.score(docs.limit(0), docs).count() == 0
-    unseen = brown_lm.score(docs, docs.limit(0)).collect()
-    assert all(r.n_known == 0 and np.isfinite(r.score) for r in unseen)
+    kinds = sorted({*class_of.values()})
+    unknown, end = max(kinds, default=-1) + 1, max(kinds, default=-1) + 2
+    kind = lambda w: end if w == b"\n" else class_of.get(w, unknown)
+    steps, size = collections.Counter(), collections.Counter()
+    for t, ok in zip(tokens, learnt, strict=True):
+        for a, b in zip([b"\n", *t], t, strict=False):
+            if ok:
+                steps[kind(a), kind(b)] += 1
+                size[kind(b)] += 1
+    return tokens, count, n, v, kind, steps, size
+
+
+def test_brown_model(spark, monkeypatch):
+    monkeypatch.setattr(brown_lm, "LEAST", 3)
+    r = np.random.default_rng(4)
+    # two kinds of words that follow each other in turn, with a few rare ones
+    odd, even = [f"a{k}" for k in range(20)], [f"b{k}" for k in range(20)]
+    texts = ["", "A0 b0", "unknown words here"]
+    for k in range(120):
+        words = [str(r.choice(odd if i % 2 else even)) for i in range(r.integers(2, 40))]
+        texts.append(" ".join([*words, f"rare{k // 2}"]))
+    learnt = [i % 5 != 2 for i in range(len(texts))]
+    docs = spark.createDataFrame([(i, t, ok, 1) for i, (t, ok) in enumerate(zip(texts, learnt, strict=True))], "doc_id long, text string, ok boolean, learn int")
+    held = {}
+    keep = brown_lm.in_classes
+    monkeypatch.setattr(brown_lm, "in_classes", lambda rows, others, shared, n: held.update(others=others.collect(), shared=shared.value) or keep(rows, others, shared, n))
+    number = brown_lm.numbered
+    monkeypatch.setattr(brown_lm, "numbered", lambda rows, words: held.update(words=words.value.words.split(b"\n")) or number(rows, words))
+    values = []
+    run = brown_lm.cluster
+    monkeypatch.setattr(brown_lm, "cluster", lambda *a: values.append(run(*a)) or values[0])
+    c = 4
+    got = {x.doc_id: x for x in brown_lm.score(docs, F.col("ok"), n_classes=c).collect()}
+    rising = values[0][2]
+    assert len(rising) > 1 and all(a < b for a, b in zip(rising, rising[1:], strict=False))
+    class_of = {w: int(k) for w, k in zip(held["words"], held["shared"][0], strict=True)} | {bytes(x.word): x.kind for x in held["others"]}
+    tokens, count, n, v, _, _, _ = brown_score(texts, learnt, class_of)
+    assert set(class_of) == set(count) - {b"\n"} and set(class_of.values()) <= set(range(c))
+    # every class, the unknown word's and the end's, as the docstring has it
+    kind = lambda w: c + 1 if w == b"\n" else class_of.get(w, c)
+    steps, types = np.zeros((c + 2, c + 2)), np.zeros(c + 2)
+    for t, ok in zip(tokens, learnt, strict=True):
+        for a, b in zip([b"\n", *t], t, strict=False):
+            steps[kind(a), kind(b)] += ok
+    for k in class_of.values():
+        types[k] += 1
+    types[c:] = 1
+    total = steps.sum(0)
+    prior = (total + 0.5) / (total + 0.5).sum()
+    p = (steps + (c + 2) * prior) / (steps.sum(1, keepdims=True) + c + 2)
+    assert np.allclose(p.sum(1), 1)
+    for i, t in enumerate(tokens):
+        base = sum(np.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
+        own = sum(np.log10(p[kind(a), kind(b)] * (count[b] + 0.5) / (total[kind(b)] + 0.5 * types[kind(b)])) for a, b in zip([b"\n", *t], t, strict=False))
+        x = got[i]
+        assert (x.n_tokens, x.n_known, x.train_tokens) == (len(t), sum(w in count for w in t), n)
+        assert np.isclose(x.base_score, base) and np.isclose(x.score, own)
+    out = [x for x in got.values() if not learnt[x.doc_id]]
+    assert sum(x.score for x in out) > sum(x.base_score for x in out)  # a better guess of what it has not seen
+    assert brown_lm.score(docs.limit(0), F.lit(True)).count() == 0
+    unseen = brown_lm.score(docs, F.lit(None).cast("boolean")).collect()
+    assert len(unseen) == len(texts) and all(x.n_known == 0 and np.isfinite(x.score) for x in unseen)
+
+
+def test_exchange_moves_one_word_at_a_time():
+    """What a move is said to gain is what the likelihood of counts made anew gains, for every class."""
+    r = np.random.default_rng(2)
+    text = r.integers(0, 12, 600)
+    kinds, c = r.integers(0, 3, 12), 3
+    words = [*text.tolist(), -1]
+
+    def counted(kinds):
+        seq = np.array([4 if w < 0 else kinds[w] for w in words])
+        steps = np.zeros((5, 5))
+        np.add.at(steps, (np.concatenate([[4], seq[:-1]]), seq), 1)
+        return steps, seq
+
+    before_all = None
+    for w in range(12):
+        steps, seq = counted(kinds)
+        left = np.concatenate([[4], seq[:-1]])
+        right = np.concatenate([seq[1:], [4]])
+        at = np.flatnonzero(np.array(words) == w)
+        twice = sum(words[i] == w == words[i - 1] for i in range(1, len(words)))
+        before, after = (np.bincount(x[at], minlength=5).astype(float) for x in (left, right))
+        best = max(range(c), key=lambda d: brown_lm.likelihood(counted(np.where(np.arange(12) == w, d, kinds))[0]))
+        state = brown_lm.Exchange(steps, c)
+        to = state.move(int(kinds[w]), before, after, float(twice))
+        kinds = np.where(np.arange(12) == w, to, kinds)
+        now = brown_lm.likelihood(counted(kinds)[0])
+        assert np.isclose(now, brown_lm.likelihood(counted(np.where(np.arange(12) == w, best, kinds))[0]))
+        assert np.allclose(state.n, counted(kinds)[0]) and (before_all is None or now >= before_all - 1e-9)
+        before_all = now
 
 
 # 10
