@@ -141,7 +141,7 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _branch(rows: DataFrame, chance: float) -> DataFrame:
-    """(node, rep, signature) rows to those of the children; a null node stands for the roots."""
+    """(node, rep, signature, n) rows to those of the children; a null node stands for the roots."""
 
     def run(batches):
         roots = _stir(np.arange(1, TREES + 1, dtype=np.uint64))
@@ -159,23 +159,25 @@ def _branch(rows: DataFrame, chance: float) -> DataFrame:
                     row, coordinate = chosen(own, chance)
                     node = own[row]
                 child = _child(node, coordinate, sig[row, coordinate])
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(rep[row])], ["node", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(rep[row]), part.column(3).take(pa.array(row))], ["node", "rep", "n"])
 
-    return rows.select("node", "rep", "signature").mapInArrow(run, "node long, rep long")
+    return rows.select("node", "rep", "signature", "n").mapInArrow(run, "node long, rep long, n long")
 
 
 def trees(reps: DataFrame, chance: float) -> DataFrame:
-    """(node, rep, size, leaf) of all nodes with two documents or more. reps: rep, signature."""
-    level, found = staged(_branch(reps.select(F.lit(None).cast("long").alias("node"), "rep", "signature"), chance), "nodes"), None
+    """(node, rep, n, size, leaf) of all nodes with two documents or more. reps: rep, signature, n.
+
+    Nodes and what is joined to them grow with the documents, so these joins are merges at any size."""
+    level, found = staged(_branch(reps.select(F.lit(None).cast("long").alias("node"), "rep", "signature", "n"), chance), "nodes"), None
     for depth in range(LAST):
         small = LEAF if depth + 1 < DEPTH else LARGE if depth + 1 < LAST else 1 << 62
         sizes = level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        kept = staged(level.join(sizes, "node").withColumn("leaf", F.col("size") <= small), "nodes")
+        kept = staged(level.join(sizes.hint("merge"), "node").withColumn("leaf", F.col("size") <= small), "nodes")
         found = kept if found is None else found.unionByName(kept)
         large = kept.where("NOT leaf").select("node", "rep")
         if large.isEmpty():
             break
-        level = staged(_branch(large.join(reps.select("rep", "signature"), "rep"), chance), "nodes")
+        level = staged(_branch(large.join(reps.select("rep", "signature", "n"), "rep"), chance), "nodes")
     return found
 
 
@@ -237,8 +239,8 @@ def blocks(nodes: DataFrame, reps: DataFrame, components: DataFrame) -> DataFram
     one component needs nothing; leaves of the same documents, from several trees, are one.
     `leaves` are all leaves of a document: a pair belongs to the least that both are in.
     """
-    held = nodes.where("leaf").select("node", "rep").join(components.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    held = held.withColumn("component", F.coalesce("component", "rep")).join(reps.select("rep", "n"), "rep")
+    held = nodes.where("leaf").select("node", "rep", "n").join(components.select(F.col("id").alias("rep"), "component").hint("merge"), "rep", "left")
+    held = held.withColumn("component", F.coalesce("component", "rep"))
     by_part = held.groupBy("node", "component").agg(F.count("*").alias("docs"), F.sum("n").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark"))
     mixed = by_part.groupBy("node").agg(
         F.count("*").alias("parts"), F.max(F.struct("docs", "component", "n")).alias("main"), F.sum("docs").alias("docs"), F.sum("n").alias("n"), F.sum("mark").alias("mark")
@@ -248,7 +250,7 @@ def blocks(nodes: DataFrame, reps: DataFrame, components: DataFrame) -> DataFram
         F.col("one.node").alias("node"), F.col("one.main.component").alias("main"),
         count(F.col("docs") - F.col("one.main.docs"), F.col("one.n") - F.col("one.main.n")).alias("first"), count(F.col("one.main.docs"), F.col("one.main.n")).alias("more"),
     )
-    rows = held.join(mixed, "node")
+    rows = held.join(mixed.hint("merge"), "node")
     lists = rows.groupBy("rep").agg(F.array_sort(F.collect_list("node")).alias("leaves"))
     rows = rows.join(lists, "rep").join(reps.select("rep", "marks"), "rep")
     # minor blocks are numbered from 0, those of the largest component from `first`
@@ -354,11 +356,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     nodes = trees(reps, chance)
 
     # round 1: every node's documents against two of its documents
-    pivots = nodes.groupBy("node").agg(
-        F.min("rep").alias("low"), F.min(F.struct(F.xxhash64("rep"), "rep")).alias("any")
-    ).select("node", F.explode(F.array_distinct(F.array("low", "any.rep"))).alias("pivot"))
-    pairs = nodes.join(pivots, "node").where("rep <> pivot").select(
-        F.col("pivot").alias("a"), F.col("rep").alias("b")
+    pivots = nodes.groupBy("node").agg(F.min(F.struct("rep", "n")).alias("low"), F.min(F.struct(F.xxhash64("rep"), "rep", "n")).alias("any"))
+    pivots = pivots.select("node", F.explode(F.array_distinct(F.array("low", F.struct("any.rep", "any.n")))).alias("pivot"))
+    fits = 100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n")
+    pairs = nodes.join(pivots.hint("merge"), "node").where((F.col("rep") != F.col("pivot.rep")) & fits).select(
+        F.col("pivot.rep").alias("a"), F.col("rep").alias("b")
     ).distinct()
     near = _agreeing(pairs, reps, least, percent)
     # the two pivots most alike: what else is similar is left to round 2

@@ -313,8 +313,8 @@ def test_large_leaf_is_compared_in_blocks(spark, monkeypatch, main):
         one[at] = r.integers(0, 1 << 62, at.sum())
         sets.append(np.unique(one))
     marks = [chosen_path.signature(s).astype(np.uint8).tobytes() for s in sets]
-    leaf = [(7, i, 240, True) for i in range(240)] + [(9, i, 200, True) for i in range(200)]
-    nodes = spark.createDataFrame(leaf, "node long, rep long, size long, leaf boolean")
+    leaf = [(7, i, len(sets[i]), 240, True) for i in range(240)] + [(9, i, len(sets[i]), 200, True) for i in range(200)]
+    nodes = spark.createDataFrame(leaf, "node long, rep long, n long, size long, leaf boolean")
     reps = spark.createDataFrame([(i, bytearray(m), len(s)) for i, (m, s) in enumerate(zip(marks, sets, strict=True))], "rep long, marks binary, n long")
     full = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sets)], "rep long, set array<bigint>")
     components = spark.createDataFrame([(i, 0) for i in range(main)], "id long, component long")
