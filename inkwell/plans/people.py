@@ -125,12 +125,12 @@ def streaks(spark, sf_dir):
     return runs.groupBy("user_id").agg(F.max("length").alias("best"), current.cast("long").alias("current"))
 
 
-@query("""WITH u AS (SELECT DISTINCT user_id FROM events WHERE user_id < 20), g AS (SELECT user_id, CAST(d AS DATE) AS day FROM u, (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS d)),
+@query("""WITH u AS (SELECT DISTINCT user_id FROM events), g AS (SELECT user_id, CAST(d AS DATE) AS day FROM u, (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS d)),
 m AS (SELECT user_id, CAST(ts AS DATE) AS day, arg_max(value, (ts, event_id)) AS mood FROM events GROUP BY ALL)
 SELECT user_id, CAST(day AS VARCHAR) AS day, mood FROM g LEFT JOIN m USING (user_id, day)""")
 def calendar_grid(spark, sf_dir):
     """Every day of the month for each user with the day's last value, null where there is none."""
-    acts = activity(spark, sf_dir).where("user_id < 20")
+    acts = activity(spark, sf_dir)
     days = F.explode(F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-01-30").cast("date")))
     grid = acts.select("user_id").distinct().select("user_id", days.alias("day"))
     mood = acts.groupBy("user_id", "day").agg(F.max_by("value", F.struct("ts", "event_id")).alias("mood"))

@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
 def write_version(df: DataFrame, folder: str, version: str) -> None:
-    """Write a build beside the others; readers follow the pointer, which is swapped last."""
+    """Write a build beside the others; readers follow the newest pointer, which is added last. No pointer is
+    ever taken away, so a reader finds one at any time, and a write that fails leaves the one before."""
     df.write.mode("overwrite").parquet(f"{folder}/version={version}")
     spark = df.sparkSession
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/_pointer")
+    spark.createDataFrame([(time.time_ns(), version)], "at long, version string").coalesce(1).write.mode("append").parquet(f"{folder}/_pointer")
 
 
 def read_current(spark: SparkSession, folder: str) -> DataFrame:
-    version = spark.read.parquet(f"{folder}/_pointer").first()["version"]
-    return spark.read.parquet(f"{folder}/version={version}")
+    return spark.read.parquet(f"{folder}/version={current_version(spark, folder)}")
+
+
+def current_version(spark: SparkSession, folder: str) -> str:
+    return spark.read.parquet(f"{folder}/_pointer").agg(F.max_by("version", "at")).first()[0]
 
 
 def latest(rows: DataFrame, keys: list[str], *order) -> DataFrame:

@@ -56,11 +56,13 @@ def rate_limited(events: DataFrame, most: int = 3, seconds: int = 3600) -> DataF
 
 def keep_snapshot(changes: DataFrame, folder: str, checkpoint: str, keys: list[str], order: str):
     """Fold each batch into the last state per key, in versions beside each other behind a pointer."""
-    from inkwell.sources.sinks import latest, read_current, write_version
+    from inkwell.sources.sinks import current_version, latest, read_current, write_version
 
     def fold(batch: DataFrame, number: int) -> None:
         rows = batch
         if number > 0:
+            if int(current_version(batch.sparkSession, folder)) >= number:
+                return  # the batch is replayed: its version is there already
             rows = read_current(batch.sparkSession, folder).unionByName(batch)
         write_version(latest(rows, keys, F.desc(order)), folder, str(number))
 

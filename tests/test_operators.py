@@ -174,3 +174,44 @@ def test_diversified_caps_and_turns(spark):
     got = diversified(spark.createDataFrame(rows, "qid string, key long, bucket string, source string, context string, score double"), 4, 2, ["small", "medium", "large"])
     keys = [r.key for r in got.orderBy("pick").collect()]
     assert keys[:2] == [1, 3] and len(keys) == 4 and len({k // 2 for k in keys}) == 4 and max(sum(k % 2 == s for k in keys) for s in (0, 1)) <= 2
+
+
+def test_merged_is_union_find(spark):
+    import random
+
+    r = random.Random(3)
+    edges = [(r.randrange(60), 100 + r.randrange(60)) for _ in range(70)]
+    part = {x: x for e in edges for x in e}
+
+    def root(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((root(a), root(b)))
+        part[high] = low
+    got = {x.id: x.root for x in graph.merged(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in part}
+
+
+def test_rolling_sketches_are_near_the_exact_counts(spark):
+    from inkwell.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    exact = {r.day: r for r in catalog.QUERIES["rolling_active"](spark, sf).collect()}
+    rows = [r for r in catalog.QUERIES["rolling_sketches"](spark, sf).collect() if str(r.day) in exact]
+    assert rows and {str(r.day) for r in rows} == set(exact)
+    assert all(abs(r[c] - exact[str(r.day)][c]) <= 0.05 * exact[str(r.day)][c] + 1 for r in rows for c in ("week", "month"))
+
+
+def test_minutes_of(spark):
+    from inkwell.plans.checks import minutes_of
+
+    assert column(spark, minutes_of, ["7:30 am", "8pm", "19:05", "12 am", "12:15 PM", "99:99", "soon", "", None]) == [450, 1200, 1145, 0, 735, 23 * 60 + 59, None, None, None]
+
+
+def test_contents_name_chapters(spark):
+    found = spark.createDataFrame([(1, 0, "How it works", 9), (1, 20, "22 x", 5), (1, 60, "Other", 4)], "doc_id long, start int, title string, blocks int")
+    toc = spark.createDataFrame([(1, "How It Works", None), (1, "Into Action", 21), (1, "Far", 90)], "doc_id long, title string, start int")
+    assert {r.start: r.title for r in repair.match_titles(found, toc).collect()} == {0: "How It Works", 20: "Into Action", 60: "Other"}

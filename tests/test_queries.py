@@ -10,7 +10,7 @@ from inkwell.plans import catalog
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 CHOSEN = [
-    "bm25_top10", "hybrid_score", "rank_fusion", "topic_edges", "related_topics", "collocations", "fragment_free", "merged_groups", "block_types",
+    "bm25_top10", "hybrid_score", "rank_fusion", "topic_edges", "related_topics", "collocations", "fragment_free", "label_search", "changed_documents", "calendar_grid", "sentence_split", "sentence_ends", "title_and_index_lines", "block_types",
     "merged_paragraphs", "longest_sections", "reader_window", "meetings_near", "rolling_active", "streaks", "user_sessions", "stratified_split",
     "filter_report", "hard_negatives", "far_from_gold", "overlap_with_benchmark", "exact_counts", "revenue_by_nation",
 ]
