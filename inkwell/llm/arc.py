@@ -33,6 +33,7 @@ V2 = ("url", "ip", "date", "type", "result", "checksum", "location", "offset", "
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILE_BYTES = 8 << 20
+STEP = 8192
 MIN_REVISIT = 1000
 
 
@@ -139,10 +140,15 @@ def warc_record(fields: dict[str, str], body: bytes, refers: dict[str, str] | No
 
 def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers in lower case, block) of every record of a file of gzip members."""
-    while data:
-        unpacker = zlib.decompressobj(31)
-        record = unpacker.decompress(data)
-        data = unpacker.unused_data
+    place = 0
+    while place < len(data):
+        unpacker, parts = zlib.decompressobj(31), []
+        while not unpacker.eof and place < len(data):  # in steps, so that what follows a member is not copied each time
+            step = data[place : place + STEP]
+            parts.append(unpacker.decompress(step))
+            place += len(step)
+        place -= len(unpacker.unused_data)
+        record = b"".join(parts)
         at = record.index(b"\r\n\r\n")
         lines = record[:at].decode().split("\r\n")
         headers = {k.lower(): v for k, v in (line.split(": ", 1) for line in lines[1:])}
@@ -199,7 +205,9 @@ def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
         .agg(F.max(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n"))
         .where("n > 1").select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
     )
-    marked = rows.join(twice, "digest", "left").select("page_id", "url", "body", "first_id", "first_url")
+    # pages without a digest have no partner: they stay where they are, instead of meeting under one null key
+    alone = rows.where("digest IS NULL").select("page_id", "url", "body", F.lit(None).cast("long").alias("first_id"), F.lit(None).cast("string").alias("first_url"))
+    marked = rows.where("digest IS NOT NULL").join(twice, "digest", "left").select("page_id", "url", "body", "first_id", "first_url").unionByName(alone)
 
     def run(batches):
         records, size, done = [], 0, []

@@ -197,6 +197,16 @@ def test_messages_against_enumeration():
     assert np.allclose(1 / (1 + np.exp(-(forward + backward)[:3])), ones / total) and np.isclose(forward[3], 2.0)
 
 
+def test_quality_of_held_out_documents(spark):
+    """Learnt from the other rows, the scores rank held-out documents of label 1 above those of label 0."""
+    from inkwell.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    rows = queries.op5_line_crf(spark, sf).where("held_out").join(queries.table(spark, sf, "labels"), "doc_id").select("score", "predicted", "quality").toPandas()
+    good, bad = (rows["score"][rows["quality"] == k].to_numpy() for k in (1, 0))
+    assert len(good) and len(bad) and (good[:, None] > bad).mean() > 0.9 and (rows["predicted"] == rows["quality"]).mean() > 0.9
+
+
 # 6
 
 
