@@ -1,6 +1,6 @@
 """All queries over the given tables, with their DuckDB twins."""
 
-from inkwell.plans import checks, corpus, curation, everyday, graphs, people, repair, search, star, structure  # noqa: F401
+from inkwell.plans import checks, corpus, curation, everyday, feeds, graphs, people, repair, search, star, structure  # noqa: F401
 from inkwell.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
