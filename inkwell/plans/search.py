@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from inkwell.functions.text import tokens
 from inkwell.operators.ranking import bm25, cosine, diversified, fused, postings, quantized, top
+from inkwell.operators.retrieval import STOP_WORDS, asked_terms, batch_bm25, best_window, fresh, hybrid, merged_results
 from inkwell.plans.registry import query
 from inkwell.sources.tables import lines_of, table
 
@@ -106,39 +107,107 @@ def int8_pack(spark, sf_dir):
     return q.select("vec_id", F.aggregate("q", F.lit(0).cast("long"), lambda s, x: s + x * x).alias("norm2"), F.col("q")[0].alias("first"), F.array_max("q").alias("largest"))
 
 
-SQL_HYBRID = f"""{SQL_BM25}, {SQL_KNN.replace("a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id", "a.vec_id = 0 AND b.vec_id <> 0")},
-sem AS (SELECT vec_id AS doc_id, greatest(sim, 0) AS sem FROM r WHERE rank <= 100), kw AS (SELECT doc_id, round(score, 9) AS kw FROM b WHERE qid = 'q1')
+TERMS = 5  # words a query asks for: the most frequent of its document
+SQL_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+SQL_INDEX = SQL_BM25.split("),\n", 1)[1]
+SQL_BATCH = f"""
+q AS (SELECT doc_id AS qid, token FROM (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z0-9'']+'), lambda x: lower(x))) AS token FROM documents WHERE doc_id % 20 = 0)
+ WHERE length(token) > 2 AND token NOT IN ({SQL_STOP}) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, token) <= {TERMS}),
+{SQL_INDEX}"""
+SQL_SIDES = f"""{SQL_BATCH}, {SQL_KNN},
+sem AS (SELECT qid, vec_id AS doc_id, greatest(sim, 0) AS sem, rank FROM r WHERE rank <= 100),
+kr AS (SELECT qid, doc_id, round(score, 6) AS kw, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) AS rank FROM b WHERE doc_id <> qid), kw AS (SELECT * FROM kr WHERE rank <= 100)
 """
 
 
-@query(f"""WITH {SQL_HYBRID}, f AS (SELECT coalesce(sem.doc_id, kw.doc_id) AS doc_id, coalesce(sem, 0) AS sem, coalesce(kw, 0) AS kw FROM sem FULL JOIN kw ON sem.doc_id = kw.doc_id)
-SELECT f.doc_id, round((0.7::DOUBLE * sem / (SELECT max(sem) FROM f) + 0.3::DOUBLE * kw / (SELECT max(kw) FROM f)) * CASE WHEN d.lang = 'en' THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END, 6) AS score
-FROM f JOIN documents d ON d.doc_id = f.doc_id""")
+def batch(spark, sf_dir):
+    """(qid, token): every document whose id is divisible by 20 asks for its most frequent words."""
+    asking = table(spark, sf_dir, "documents").where("doc_id % 20 = 0")
+    words = postings(asking).where((F.length("token") > 2) & ~F.col("token").isin(STOP_WORDS))
+    return top(words, TERMS, ["doc_id"], F.desc("tf"), "token").select(F.col("doc_id").alias("qid"), "token")
+
+
+def keyword_side(spark, sf_dir, k: int = 100, common: int | None = None):
+    found = batch_bm25(table(spark, sf_dir, "documents"), batch(spark, sf_dir), common=common).where("doc_id <> qid")
+    return top(found.withColumn("kw", F.round("score", 6)), k, ["qid"], F.desc("kw"), "doc_id").select("qid", "doc_id", "kw", "rank")
+
+
+def semantic_side(spark, sf_dir, k: int = 100):
+    return nearest(spark, sf_dir, k).select("qid", F.col("vec_id").alias("doc_id"), F.greatest("sim", F.lit(0.0)).alias("sem"), "rank")
+
+
+@query(f"""WITH {SQL_SIDES}, f AS (SELECT coalesce(sem.qid, kw.qid) AS qid, coalesce(sem.doc_id, kw.doc_id) AS doc_id, coalesce(sem, 0) AS sem, coalesce(kw, 0) AS kw FROM sem FULL JOIN kw ON sem.doc_id = kw.doc_id AND sem.qid = kw.qid),
+g AS (SELECT *, max(sem) OVER (PARTITION BY qid) AS ms, max(kw) OVER (PARTITION BY qid) AS mk FROM f)
+SELECT qid, g.doc_id, round((CASE WHEN ms > 0 THEN 0.7::DOUBLE * sem / ms ELSE 0 END + CASE WHEN mk > 0 THEN 0.3::DOUBLE * kw / mk ELSE 0 END) * CASE WHEN d.lang = 'en' THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END, 6) AS score
+FROM g JOIN documents d ON d.doc_id = g.doc_id""")
 def hybrid_score(spark, sf_dir):
-    """Semantic and keyword candidates in one list, each by its best, with a category boost."""
-    docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
-    probe = vectors.where("vec_id = 0").select(F.col("embedding").alias("qv"))
-    sims = vectors.where("vec_id <> 0").crossJoin(F.broadcast(probe)).select(F.col("vec_id").alias("doc_id"), F.round(cosine(F.col("qv"), F.col("embedding")), 9).alias("sim"))
-    sem = sims.orderBy(F.desc("sim"), "doc_id").limit(100).select("doc_id", F.greatest("sim", F.lit(0.0)).alias("sem"))
-    kw = bm25(docs, asked(spark).where("qid = 'q1'")).select("doc_id", F.round("score", 9).alias("kw"))
-    full = sem.join(kw, "doc_id", "full").select("doc_id", F.coalesce("sem", F.lit(0.0)).alias("sem"), F.coalesce("kw", F.lit(0.0)).alias("kw"))
-    best = full.agg(F.max("sem").alias("ms"), F.max("kw").alias("mk"))
+    """Semantic and keyword candidates (the best hundred each) of a query batch, each side by its best, with a category boost."""
+    found = hybrid(semantic_side(spark, sf_dir).drop("rank"), keyword_side(spark, sf_dir).drop("rank"))
     boost = F.when(F.col("lang") == "en", 1.1).otherwise(1.0)
-    score = (F.lit(0.7) * F.col("sem") / F.col("ms") + F.lit(0.3) * F.col("kw") / F.col("mk")) * boost
-    return full.crossJoin(F.broadcast(best)).join(docs.select("doc_id", "lang"), "doc_id").select("doc_id", F.round(score, 6).alias("score"))
+    return found.join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").select("qid", "doc_id", F.round(F.col("score") * boost, 6).alias("score"))
 
 
-@query(f"""WITH {SQL_HYBRID}, a AS (SELECT doc_id, row_number() OVER (ORDER BY sem DESC, doc_id) AS rank FROM sem), c AS (SELECT doc_id, row_number() OVER (ORDER BY kw DESC, doc_id) AS rank FROM kw)
-SELECT doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf FROM (SELECT * FROM a WHERE rank <= 100 UNION ALL SELECT * FROM c WHERE rank <= 100) GROUP BY doc_id""")
+@query(f"""WITH {SQL_SIDES} SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf FROM (SELECT qid, doc_id, rank FROM sem UNION ALL SELECT qid, doc_id, rank FROM kw) GROUP BY ALL""")
 def rank_fusion(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings")
-    probe = vectors.where("vec_id = 0").select(F.col("embedding").alias("qv"))
-    sims = vectors.where("vec_id <> 0").crossJoin(F.broadcast(probe)).select(
-        F.lit("q1").alias("qid"), F.col("vec_id").alias("doc_id"), F.round(cosine(F.col("qv"), F.col("embedding")), 9).alias("sim"))
-    sims = top(sims, 100, ["qid"], F.desc("sim"), "doc_id").withColumn("sem", F.greatest("sim", F.lit(0.0)))
-    sem = top(sims.drop("rank"), 100, ["qid"], F.desc("sem"), "doc_id")
-    kw = bm25(table(spark, sf_dir, "documents"), asked(spark).where("qid = 'q1'")).withColumn("kw", F.round("score", 9))
-    return fused([sem, top(kw, 100, ["qid"], F.desc("kw"), "doc_id")], "doc_id").select("doc_id", F.round("rrf", 9).alias("rrf"))
+    """Reciprocal ranks of both sides of the query batch, summed."""
+    return fused([semantic_side(spark, sf_dir), keyword_side(spark, sf_dir)], "doc_id").select("qid", "doc_id", F.round("rrf", 9).alias("rrf"))
+
+
+COMMON = 60
+SQL_RARE = f"""{SQL_BATCH}, rr AS (SELECT qid, token, df <= {COMMON} AS rare FROM q JOIN d USING (token)), sm AS (SELECT qid, bool_or(rare) AS anyrare FROM rr GROUP BY qid),
+hd AS (SELECT DISTINCT qid, doc_id FROM p JOIN rr USING (token) WHERE rare)"""
+
+
+@query(f"""WITH {SQL_RARE}, k AS (SELECT b.qid, b.doc_id, round(score, 6) AS score FROM b JOIN sm USING (qid) LEFT JOIN hd ON hd.qid = b.qid AND hd.doc_id = b.doc_id WHERE (hd.doc_id IS NOT NULL OR NOT anyrare) AND b.doc_id <> b.qid)
+SELECT qid, doc_id, score AS kw, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM k QUALIFY rank <= 20""")
+def rare_first(spark, sf_dir):
+    """Keyword search in which common words count only for documents that hold a rarer one of the query."""
+    return keyword_side(spark, sf_dir, 20, COMMON)
+
+
+@query(f"""WITH {SQL_SIDES}, kn AS (SELECT qid, doc_id FROM sem WHERE rank <= 20)
+SELECT kw.qid, kw.doc_id, CAST(row_number() OVER (PARTITION BY kw.qid ORDER BY kw DESC, kw.doc_id) AS INTEGER) AS rank FROM kw LEFT JOIN kn ON kn.qid = kw.qid AND kn.doc_id = kw.doc_id WHERE kw.rank <= 20 AND kn.doc_id IS NULL QUALIFY rank <= 2""")
+def fresh_results(spark, sf_dir):
+    """Two results of a second search that the first one did not bring."""
+    known, found = semantic_side(spark, sf_dir, 20), keyword_side(spark, sf_dir, 20).drop("rank")
+    return fresh(known, found, ["doc_id"], 2, F.desc("kw"), "doc_id").select("qid", "doc_id", "rank")
+
+
+@query(f"""WITH {SQL_SIDES}, a AS (SELECT qid, doc_id, rank FROM sem WHERE rank <= 5), n AS (SELECT qid, count(*) AS n FROM a GROUP BY qid),
+z AS (SELECT kw.qid, kw.doc_id, coalesce(n, 0) + row_number() OVER (PARTITION BY kw.qid ORDER BY kw.rank) AS rank FROM kw LEFT JOIN n ON n.qid = kw.qid LEFT JOIN a ON a.qid = kw.qid AND a.doc_id = kw.doc_id WHERE kw.rank <= 20 AND a.doc_id IS NULL)
+SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank FROM (SELECT * FROM a UNION ALL SELECT * FROM z WHERE rank <= 12)""")
+def merged_lists(spark, sf_dir):
+    """One list whole, then what a second one adds, twelve in all."""
+    return merged_results(semantic_side(spark, sf_dir, 5), keyword_side(spark, sf_dir, 20), ["doc_id"], 12).select("qid", "doc_id", "rank")
+
+
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+u AS (SELECT vec_id, list_transform(v, lambda x: CAST(round_even(x / sqrt(list_sum(list_transform(v, lambda y: y * y))) * 127.0::DOUBLE, 0) AS INTEGER)) AS q FROM e)
+SELECT a.vec_id AS qid, b.vec_id, CAST(list_inner_product(a.q::DOUBLE[], b.q::DOUBLE[]) AS BIGINT) AS score, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.q::DOUBLE[], b.q::DOUBLE[]) DESC, b.vec_id) AS INTEGER) AS rank
+FROM u a JOIN u b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id QUALIFY rank <= 8""")
+def int8_nearest(spark, sf_dir, k: int = 8):
+    """Exact neighbours by the dot product of packed vectors, in whole numbers."""
+    packed = table(spark, sf_dir, "embeddings").select("vec_id", quantized(F.col("embedding")).alias("q"))
+    asking = packed.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("q").alias("qq"))
+    score = F.aggregate(F.zip_with("q", "qq", lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
+    return top(packed.join(asking, F.col("vec_id") != F.col("qid")).select("qid", "vec_id", score.alias("score")), k, ["qid"], F.desc("score"), "vec_id")
+
+
+@query(f"""WITH t AS (SELECT item_id, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9'']+'), lambda x: lower(x)), lambda x: length(x) > 2 AND x NOT IN ({SQL_STOP})) AS w FROM benchmark)
+SELECT item_id, token, count(*) > 0 AS asked FROM (SELECT item_id, unnest(w) AS token FROM t) GROUP BY ALL""")
+def question_terms(spark, sf_dir):
+    """The words that questions look for."""
+    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(asked_terms(F.col("text"))).alias("token")).withColumn("asked", F.lit(True))
+
+
+@query(f"""WITH {SQL_SIDES}, ql AS (SELECT qid, list(token) AS terms FROM q GROUP BY qid), x AS (SELECT kw.qid, kw.doc_id, lower(d.text) AS low, terms FROM kw JOIN documents d USING (doc_id) JOIN ql ON ql.qid = kw.qid WHERE rank <= 3),
+w AS (SELECT qid, doc_id, low, terms, unnest(range(0, length(low), 50)) AS start FROM x), h AS (SELECT qid, doc_id, start, len(list_filter(terms, lambda t: contains(substr(low, start + 1, 125), t))) AS hits FROM w)
+SELECT qid, doc_id, CAST(start AS INTEGER) AS start, CAST(hits AS INTEGER) AS hits FROM h QUALIFY row_number() OVER (PARTITION BY qid, doc_id ORDER BY hits DESC, start) = 1""")
+def query_windows(spark, sf_dir):
+    """Where the words of a query lie closest in its three best documents."""
+    terms = batch(spark, sf_dir).groupBy("qid").agg(F.collect_list("token").alias("terms"))  # TERMS of a query
+    rows = keyword_side(spark, sf_dir, 3).join(terms, "qid").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return rows.select("qid", "doc_id", best_window(F.col("text"), F.col("terms")).alias("w")).select("qid", "doc_id", "w.start", "w.hits")
 
 
 @query("""WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9'']+'), lambda x: lower(x)) AS w FROM documents),
