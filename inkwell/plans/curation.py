@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from inkwell.functions.text import tokens
 from inkwell.operators.ranking import top
+from inkwell.operators.training import first_by_hash
 from inkwell.plans.registry import query
 from inkwell.sources.tables import lines_of, table
 
@@ -75,11 +75,10 @@ sp AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('4
 
 def split(spark, sf_dir):
     """2 % of each group of 50 or more for validation, one at least, in the order of a seeded hash."""
-    w = Window.partitionBy("lang")
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    rows = rows.withColumn("n", F.row_number().over(w.orderBy(F.md5(F.concat(F.lit("42|"), F.col("doc_id").cast("string")).cast("binary")), "doc_id"))).withColumn("size", F.count("*").over(w))
+    h = F.md5(F.concat(F.lit("42|"), F.col("doc_id").cast("string")).cast("binary"))
     quota = F.when(F.col("size") >= 50, F.greatest(F.lit(1), F.bround(F.lit(0.02) * F.col("size")))).otherwise(0)
-    return rows.withColumn("part", F.when(F.col("n") <= quota, "val").otherwise("train"))
+    rows = first_by_hash(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", h, quota, "doc_id")
+    return rows.withColumn("part", F.when(F.col("chosen"), "val").otherwise("train"))
 
 
 @query(f"WITH {SQL_SPLIT} SELECT doc_id, lang, CASE WHEN n <= CASE WHEN size >= 50 THEN greatest(1, round_even(0.02::DOUBLE * size, 0)) ELSE 0 END THEN 'val' ELSE 'train' END AS part FROM sp")

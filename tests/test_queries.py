@@ -13,6 +13,9 @@ CHOSEN = [
     "bm25_top10", "hybrid_score", "rank_fusion", "topic_edges", "related_topics", "collocations", "fragment_free", "label_search", "changed_documents", "calendar_grid", "sentence_split", "sentence_ends", "title_and_index_lines", "block_types",
     "merged_paragraphs", "longest_sections", "reader_window", "meetings_near", "rolling_active", "streaks", "user_sessions", "stratified_split",
     "filter_report", "hard_negatives", "far_from_gold", "overlap_with_benchmark", "exact_counts", "revenue_by_nation",
+    "feed_scan", "feed_meetings", "meetings_by_range", "online_meetings", "online_soonest", "subscriber_settings", "subscriber_upsert", "rare_first", "fresh_results", "merged_lists", "int8_nearest",
+    "query_windows", "concept_peers", "concept_places", "topic_votes", "topics_of_turns", "label_keys", "split_by_share", "assigned_flaws", "sample_prompts", "memory_snapshot", "cross_pairs",
+    "citation_hits", "open_threads", "reading_parts", "best_pages", "result_passages", "book_names", "titles_and_authors",
 ]
 
 
