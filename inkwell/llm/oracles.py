@@ -84,4 +84,80 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM m
 """
 
-ORACLES = {"op1_warc": WARC, "op4_mixing": MIXING, "op6_line_rules": LINE_RULES}
+CHAT_PARTS = r"""
+WITH t AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), m AS (
+  SELECT *, 16 + length(regexp_replace(role, '[\\<>]', '__', 'g')) + length(regexp_replace(text, '[\\<>]', '__', 'g')) AS chars FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id
+"""
+
+
+def _codes(rounds: int = 4) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+d{r} AS (SELECT x.vec_id, x.part, x.v, c.entry, CAST(list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+  FROM x JOIN c{r} c USING (part)),
+n{r} AS (SELECT vec_id, part, arg_min(entry, d * 256 + entry) AS entry, min(d) AS d FROM d{r} GROUP BY vec_id, part)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (SELECT part, entry, list(floor(total / n) ORDER BY pos) AS v FROM (
+  SELECT part, entry, pos, sum(v[pos])::DOUBLE AS total, count(*) AS n FROM (SELECT n.part, n.entry, x.v, unnest(range(1, len(x.v) + 1)) AS pos FROM n{r} n JOIN x USING (vec_id, part)) GROUP BY ALL
+) GROUP BY part, entry),
+c{r + 1} AS (SELECT c.part, c.entry, CAST(coalesce(m.v, c.v) AS BIGINT[]) AS v FROM c{r} c LEFT JOIN m{r} m USING (part, entry))""")
+    return """
+WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda v: CAST(floor(v::DOUBLE * 1024) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+), x AS (
+  SELECT vec_id, part, v[part * (len(v) // 4) + 1 : (part + 1) * (len(v) // 4)] AS v FROM k, (SELECT unnest([0, 1, 2, 3]) AS part)
+), c0 AS (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v FROM x QUALIFY entry < 256
+),""" + ",".join(steps) + f""",
+e AS (
+  SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM n{rounds} GROUP BY vec_id
+), h AS (
+  SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds}
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e JOIN k USING (vec_id), h
+"""
+
+
+WORD_RUNS = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w0, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)),
+    lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) AS h FROM documents
+), b AS (
+  SELECT *, len(w0) AS n, h // 10 AS g FROM d
+), c AS (
+  SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM b
+), p AS (
+  SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM c
+), u AS (
+  SELECT r, i, CASE WHEN a IS NULL OR i < a THEN w0[i + 1] ELSE w0[a + (i - a) % p + 1] END AS word FROM (SELECT *, unnest(range(n)) AS i FROM p)
+), e AS (
+  SELECT x.r, y.i - x.i AS q, x.i FROM u x JOIN u y ON x.r = y.r AND x.word = y.word AND x.i < y.i
+), s AS (
+  SELECT r, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM e) GROUP BY r, q, island
+), f AS (
+  SELECT r, start, length, min(q) AS q FROM s WHERE length >= 2 * q AND length >= 12 GROUP BY r, start, length
+), best AS (
+  SELECT r, count(*) AS n_runs, first(start ORDER BY length DESC, start, q) AS start, max(length) AS length, first(q ORDER BY length DESC, start, q) AS period,
+    sha256(string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q)) AS runs_sha256 FROM f GROUP BY r
+), gone AS (
+  SELECT DISTINCT r, unnest(range(start + q, start + length)) AS i FROM f
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM u ANTI JOIN gone USING (r, i) GROUP BY r
+)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+  CAST(1000 * length // period AS BIGINT) AS exponent_milli, coalesce(runs_sha256, sha256('')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+"""
+
+ORACLES = {"op1_warc": WARC, "op4_mixing": MIXING, "op6_line_rules": LINE_RULES, "op11_chat_parts": CHAT_PARTS, "op12_gnat_codes": _codes(), "op13_word_runs": WORD_RUNS}

@@ -104,4 +104,47 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_multi_index, op3_sentencepiece, op4_mixing, op5_line_crf, op6_line_rules, op7_suffix_dedup, op8_chosen_path, op9_brown_lm, op10_token_files)}
+def op11_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.chat_parts import digests, text_parts, write_chats
+
+    turns = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text")
+    )
+    said = F.lit("\\### Assistant: </turn> ok")
+    marks = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text")
+    )
+    content = turns.unionByName(marks).select("conv_id", "turn", "role", text_parts("text").alias("content"))
+    return digests(spark, write_chats(content))
+
+
+def op12_gnat_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.gnat_codes import vector_codes
+
+    return vector_codes(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.word_runs import word_runs
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    # every tenth document by hash gets a periodic end; its words are split for these rows alone
+    words = F.when(F.col("h") % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != ""))
+    docs = docs.withColumn("w", words).withColumn("n", F.size("w").cast("long")).withColumn("g", F.expr("h div 10"))
+    docs = docs.withColumn("a", F.expr("CASE WHEN n > 0 THEN g % n END")).withColumn("p", F.expr("CASE WHEN n > 0 THEN 1 + (n - a) div (3 + g % 8) END"))
+    planted = F.expr(
+        "array_join(concat(slice(w, 1, int(a)), slice(flatten(array_repeat(slice(w, int(a + 1), int(p)), int((n - a) div p + 1))), 1, int(n - a))), ' ')"
+    )
+    docs = docs.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+    found = word_runs(docs)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("col1"), (-r["start"]).alias("col2"), (-r["period"]).alias("col3"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    length, start, period = (F.col("best").getField(f"col{k}") for k in (1, 2, 3))
+    return found.select(
+        "doc_id", "n_runs", (-start).alias("start"), length.alias("length"), (-period).alias("period"),
+        F.expr("best.col1 * 1000 div -best.col3").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_multi_index, op3_sentencepiece, op4_mixing, op5_line_crf, op6_line_rules, op7_suffix_dedup, op8_chosen_path, op9_brown_lm, op10_token_files, op11_chat_parts, op12_gnat_codes, op13_word_runs)}
