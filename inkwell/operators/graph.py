@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _staged(df: DataFrame, tag: str) -> DataFrame:
+def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write to the folder that all executors share and read back: cuts the lineage of a loop."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -28,9 +28,9 @@ def cooccurrence(hits: DataFrame, passage: str, node: str, shared: int, floor: f
     """(a, b, shared, npmi) of nodes that share passages. hits: a row per passage and node.
 
     Nodes of a passage meet once (a < b); the counts are summed before the shuffle. The number of
-    passages and each node's count come from the same rows.
+    passages and each node's count come from the same rows, which are written once and read for each.
     """
-    one = hits.select(passage, node).distinct()
+    one = staged(hits.select(passage, node).distinct(), "hits")
     total = one.select(passage).distinct().agg(F.count("*").cast("double").alias("n"))
     count = one.groupBy(node).agg(F.count("*").cast("double").alias("c"))
     left, right = one.withColumnRenamed(node, "a"), one.withColumnRenamed(node, "b")
@@ -48,14 +48,14 @@ def merged(pairs: DataFrame, rounds: int = 50) -> DataFrame:
 
     Labels spread along edges and jump to their own label's label, until none changes.
     """
-    edges = _staged(pairs.select("a", "b").union(pairs.select("b", "a")).distinct(), "merge-edges")
-    label = _staged(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root")), "merge")
+    edges = staged(pairs.select("a", "b").union(pairs.select("b", "a")).distinct(), "merge-edges")
+    label = staged(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root")), "merge")
     for _ in range(rounds):
         seen = edges.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
         step = label.join(seen, "id", "left").select("id", F.least("root", F.coalesce("near", "root")).alias("next"), "root")
         jump = step.select(F.col("id").alias("next"), F.col("next").alias("far"))
         new = step.join(jump, "next", "left").select("id", F.least("next", F.coalesce("far", "next")).alias("to"), "root")
-        new = _staged(new, "merge")
+        new = staged(new, "merge")
         done = new.where("`to` <> root").isEmpty()
         label = new.select("id", F.col("to").alias("root"))
         if done:
@@ -67,14 +67,14 @@ def page_rank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> Data
     """(node, rank), highest 1. edges: a, b, weight, taken in both directions."""
     both = edges.select("a", "b", "weight").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     out = both.groupBy("a").agg(F.sum("weight").alias("total"))
-    share = _staged(both.join(out, "a").select("a", "b", (F.col("weight") / F.col("total")).alias("share")), "rank-edges")
-    nodes = _staged(share.select(F.col("a").alias("node")).distinct(), "rank-nodes")
+    share = staged(both.join(out, "a").select("a", "b", (F.col("weight") / F.col("total")).alias("share")), "rank-edges")
+    nodes = staged(share.select(F.col("a").alias("node")).distinct(), "rank-nodes")
     n = nodes.count()
     rank = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for k in range(rounds):
         got = share.join(rank.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("in"))
         rank = nodes.join(got, "node", "left").select("node", (F.lit((1 - damping) / n) + F.lit(damping) * F.coalesce("in", F.lit(0.0))).alias("rank"))
         if k % 5 == 4:
-            rank = _staged(rank, "rank")
+            rank = staged(rank, "rank")
     top = rank.agg(F.max("rank").alias("top"))
     return rank.crossJoin(F.broadcast(top)).select("node", (F.col("rank") / F.col("top")).alias("rank"))

@@ -1,6 +1,6 @@
 """All queries over the given tables, with their DuckDB twins."""
 
-from inkwell.plans import checks, concepts, corpus, curation, everyday, feeds, graphs, matches, people, repair, search, star, structure, training  # noqa: F401
+from inkwell.plans import checks, concepts, corpus, curation, everyday, feeds, graphs, matches, people, phrases, repair, search, star, structure, training  # noqa: F401
 from inkwell.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from inkwell.functions.text import tokens
 from inkwell.operators.graph import cooccurrence, merged, page_rank
+from inkwell.operators.matching import matches, plain_tokens, prepared
 from inkwell.operators.ranking import top
 from inkwell.plans.registry import query
 from inkwell.sources.tables import lines_of, table
@@ -28,16 +29,14 @@ th AS (SELECT pid, source, words, topic, CAST(sum(tf) AS BIGINT) AS hits FROM tk
 
 def passages(spark, sf_dir):
     lines = lines_of(table(spark, sf_dir, "documents"))
-    found = lines.select((F.col("doc_id") * 10000000 + F.col("ord")).alias("pid"), "source", "lang", "text", F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("words"))
+    found = lines.select((F.col("doc_id") * 10000000 + F.col("ord")).alias("pid"), "doc_id", "ord", "source", "lang", "text", F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("words"))
     return found.where("words >= 25")
 
 
 def topic_hits(spark, sf_dir):
-    """(pid, source, words, topic, hits): forms are few, so each token meets them by a broadcast join."""
-    tf = passages(spark, sf_dir).select("pid", "source", "words", F.explode(tokens(F.col("text"))).alias("token")).groupBy("pid", "source", "words", "token").agg(F.count("*").alias("tf"))
-    forms = spark.createDataFrame(FORMS, "topic string, form string").select("topic", F.regexp_replace("form", r"\*", "").alias("stem"), F.col("form").endswith("*").alias("open"))
-    hit = (F.col("token") == F.col("stem")) | (F.col("open") & F.col("token").startswith(F.col("stem")))
-    return tf.join(F.broadcast(forms), hit).groupBy("pid", "source", "words", "topic").agg(F.sum("tf").alias("hits"))
+    """(pid, source, words, topic, hits): passages are walked where they are read, only hits leave the row."""
+    forms = prepared(spark.createDataFrame(FORMS, "concept string, form string"), numbers=False)
+    return matches(passages(spark, sf_dir), forms, ["pid", "source", "words"], split=plain_tokens).withColumnRenamed("concept", "topic")
 
 
 @query(f"WITH {SQL_PASSAGES} SELECT topic, count(*) AS passages, CAST(sum(hits) AS BIGINT) AS mentions, count(DISTINCT source) AS books FROM th GROUP BY topic")
@@ -117,7 +116,8 @@ def corpus_stats(spark, sf_dir):
 SQL_GRAMS = r"""
 t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9'']+'), lambda x: lower(x)) AS w FROM documents),
 u AS (SELECT token, count(*)::DOUBLE AS c FROM (SELECT unnest(w) AS token FROM t) GROUP BY token),
-g AS (SELECT w[i] AS a, w[i + 1] AS b, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM t) GROUP BY ALL HAVING count(*) >= 20)
+p AS (SELECT doc_id, unnest(list_zip(w[:-2], w[2:])) AS p FROM t WHERE len(w) > 1),
+g AS (SELECT p[1] AS a, p[2] AS b, CAST(sum(n) AS BIGINT) AS n, count(*) AS docs FROM (SELECT doc_id, p, count(*) AS n FROM p GROUP BY doc_id, p) GROUP BY p HAVING sum(n) >= 20)
 """
 
 
@@ -144,7 +144,7 @@ def collocations(spark, sf_dir):
     return both.select("a", "b", "n", F.round(F.log((F.col("n") / F.col("total")) / (F.col("ca") / F.col("total") * (F.col("cb") / F.col("total")))), 6).alias("pmi"))
 
 
-@query(f"""WITH {SQL_GRAMS}, h AS (SELECT w[i] AS a, w[i + 1] AS b, w[i + 2] AS c, count(*) AS n3 FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM t) GROUP BY ALL HAVING count(*) >= 20)
+@query(f"""WITH {SQL_GRAMS}, h AS (SELECT p[1] AS a, p[2] AS b, p[3] AS c, count(*) AS n3 FROM (SELECT unnest(list_zip(w[:-3], w[2:-2], w[3:])) AS p FROM t WHERE len(w) > 2) GROUP BY p HAVING count(*) >= 20)
 SELECT a, b, n FROM g WHERE NOT EXISTS (SELECT 1 FROM h WHERE ((h.a = g.a AND h.b = g.b) OR (h.b = g.a AND h.c = g.b)) AND h.n3 >= 0.8 * g.n)""")
 def fragment_free(spark, sf_dir):
     """Pairs that are not merely part of a triple that is about as frequent."""

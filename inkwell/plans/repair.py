@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkwell.operators import repair
+from inkwell.operators.outline import outline
 from inkwell.plans.registry import query
 from inkwell.plans.structure import SHORT, SQL_LINES
 from inkwell.sources.tables import lines_of, table
@@ -59,4 +60,8 @@ def clean_headings(spark, sf_dir):
 
 @query()
 def outlines(spark, sf_dir):
-    return repair.outline(lines_of(table(spark, sf_dir, "documents")), F.expr(SHORT))
+    """Chapters of documents, short lines being their headings; long ones are cut."""
+    kind = F.when(F.expr(SHORT), "heading").otherwise("paragraph").alias("type")
+    none = F.lit(None).cast("string")
+    lines = lines_of(table(spark, sf_dir, "documents"))
+    return outline(lines.select("doc_id", "ord", F.col("ord").cast("string").alias("block_id"), kind, "text", none.alias("printed_page"), none.alias("physical_page")))

@@ -33,6 +33,18 @@ def test_repair(spark):
     rows = spark.createDataFrame([(7, n, x) for n, x in enumerate(lines)], "doc_id long, ord int, text string")
     got = [(r.paragraph, r.lines, r.text) for r in repair.reflow(rows).orderBy("paragraph").collect()]
     assert got == [(1, 4, "It was late. He Went home to Dr. Bob and slept."), (2, 1, "Next day"), (3, 2, "1. item more of it"), (4, 1, "THE END"), (5, 1, "So it was.")]
+    cases = {
+        ("1. first item", "goes on here", "Then another line"): ["1. first item goes on here", "Then another line"],
+        ("As we go the first steps,", "we get ready.", "", "Step Ten", "Went on with it", "and when wrong said so.", "* Item one", "* Item two", "1. First", "2. Second", "This is text", "and more that joins.", "But this ends so.", "This starts after, so it stays."):
+            ["As we go the first steps, we get ready.", "Step Ten", "Went on with it and when wrong said so.", "* Item one", "* Item two", "1. First", "2. Second", "This is text and more that joins.", "But this ends so.", "This starts after, so it stays."],
+        ("It never dawned on me how long Dr.", "Bob and Bill had been. Had I known it was a short", "while, I might not. When Bill D. came, Dr. Bob had", "been there three weeks."): ["It never dawned on me how long Dr. Bob and Bill had been. Had I known it was a short while, I might not. When Bill D. came, Dr. Bob had been there three weeks."],
+        ("LOUD HEAD", "joined in small", "Not parted", "nor this"): ["LOUD HEAD joined in small Not parted nor this"],
+        ("Step 4 began", "small", "Other A", "Other B", "2) item", "Other C"): ["Step 4 began small", "Other A Other B", "2) item", "Other C"],
+    }
+    rows = spark.createDataFrame([(d, n, x) for d, case in enumerate(cases) for n, x in enumerate(case)], "doc_id long, ord int, text string")
+    got = repair.reflow(rows).orderBy("doc_id", "paragraph").collect()
+    for d, want in enumerate(cases.values()):
+        assert [r.text for r in got if r.doc_id == d] == want
 
 
 def test_headings(spark):
@@ -42,14 +54,6 @@ def test_headings(spark):
     assert column(spark, repair.is_index, ["Abstinence, 4, 12\nAcceptance 12", "It was so.", ""]) == [True, False, False]
 
 
-def test_outline(spark):
-    texts = ["How It Works", "p", "p", "p", "Copyright", "p", "Into Action", "p", "Very Short", "p", "p", "p", *["Daily Note", "p", "p", "p"] * 5]
-    rows = spark.createDataFrame([(1, n, x) for n, x in enumerate(texts)], "doc_id long, ord int, text string")
-    got = [(r.start, r.title, r.blocks, r.parts) for r in repair.outline(rows, F.col("text") != "p", most=10).orderBy("start").collect()]
-    # "Daily Note" is said five times and opens nothing; "Into Action" has too little and joins the one before
-    assert got == [(0, "How It Works", 5, 1), (8, "Very Short", 18, 2)]
-
-
 @pytest.mark.parametrize("sizes", [[401], [405], [419], [420], [805], [1205], [30, 30, 30, 500, 10], [3], [90, 20], [450, 900, 60, 2000, 700, 10], [200] * 40])
 def test_chunks_keep_every_word(spark, sizes):
     words = iter(range(10**6))
@@ -209,9 +213,3 @@ def test_minutes_of(spark):
     from inkwell.plans.checks import minutes_of
 
     assert column(spark, minutes_of, ["7:30 am", "8pm", "19:05", "12 am", "12:15 PM", "99:99", "soon", "", None]) == [450, 1200, 1145, 0, 735, 23 * 60 + 59, None, None, None]
-
-
-def test_contents_name_chapters(spark):
-    found = spark.createDataFrame([(1, 0, "How it works", 9), (1, 20, "22 x", 5), (1, 60, "Other", 4)], "doc_id long, start int, title string, blocks int")
-    toc = spark.createDataFrame([(1, "How It Works", None), (1, "Into Action", 21), (1, "Far", 90)], "doc_id long, title string, start int")
-    assert {r.start: r.title for r in repair.match_titles(found, toc).collect()} == {0: "How It Works", 20: "Into Action", 60: "Other"}
