@@ -5,11 +5,14 @@ coordinates of the signature: at every node the node itself picks coordinates (e
 chance 1 / (similarity * WIDTH), one at least), and documents with equal values there go to one
 child, so that about 1 / similarity copies of a document go down and similar ones stay together.
 A node branches until it is small: LEAF documents, or after DEPTH levels LARGE, as every further
-level costs recall at the threshold. (Documents that agree on all values never part; after LAST
-levels what is left is a leaf.) Leaves are compared exhaustively. TREES independent trees give the
-recall: at the threshold a pair meets in one leaf below the root with chance 0.63 and three levels
-down with 0.37, so twelve trees find 99.6 % of pairs or more, each of which has still to be
-confirmed on the full sets.
+level costs recall at the threshold. A larger node is settled first: its documents meet two of them on full
+sets, and where what is outside its largest component times its size is no more than LARGE squared, it is a leaf
+as well. So a cluster of near copies of any size, which would go on branching for dozens of levels, ends
+at the level that has stripped it of other documents. (After LAST levels what is left is a leaf.)
+Leaves are compared exhaustively. TREES independent trees give the recall: a node picks 1.535 coordinates on
+average (1.25 by chance, and one where that picks none), so at the threshold a pair meets in a child of the
+root with chance 0.861, in a node of the second level with 0.775 and of the third with 0.717; all twelve trees miss it
+with chance 3e-7. Each pair has still to agree on its signatures and to be confirmed on the full sets.
 
 Only connections matter. First all documents of a node meet two pivots, and what is confirmed
 links. Then the leaves compare documents of different components, block by block: documents whose
@@ -22,7 +25,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -164,23 +167,80 @@ def _branch(rows: DataFrame, chance: float) -> DataFrame:
     return rows.select("node", "rep", "signature", "n").mapInArrow(run, "node long, rep long, n long")
 
 
-def trees(reps: DataFrame, chance: float) -> DataFrame:
-    """(node, rep, n, size, leaf) of all nodes with two documents or more. reps: rep, signature, n.
+def trees(reps: DataFrame, chance: float, settle: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(node, rep, n, size, leaf, settled) of all nodes with two documents or more. reps: rep, signature, n.
 
-    Nodes and what is joined to them grow with the documents, so these joins are merges at any size."""
+    settle: links the documents of large nodes to their pivots, and gives the components (id, component) known by
+    then. Nodes and what is joined to them grow with the documents, so these joins are merges at any size."""
     level, found = staged(_branch(reps.select(F.lit(None).cast("long").alias("node"), "rep", "signature", "n"), chance), "nodes"), None
     for depth in range(LAST):
         small = LEAF if depth + 1 < DEPTH else LARGE if depth + 1 < LAST else 1 << 62
         sizes = level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        kept = staged(level.join(sizes.hint("merge"), "node").withColumn("leaf", F.col("size") <= small), "nodes")
+        kept = level.join(sizes.hint("merge"), "node").withColumn("leaf", F.col("size") <= small)
+        kept = staged(kept.withColumn("settled", ~F.col("leaf") & F.lit(depth + 1 >= DEPTH and settle is not None)), "nodes")
+        large = kept.where("NOT leaf")
+        if not large.isEmpty() and settle is not None and depth + 1 >= DEPTH:
+            kept = staged(_ended(kept, settle(large)), "nodes")
+            large = kept.where("NOT leaf")
         found = kept if found is None else found.unionByName(kept)
-        large = kept.where("NOT leaf").select("node", "rep")
         if large.isEmpty():
             break
-        level = staged(_branch(large.join(reps.select("rep", "signature", "n"), "rep"), chance), "nodes")
+        level = staged(_branch(large.select("node", "rep").join(reps.select("rep", "signature", "n"), "rep"), chance), "nodes")
     return found
 
 
+def _ended(kept: DataFrame, components: DataFrame) -> DataFrame:
+    """The nodes of a level; a large one that is nearly one component is a leaf now."""
+    held = kept.where("NOT leaf").join(components.select(F.col("id").alias("rep"), "component").hint("merge"), "rep", "left")
+    parts = held.groupBy("node", F.coalesce("component", "rep").alias("component")).agg(F.count("*").alias("docs"))
+    whole = parts.groupBy("node").agg(F.sum("docs").alias("docs"), F.max("docs").alias("main"))
+    done = whole.where((F.col("docs") - F.col("main")) * F.col("docs") <= LARGE * LARGE).select("node", F.lit(True).alias("done"))
+    return kept.join(done.hint("merge"), "node", "left").withColumn("leaf", F.col("leaf") | F.coalesce("done", F.lit(False))).drop("done")
+
+
+def _pivot_pairs(nodes: DataFrame, reps: DataFrame, least: int, percent: int) -> DataFrame:
+    """Pairs (a < b) of nodes' documents with two documents of the node, where the signatures agree enough: for each
+    document the two most alike, as what else is similar is left to the leaves."""
+    pivots = nodes.groupBy("node").agg(F.min(F.struct("rep", "n")).alias("low"), F.min(F.struct(F.xxhash64("rep"), "rep", "n")).alias("any"))
+    pivots = pivots.select("node", F.explode(F.array_distinct(F.array("low", F.struct("any.rep", "any.n")))).alias("pivot"))
+    fits = 100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n")
+    pairs = nodes.join(pivots.hint("merge"), "node").where((F.col("rep") != F.col("pivot.rep")) & fits).select(
+        F.col("pivot.rep").alias("a"), F.col("rep").alias("b")
+    ).distinct()
+    near = _agreeing(pairs, reps, least, percent)
+    best = Window.partitionBy("b").orderBy(F.desc("same"), "a")
+    near = near.withColumn("at", F.row_number().over(best)).where("at <= 2").select("a", "b")
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+class _Confirmed:
+    """Links confirmed so far, and the full sets that this took, each computed once."""
+
+    def __init__(self, docs: DataFrame, words: int, percent: int):
+        self.docs, self.words, self.percent = docs, words, percent
+        self.looked = self.sets = self.links = self.pairs = None
+
+    def need(self, reps: DataFrame) -> None:
+        new = reps if self.looked is None else reps.join(self.looked, "rep", "left_anti")
+        new = staged(new, "looked")
+        more = staged(full_sets(self.docs, new, self.words), "full-sets")
+        self.looked = new if self.looked is None else self.looked.unionByName(new)
+        self.sets = more if self.sets is None else self.sets.unionByName(more)
+
+    def add(self, links: DataFrame) -> DataFrame:
+        """Components with the new links."""
+        links = staged(links, "links")
+        self.links = links if self.links is None else self.links.unionByName(links)
+        return staged(connected_components(self.links), "components")
+
+    def confirm(self, pairs: DataFrame) -> DataFrame:
+        """Components once pairs (a, b) are confirmed; pairs of an earlier call are not looked at again."""
+        pairs = staged(pairs if self.pairs is None else pairs.join(self.pairs, ["a", "b"], "left_anti"), "pairs")
+        self.pairs = pairs if self.pairs is None else self.pairs.unionByName(pairs)
+        self.need(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+        return self.add(confirmed(pairs, self.sets, self.percent))
+
+
 def _agreeing(pairs: DataFrame, reps: DataFrame, least: int, percent: int) -> DataFrame:
     """Pairs (a, b) with the number of coordinates on which their signatures agree, `least` at least,
     and of sizes that allow the similarity."""
@@ -353,33 +413,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     chance = 1.0 / (percent / 100.0 * WIDTH)
     share = percent / 100.0
     least = int(WIDTH * (share - SLACK * (share * (1 - share) / WIDTH) ** 0.5))
-    nodes = trees(reps, chance)
-
-    # round 1: every node's documents against two of its documents
-    pivots = nodes.groupBy("node").agg(F.min(F.struct("rep", "n")).alias("low"), F.min(F.struct(F.xxhash64("rep"), "rep", "n")).alias("any"))
-    pivots = pivots.select("node", F.explode(F.array_distinct(F.array("low", F.struct("any.rep", "any.n")))).alias("pivot"))
-    fits = 100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n")
-    pairs = nodes.join(pivots.hint("merge"), "node").where((F.col("rep") != F.col("pivot.rep")) & fits).select(
-        F.col("pivot.rep").alias("a"), F.col("rep").alias("b")
-    ).distinct()
-    near = _agreeing(pairs, reps, least, percent)
-    # the two pivots most alike: what else is similar is left to round 2
-    best = Window.partitionBy("b").orderBy(F.desc("same"), "a")
-    near = near.withColumn("at", F.row_number().over(best)).where("at <= 2").select("a", "b")
-    near = staged(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    looked = near.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    sets = staged(full_sets(docs, looked, words), "full-sets")
-    links = staged(confirmed(near, sets, percent), "links")
-    components = staged(connected_components(links), "components")
+    known = _Confirmed(docs, words, percent)
+    # large nodes are settled as they are found, then every other node's documents meet its pivots
+    nodes = trees(reps, chance, lambda large: known.confirm(_pivot_pairs(large, reps, least, percent)))
+    components = known.confirm(_pivot_pairs(nodes.where("NOT settled"), reps, least, percent))
 
-    # round 2: within the leaves, whatever is not connected yet
+    # then the leaves, whatever is not connected yet
     rest = staged(_brought(blocks(nodes, reps, components), least, percent), "blocks")
     if not rest.isEmpty():
-        new = rest.select("rep").distinct()
-        more = full_sets(docs, new.join(looked, "rep", "left_anti"), words)
-        sets = sets.unionByName(staged(more, "full-sets"))
-        links = links.unionByName(staged(_linked(rest, sets, least, percent), "links"))
-        components = staged(connected_components(links), "components")
+        known.need(rest.select("rep").distinct())
+        components = known.add(_linked(rest, known.sets, least, percent))
 
     named = groups.select("set_key", "rep").join(components.withColumnRenamed("id", "rep"), "rep", "left").select(
         "set_key", F.coalesce("component", "rep").alias("component")

@@ -209,3 +209,38 @@ def test_runs_of_other_lengths():
 
 def test_no_documents(spark):
     assert word_runs.word_runs(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+# near copies: large clusters
+
+
+def cluster(n: int, others: int):
+    r = np.random.default_rng(21)
+    base = [f"b{k}" for k in range(400)]
+    texts = []
+    for i in range(n):
+        words = list(base)
+        for at in r.integers(0, 400, 3):
+            words[int(at)] = f"x{i}"
+        texts.append(" ".join(words))
+    return texts + [" ".join(f"o{i}w{k}" for k in range(40)) for i in range(others)]
+
+
+def test_cluster_of_near_copies_does_not_multiply(spark, monkeypatch):
+    from inkwell.llm import chosen_path
+
+    monkeypatch.setattr(chosen_path, "LEAF", 8)
+    monkeypatch.setattr(chosen_path, "LARGE", 32)
+    texts = cluster(500, 60)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    seen = []
+    plain = chosen_path.trees
+
+    def counted(*args):
+        seen.append(plain(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(chosen_path, "trees", counted)
+    got = {x.doc_id: x.component_id for x in chosen_path.near_duplicates(docs, words=4).collect()}
+    assert all(got[i] == (0 if i < 500 else i) for i in range(560))
+    assert seen[0].count() < 20 * chosen_path.TREES * 560
