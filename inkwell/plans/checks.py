@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from inkwell.operators.ranking import bm25, top
 from inkwell.operators.structure import block_type
+from inkwell.operators.feeds import minutes_of
 from inkwell.plans.registry import query
 from inkwell.plans.search import SQL_BM25, asked
 from inkwell.plans.structure import SQL_LINES
@@ -89,15 +90,6 @@ def gold_by_source(spark, sf_dir):
     return docs.groupBy("source").agg(F.count("*").alias("docs")).join(gold, "source", "left").select("source", "docs", F.coalesce("gold", F.lit(0)).alias("gold"))
 
 
-def minutes_of(said):
-    """A clock time as people write it ("7:30 am", "8pm", "19:05") in minutes of the day, null for what is none."""
-    parts = [F.regexp_extract(F.lower(said), r"^\s*([0-9]{1,2})(?::([0-9]{2}))?\s*(am|pm)?\s*$", k) for k in (1, 2, 3)]
-    hour = F.when(parts[0] != "", parts[0].cast("int"))
-    minute = F.when(parts[1] == "", 0).otherwise(parts[1].cast("int"))
-    hour = F.when((parts[2] == "pm") & (hour < 12), hour + 12).when((parts[2] == "am") & (hour == 12), 0).otherwise(hour)
-    return F.when(hour.isNotNull(), F.least(hour, F.lit(23)) * 60 + F.least(minute, F.lit(59)))
-
-
 @query("""SELECT event_id, CAST(extract(hour FROM ts) * 60 + extract(minute FROM ts) AS INTEGER) AS minutes FROM events""")
 def delivery_times(spark, sf_dir):
     """Times as subscribers write them, read back."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from inkwell.operators import feeds as fd
@@ -141,3 +143,21 @@ def subscriber_upsert(spark, sf_dir):
     current = ends.where("user_id % 3 <> 0").select(F.col("user_id").alias("phone"), (F.col("user_id") % 4 != 0).alias("enabled"), "a.time", "a.zone", "a.books", F.when(F.col("user_id") % 2 == 0, "2024-02-01").otherwise("").alias("last_sent"))
     changes = ends.select(F.col("user_id").alias("phone"), (F.col("l.event_id") % 3 != 0).alias("enabled"), F.when(F.col("l.event_id") % 2 == 0, F.col("l.time")).alias("time"), "l.zone", "l.books")
     return fd.upserted(current, changes, "12:00", "2024-02-01")
+
+
+NEAR = (52.0, -100.0, 400.0)
+
+
+@query(f"""WITH {SQL_FEED}, n AS (SELECT slug, lat, lng, 2 * 3958.7613::DOUBLE * asin(sqrt(pow(sin((radians(lat) - radians({NEAR[0]}::DOUBLE)) / 2), 2) + cos(radians(lat)) * cos(radians({NEAR[0]}::DOUBLE)) * pow(sin((radians(lng) - radians({NEAR[1]}::DOUBLE)) / 2), 2))) AS miles FROM mt)
+SELECT slug, lat, lng, round(miles, 6) AS miles FROM n WHERE miles <= {NEAR[2]}""")
+def feed_near(spark, sf_dir):
+    """Meetings around a place, read from landed pages by the data source: only cells that the radius meets are opened."""
+    from inkwell.operators.graph import shared_folder
+    from inkwell.sources import landing
+
+    path = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
+    kind = F.when(F.col("lat") % 2 == 0, "AA").otherwise("NA")
+    rows = normalised(spark, sf_dir).select("slug", F.lit(None).cast("string").alias("name"), "day", "minute", "lat", "lng", "address", kind.alias("fellowship"), "attendance")
+    landing.land(rows, path, 1_700_000_000)
+    found = landing.read_feed(spark, path, 1_700_000_100, "slug string, lat double, lng double")
+    return landing.near(found, *NEAR).select("slug", "lat", "lng", "miles")

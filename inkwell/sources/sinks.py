@@ -33,3 +33,16 @@ def latest(rows: DataFrame, keys: list[str], *order) -> DataFrame:
 def newest(rows: DataFrame, n: int, *order) -> DataFrame:
     """A capped list: the first n rows in the given order."""
     return rows.orderBy(*order).limit(n)
+
+
+def remove_old(spark: SparkSession, folder: str, keep: int = 2, older_than: int = 0) -> list[str]:
+    """Remove builds that the last `keep` pointers do not name and that were replaced `older_than` seconds ago, so that a
+    reader that took a pointer before has had that long to finish. The builds that are removed are told."""
+    pointers = spark.read.parquet(f"{folder}/_pointer")
+    named = pointers.groupBy("version").agg(F.max("at").alias("at")).orderBy(F.desc("at")).collect()  # a row a build that is still pointed at
+    gone = [r["version"] for k, r in enumerate(named) if k >= keep and time.time_ns() - named[k - 1]["at"] >= older_than * 1_000_000_000]
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for version in gone:
+        path = hadoop.Path(f"{folder}/version={version}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return gone

@@ -38,10 +38,15 @@ MANIFEST = T.StructType([
 ])
 
 
-def manifests(spark: SparkSession, folder: str) -> DataFrame:
-    """Manifest files; a file that is no JSON is left out, missing fields are null."""
+def manifests(spark: SparkSession, folder: str, sink: str | None = None) -> DataFrame:
+    """Manifest files; missing fields are null. A file that is no JSON, or has no doc_id, goes to the sink, if one is given."""
+    from inkwell.sources.landing import quarantined, split_good
+
     read = spark.read.schema(MANIFEST).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-    return read.json(folder, pathGlobFilter="*.json").where("doc_id IS NOT NULL AND _corrupt IS NULL").drop("_corrupt")
+    found = read.json(folder, pathGlobFilter="*.json").withColumn("_file", F.input_file_name())
+    reasons = {"no JSON": "_corrupt IS NOT NULL", "no doc_id": "doc_id IS NULL"}
+    good = split_good(found, reasons)[0] if sink is None else quarantined(found, reasons, sink)
+    return good.drop("_corrupt", "_file")
 
 
 def manifest_blocks(found: DataFrame) -> DataFrame:

@@ -16,19 +16,28 @@ def one(spark, value, column, kind="string"):
 
 
 @pytest.mark.parametrize("said, want", [
-    ("7:30 am", 450), ("8pm", 1200), ("12 a.m.", 0), ("19:05", 1145), ("99:99", 23 * 60 + 59), ("noon", None), ("", None), (None, None)])
+    ("7:30 am", 450), ("8pm", 1200), ("12 a.m.", 0), ("19:05", 1145), ("99:99", 23 * 60 + 59), ("7:5", None), ("1:23:45", None), ("123", None), ("8 p.m.", 1200), ("13 pm", 780), ("0 pm", 720), ("noon", None), ("", None), (None, None)])
 def test_clock_times(spark, said, want):
     assert one(spark, said, fd.minutes_of) == want
 
 
 @pytest.mark.parametrize("text, action, time, zone", [
     ("PAUSE daily", "pause", None, None), ("send now", "send_now", None, None), ("My Schedule", "status", None, None), ("daily 7:00 AM pt", "subscribe", "07:00", "America/Los_Angeles"),
-    ("Please send me the daily reflection at 7:30am EST", "subscribe", "07:30", "America/New_York"), ("what is the daily reflection at 7 am", None, None, None), ("hello", None, None, None), (None, None, None, None)])
+    ("Please send me the daily reflection at 7:30am EST", "subscribe", "07:30", "America/New_York"), ("what is the daily reflection at 7 am", None, None, None), ("hello", None, None, None), (None, None, None, None),
+    ("Subscribe 24 hours a day at 8", "subscribe", None, None), ("DAILY", "subscribe", None, None), ("daily at 19:15, utc", "subscribe", "19:15", "UTC"), ("text me a meditation every morning at 6 a.m.", "subscribe", "06:00", None),
+    ("at 6 am I like the daily text; text me", None, None, None), ("send me the reflection", None, None, None), ("how do I subscribe", None, None, None), ("subscribe 12pm mountain", "subscribe", "12:00", "America/Denver"), ("", None, None, None)])
 def test_commands(spark, text, action, time, zone):
     got = one(spark, text, fd.command)
     assert (got is None and action is None) or (got["action"], got["time"], got["zone"]) == (action, time, zone)
 
 
+def test_zones_and_books(spark):
+    assert [one(spark, z, fd.zone_of) for z in (" EST", "Europe/Berlin", "Foo/Bar", "pacific", None)] == ["America/New_York", "Europe/Berlin", fd.ZONE, "America/Los_Angeles", fd.ZONE]
+    books = {"first": ["reflection"], "second": ["24 hour", "twenty four"]}
+    named = lambda x: fd.named_books(x, books, ["all", "both"])
+    assert [one(spark, t, named) for t in ("Both please", "Twenty Four and reflection", "nothing", None)] == [["first", "second"], ["first", "second"], None, None]
+
+
 def test_feed_pages_of_any_shape(spark):
     row = {"slug": "a", "latitude": "34.5", "longitude": "-118", "types": ["O", "ONL"], "day": 3, "time": "19:30", "city": "Ojai", "address": "1 Main"}
     nowhere = {"slug": "b", "latitude": "0", "longitude": "0"}

@@ -210,6 +210,6 @@ def test_rolling_sketches_are_near_the_exact_counts(spark):
 
 
 def test_minutes_of(spark):
-    from inkwell.plans.checks import minutes_of
+    from inkwell.operators.feeds import minutes_of
 
     assert column(spark, minutes_of, ["7:30 am", "8pm", "19:05", "12 am", "12:15 PM", "99:99", "soon", "", None]) == [450, 1200, 1145, 0, 735, 23 * 60 + 59, None, None, None]
