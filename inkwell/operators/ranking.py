@@ -70,8 +70,8 @@ def fused(lists: list[DataFrame], key: str, k: int = 60) -> DataFrame:
 
 def diversified(candidates: DataFrame, k: int, cap: int, buckets: list[str], ratio: float = 0.5) -> DataFrame:
     """(qid, key, pick): results picked from the buckets in turn, at most `cap` of a source, each context
-    once; then the rest by score. candidates: qid, key, bucket, source, context, score — a bounded list
-    per query, as a ranked search gives it, so that one group is one small task.
+    once; then the rest by score. candidates: qid, key, bucket, source, context, score, and perhaps cap, a row's own — a bounded
+    list per query, as a ranked search gives it, so that one group is one small task.
     """
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
@@ -82,7 +82,7 @@ def diversified(candidates: DataFrame, k: int, cap: int, buckets: list[str], rat
 
         def take(found) -> bool:
             for r in found:
-                if r.context not in seen and used[r.source] < cap:
+                if r.context not in seen and used[r.source] < getattr(r, "cap", cap):
                     seen.add(r.context)
                     used[r.source] += 1
                     out.append(r.key)
@@ -101,5 +101,5 @@ def diversified(candidates: DataFrame, k: int, cap: int, buckets: list[str], rat
         return pd.DataFrame({"qid": [rows["qid"].iloc[0]] * len(out), "key": out, "pick": range(1, len(out) + 1)})
 
     kind = candidates.schema["qid"].dataType.simpleString()
-    columns = ["qid", "key", "bucket", "source", "context", "score"]
+    columns = [c for c in ("qid", "key", "bucket", "source", "context", "score", "cap") if c in candidates.columns]
     return candidates.select(columns).groupBy("qid").applyInPandas(pick, f"qid {kind}, key long, pick int")

@@ -4,21 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from inkwell.operators.feeds import minutes_of
 from inkwell.operators.ranking import bm25, top
+from inkwell.operators.retrieve import ENDNOTE, ENUMERATION, HEADER, HEADER_FACTOR, HEADER_WORDS, INDEX_ENTRY, INDEX_FACTOR, INDEX_RUN, LIST_FACTOR, header_factor, listed_factor
 from inkwell.operators.structure import block_type
-from inkwell.operators.feeds import minutes_of
 from inkwell.plans.registry import query
 from inkwell.plans.search import SQL_BM25, asked
 from inkwell.plans.structure import SQL_LINES
 from inkwell.sources.tables import lines_of, table
 
-# Marks of back-of-book indexes, endnotes, and lists of steps, with the factors they bring.
-NUMBER = "(?:One|Two|Three|Four|Five|Six|Seven|Eight|Nine|Ten|Eleven|Twelve)"
-INDEX_RUN = r"(?i)\b\d{1,3}\s*,\s*\d{1,3}(?:\s*[,–-]\s*\d{1,3})+|\bref\d+\s*,\s*ref\d+"
-INDEX_ENTRY = r"\bSee\s+also\b|\bSee\s+[A-Z]|\bINDEX\b|\bref\d+\b|,\s*\d{1,3}(?:[–-]\d{1,3})?\b"
-ENDNOTE = r"(?i)\bCf\.\s|\bibid\b|\bop\.\s*cit\.|\bpp?\.\s*\d{1,3}\b"
-ENUMERATION = rf"(?i)(?:Step|Tradition)\s+{NUMBER}\s*(?:[:.)]|\d{{1,3}}\b)"
-INDEX_FACTOR, LIST_FACTOR, HEADER_FACTOR, HEADER_WORDS = 0.20, 0.45, 0.35, 15
 # What an instruction to the model, and a turn that needs a person at once, look like.
 INJECTION = r"(?i)ignore (all |the )?(previous|prior|above) instructions|system prompt|you are now"
 CRISIS = r"(?i)kill myself|suicid|end my life|overdos"
@@ -28,22 +22,13 @@ def sql(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
-def found(text, pattern: str):
-    return F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-
-
 @query(f"""WITH {SQL_LINES}, c AS (SELECT doc_id, ord, len(regexp_extract_all(text, '{sql(INDEX_RUN)}')) AS runs, len(regexp_extract_all(text, '{sql(INDEX_ENTRY)}')) AS entries, len(regexp_extract_all(text, '{sql(ENDNOTE)}')) AS notes,
- len(regexp_extract_all(text, '{sql(ENUMERATION)}')) + CASE WHEN regexp_matches(text, '\\bCONTENTS\\b') THEN 3 ELSE 0 END AS marks, len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS words FROM ln)
+ len(regexp_extract_all(text, '{sql(ENUMERATION)}')) + CASE WHEN regexp_matches(text, '\\bCONTENTS\\b') THEN 3 ELSE 0 END AS marks, len(regexp_extract_all(regexp_replace(text, '{sql(HEADER)}', ''), '[A-Za-z0-9]+')) AS words FROM ln)
 SELECT doc_id, ord, CASE WHEN runs >= 1 OR entries >= 5 OR notes >= 3 THEN {INDEX_FACTOR}::DOUBLE WHEN marks >= 5 THEN {LIST_FACTOR}::DOUBLE ELSE 1.0::DOUBLE END AS list_factor, CASE WHEN words < {HEADER_WORDS} THEN {HEADER_FACTOR}::DOUBLE ELSE 1.0::DOUBLE END AS header_factor FROM c""")
 def block_factors(spark, sf_dir):
     """What a block's score is multiplied by: less for indexes, endnotes, lists of contents and bare headers."""
-    t = F.col("text")
-    marks = found(t, ENUMERATION) + F.when(t.rlike(r"\bCONTENTS\b"), 3).otherwise(0)
-    listed = (
-        F.when((found(t, INDEX_RUN) >= 1) | (found(t, INDEX_ENTRY) >= 5) | (found(t, ENDNOTE) >= 3), INDEX_FACTOR).when(marks >= 5, LIST_FACTOR).otherwise(1.0)
-    )
-    header = F.when(found(t, "[A-Za-z0-9]+") < HEADER_WORDS, HEADER_FACTOR).otherwise(1.0)
-    return lines_of(table(spark, sf_dir, "documents")).select("doc_id", "ord", listed.alias("list_factor"), header.alias("header_factor"))
+    lines = lines_of(table(spark, sf_dir, "documents"))
+    return lines.select("doc_id", "ord", listed_factor(F.col("text")).alias("list_factor"), header_factor(F.col("text"), F.lit("small")).alias("header_factor"))
 
 
 SQL_BLOCKS = SQL_BM25.replace("2.5::DOUBLE", "2.2::DOUBLE").replace("1.5::DOUBLE *", "1.2::DOUBLE *").replace(

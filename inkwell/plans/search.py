@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from inkwell.functions.text import tokens
 from inkwell.operators.ranking import bm25, cosine, diversified, fused, postings, quantized, top
 from inkwell.operators.retrieval import STOP_WORDS, asked_terms, batch_bm25, best_window, fresh, hybrid, merged_results
+from inkwell.operators.vectors import nearest_rows
 from inkwell.plans.registry import query
 from inkwell.sources.tables import lines_of, table
 
@@ -73,13 +74,11 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, vec_id) A
 
 
 def nearest(spark, sf_dir, k: int):
-    """Exact neighbours of a stated query set against all rows; the queries are the smaller side."""
+    """Exact neighbours of a stated query set against all rows, in blocks."""
     rows = table(spark, sf_dir, "embeddings")
-    unit = rows.select("vec_id", "label", "embedding")
-    asked_for = unit.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("qlabel"), F.col("embedding").alias("qv"))
-    pairs = unit.join(asked_for, F.col("vec_id") != F.col("qid"))
-    sims = pairs.select("qid", "vec_id", "qlabel", "label", F.round(cosine(F.col("qv"), F.col("embedding")), 9).alias("sim"))
-    return top(sims, k, ["qid"], F.desc("sim"), "vec_id")
+    found = nearest_rows(rows, rows.where("vec_id % 20 = 0"), k)
+    label = rows.select("vec_id", "label")
+    return found.join(label, "vec_id").join(label.select(F.col("vec_id").alias("qid"), F.col("label").alias("qlabel")), "qid")
 
 
 @query(f"WITH {SQL_KNN} SELECT qid, vec_id, sim, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8")
