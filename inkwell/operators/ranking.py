@@ -12,6 +12,10 @@ from pyspark.sql.window import Window
 from inkwell.functions.text import tokens
 
 
+#: Words of a query batch that may stand in a plan, and be broadcast with their counts.
+FEW_TOKENS = 200
+
+
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, token, tf): summed within a task before the shuffle."""
     return docs.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
@@ -24,10 +28,14 @@ def lengths(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(qid, key, score) of documents with a query's token. queries: qid, token.
 
-    Only the queries' tokens are counted: the list of tokens is a set of constants in the plan,
-    so a document sends a row per query token it holds, not its whole index.
+    Only the queries' tokens are counted: up to FEW_TOKENS of them are a set of constants in the plan,
+    so a document sends a row per query token it holds, not its whole index. More meet the index by joins.
     """
-    wanted = sorted({r["token"] for r in queries.select("token").distinct().collect()})  # a query batch's words
+    wanted = sorted(r["token"] for r in queries.select("token").distinct().limit(FEW_TOKENS + 1).collect())
+    if len(wanted) > FEW_TOKENS:
+        from inkwell.operators.retrieval import batch_bm25
+
+        return batch_bm25(docs, queries, key, k1, b)
     listed = F.array(*[F.lit(w) for w in wanted])
     parts = docs.select(key, tokens(F.col("text")).alias("t")).select(
         key, F.greatest(F.size("t"), F.lit(1)).cast("double").alias("len"), F.filter("t", lambda x: F.array_contains(listed, x)).alias("hits")
@@ -35,7 +43,7 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", k1: float = 1
     stats = parts.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avgdl"))
     tf = parts.select(key, "len", F.explode("hits").alias("token")).groupBy(key, "len", "token").agg(F.count("*").cast("double").alias("tf"))
     df = tf.groupBy("token").agg(F.count("*").cast("double").alias("df"))
-    joined = tf.join(F.broadcast(queries), "token").join(F.broadcast(df), "token").crossJoin(F.broadcast(stats))  # one row
+    joined = tf.join(queries, "token").join(F.broadcast(df), "token").crossJoin(F.broadcast(stats))  # one row
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     part = idf * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("len") / F.col("avgdl")))
     return joined.groupBy("qid", key).agg(F.sum(part).alias("score"))

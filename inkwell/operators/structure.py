@@ -214,7 +214,9 @@ def covering(parts: DataFrame) -> DataFrame:
     """
     own = parts.select("doc_id", "scale", "chunk_index", "start", "end")
     other = parts.select("doc_id", F.col("scale").alias("at"), F.col("chunk_index").alias("k"), F.col("start").alias("a"), F.col("end").alias("b"))
-    near = own.join(other, "doc_id").where("at <> scale AND a <= start AND b >= end")
+    # a chunk that covers another holds its first line: they meet by lines, not by pairs of a document's chunks
+    lines = other.withColumn("start", F.explode(F.sequence("a", "b")))
+    near = own.join(lines, ["doc_id", "start"]).where("at <> scale AND b >= end")
 
     def place(order: dict[str, list[str]]) -> Column:
         of = F.create_map(*[x for k, v in order.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkwell.functions.text import e164
+from inkwell.operators.contain import contained
 from inkwell.plans.registry import query
 from inkwell.sources.tables import lines_of, table
 
@@ -60,18 +61,21 @@ def context_budget(spark, sf_dir):
     """What fits a context of 12 000 characters, in order, by running sum."""
     part = F.length(F.substring("text", 1, 400))
     rows = table(spark, sf_dir, "documents").select("source", "doc_id", part.alias("n"))
-    upto = F.sum(F.col("n") + 2).over(Window.partitionBy("source").orderBy("doc_id"))
+    # a part costs two characters at least: no more than 6000 of a source can fit, whatever their order is
+    first = Window.partitionBy("source").orderBy("doc_id")
+    rows = rows.withColumn("at", F.row_number().over(first)).where("at <= 6000")
+    upto = F.sum(F.col("n") + 2).over(first)
     return rows.withColumn("upto", upto).where("upto <= 12000").groupBy("source").agg(F.count("*").alias("parts"), F.sum("n").alias("chars"))
 
 
 @query(r"""WITH b AS (SELECT item_id, regexp_replace(lower(text), '[^a-z]', '', 'g') AS q FROM benchmark), d AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z]', '', 'g') AS t FROM documents)
 SELECT item_id, count(*) AS found, min(doc_id) AS first FROM b JOIN d ON contains(t, q) WHERE length(q) >= 40 GROUP BY item_id""")
 def verified_quotes(spark, sf_dir):
-    """Quotes found in evidence, letters only on both sides; the quotes are the small side."""
+    """Quotes found in evidence, letters only on both sides: forty letters of a quote lead to the texts that may hold it."""
     tight = lambda c: F.regexp_replace(F.lower(c), "[^a-z]", "")
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", tight("text").alias("q")).where("length(q) >= 40")
-    docs = table(spark, sf_dir, "documents").select("doc_id", tight("text").alias("t"))
-    return docs.join(F.broadcast(quotes), F.col("t").contains(F.col("q"))).groupBy("item_id").agg(F.count("*").alias("found"), F.min("doc_id").alias("first"))
+    quotes = table(spark, sf_dir, "benchmark").select("item_id", tight("text").alias("text")).where("length(text) >= 40")
+    docs = table(spark, sf_dir, "documents").select("doc_id", tight("text").alias("text"))
+    return contained(docs, quotes).groupBy("item_id").agg(F.count("*").alias("found"), F.min("doc_id").alias("first"))
 
 
 @query("""SELECT source AS category, upper(left(source, 1)) || substr(source, 2) AS label, count(*) AS docs FROM documents GROUP BY source""")

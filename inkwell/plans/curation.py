@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from inkwell.functions.text import tokens
 from inkwell.operators.ranking import top
 from inkwell.operators.training import first_by_hash
+from inkwell.operators.contain import contained
 from inkwell.plans.registry import query
 from inkwell.sources.tables import lines_of, table
 
@@ -175,7 +176,7 @@ po AS (SELECT d.doc_id, b.item_id FROM documents d, benchmark b WHERE contains(d
 @query(f"WITH {SQL_NEGATIVES}, n AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE NOT EXISTS (SELECT 1 FROM po WHERE po.doc_id = sc.doc_id AND po.item_id = sc.item_id)) SELECT item_id, doc_id, CAST(rank AS INTEGER) AS rank FROM n WHERE rank <= 4")
 def hard_negatives(spark, sf_dir):
     """For each item the four best keyword matches that do not hold it. The items' tokens (twelve
-    each) are the small side; documents that hold an item are found among its own matches only."""
+    each) are the small side; documents that hold an item are found by anchors of forty characters."""
     first = F.array_distinct(F.slice(tokens(F.col("text")), 1, 12))
     items = table(spark, sf_dir, "benchmark").select("item_id", F.explode(first).alias("token"))
     docs = table(spark, sf_dir, "documents")
@@ -183,6 +184,6 @@ def hard_negatives(spark, sf_dir):
     tf = tf.groupBy("doc_id", "token").agg(F.count("*").cast("double").alias("tf"))
     df = tf.groupBy("token").agg(F.count("*").cast("double").alias("df"))
     scored = tf.join(df, "token").join(items, "token").groupBy("item_id", "doc_id").agg(F.round(F.sum((1 + F.log("tf")) / F.col("df")), 9).alias("score"))
-    held = docs.join(F.broadcast(table(spark, sf_dir, "benchmark").withColumnRenamed("text", "item")), F.col("text").contains(F.col("item"))).select("item_id", "doc_id")
+    held = contained(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
     rest = scored.join(held, ["item_id", "doc_id"], "left_anti")
     return top(rest, 4, ["item_id"], F.desc("score"), "doc_id").select("item_id", "doc_id", "rank")

@@ -141,8 +141,8 @@ def daily_reading(spark, sf_dir):
     """A month and day (leap year's count) to the page of a book of days, with an offset."""
     day = F.make_date(F.lit(2024), (1 + F.col("doc_id") % 12).cast("int"), (1 + F.col("doc_id") % 28).cast("int"))
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.dayofyear(day) + 10).cast("long").alias("page"))
-    pages = table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 366).alias("page"))
-    return docs.join(pages, "page", "left").groupBy("doc_id", "page").agg(F.count("page_id").alias("pages"))
+    pages = table(spark, sf_dir, "pages").groupBy((F.col("page_id") % 366).alias("page")).agg(F.count("page_id").alias("pages"))
+    return docs.join(F.broadcast(pages), "page", "left").select("doc_id", "page", F.coalesce("pages", F.lit(0)).alias("pages"))  # 366 rows
 
 
 @query("""WITH j AS (SELECT user_id AS job, ts, event_id, event_type AS status FROM events) SELECT job, arg_max(status, (ts, event_id)) AS status, count(*) AS steps, max(ts) < TIMESTAMP '2024-01-29 12:00:00' AS orphaned FROM j GROUP BY job""")

@@ -104,7 +104,7 @@ def over_representation(spark, sf_dir):
     book, topic = k.groupBy("source").agg(F.sum("k").alias("kb")), k.groupBy("topic").agg(F.sum("k").alias("kt"))
     total = k.agg(F.sum("k").alias("ka"))
     lift = (F.col("k") / F.col("kb")) / (F.col("kt") / F.col("ka"))
-    return k.join(book, "source").join(F.broadcast(topic), "topic").crossJoin(F.broadcast(total)).select("source", "topic", F.round(F.col("k") * F.log(1 + lift), 6).alias("over"))
+    return k.join(book, "source").join(topic, "topic").crossJoin(F.broadcast(total)).select("source", "topic", F.round(F.col("k") * F.log(1 + lift), 6).alias("over"))
 
 
 @query(f"WITH {SQL_PASSAGES} SELECT (SELECT count(DISTINCT topic) FROM th) AS nodes, (SELECT count(*) FROM pa) AS passages, (SELECT count(DISTINCT source) FROM pa) AS books, (SELECT count(DISTINCT lang) FROM pa) AS categories")
@@ -161,7 +161,7 @@ def fragment_free(spark, sf_dir):
 QUALIFY row_number() OVER (PARTITION BY kind ORDER BY n DESC, a, b) <= CASE kind WHEN 'short' THEN 50 ELSE 38 END""")
 def kind_quotas(spark, sf_dir):
     kinds = bigrams(spark, sf_dir, 20).withColumn("kind", F.when(F.length("a") <= 3, "short").otherwise("long"))
-    ranked = kinds.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "a", "b")))
+    ranked = kinds.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "a", "b"))).where("r <= 50")  # a kind's first fifty are all that is shuffled
     return ranked.where(F.col("r") <= F.when(F.col("kind") == "short", 50).otherwise(38)).select("a", "b", "n", "kind")
 
 
