@@ -75,3 +75,12 @@ def mined_edges(spark, sf_dir):
     most = hits.groupBy("concept").count().orderBy(F.desc("count"), "concept").limit(200)
     kept = hits.join(F.broadcast(most.select("concept")), "concept", "left_semi").select(F.struct("doc_id", "ord").alias("passage"), "concept")
     return cooccurrence(kept, "passage", "concept", 5, 0.02).select("a", "b", "shared", F.round("npmi", 6).alias("npmi"))
+
+
+@query()
+def concept_map(spark, sf_dir):
+    """Places of the mined concepts on a map; iterative, so tests compare its operator with a dense decomposition."""
+    from inkwell.operators.layout import layout
+
+    placed = layout(mined_edges(spark, sf_dir).select("a", "b", F.col("npmi").alias("weight")))
+    return placed.select(F.col("node").alias("concept"), F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
