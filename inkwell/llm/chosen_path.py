@@ -39,12 +39,12 @@ from inkwell.llm.common import connected_components, staged, text_bytes, width
 WIDTH, TREES = 128, 12
 LEAF, DEPTH, LARGE, LAST = 64, 3, 4096, 24
 #: Documents of a block, and shingles of a block's documents, as far as several documents go.
-BLOCK, WEIGHT = 256, 4_000_000
+BLOCK, WEIGHT = 256, 2_000_000
 #: Signatures that agree on so many coordinates are worth a look at the full sets: 3 deviations below 0.8.
 SLACK = 3.0
 #: So many ids or pairs of ids at most (4 or 8 MB) are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 500_000
-SLICE = 4_000_000
+SLICE = 1_000_000
 _random = np.random.default_rng(11)
 MIX, POWER = _random.integers(1, 1 << 62, 256, np.int64).astype(np.uint64), (_random.integers(1, 1 << 62, 1024, np.int64) | 1).astype(np.uint64)
 STEP = (_random.integers(1, 1 << 62, 64, np.int64) | 1).astype(np.uint64)
@@ -138,6 +138,7 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
                      pa.array([s.tobytes() for s in signatures], pa.binary()), pa.array([s.astype(np.uint8).tobytes() for s in signatures], pa.binary())],
                     ["doc_id", "n_shingles", "set_key", "signature", "marks"],
                 )
+        pa.default_memory_pool().release_unused()  # workers live on
 
     rows = docs.select("doc_id", text_bytes().alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature binary, marks binary")
@@ -272,6 +273,7 @@ def full_sets(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
                 values = pa.array(np.concatenate(sets), pa.int64())
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, values)], ["rep", "set"])
+        pa.default_memory_pool().release_unused()
 
     if reps.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         reps = F.broadcast(reps)
