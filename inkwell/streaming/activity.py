@@ -34,10 +34,15 @@ def once_a_day(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).withColumn("day", F.to_date("ts")).dropDuplicatesWithinWatermark(["user_id", "day"])
 
 
-def rate_limited(events: DataFrame, most: int = 3, seconds: int = 3600) -> DataFrame:
-    """Fixed windows that open with a user's first event: (user_id, start, seen, refused), a row per batch and window touched."""
+def rate_limited(events: DataFrame, most: int = 3, seconds: int = 3600, late: str = "1 day") -> DataFrame:
+    """Fixed windows that open with a user's first event: (user_id, start, seen, refused), a row per batch and window touched.
+
+    A window's state goes once the watermark has passed its end."""
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         start, seen = state.get if state.exists else (None, 0)
         rows: dict[int, list[int]] = {}
         for at in sorted(t for f in frames for t in f["second"]):
@@ -48,15 +53,16 @@ def rate_limited(events: DataFrame, most: int = 3, seconds: int = 3600) -> DataF
             got[0] += 1
             got[1] += seen > most
         state.update((start, seen))
+        state.setTimeoutTimestamp(max((start + seconds) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(key[0], s, n, r) for s, (n, r) in rows.items()], columns=["user_id", "start", "seen", "refused"])
 
-    keyed = events.select("user_id", F.unix_timestamp("ts").alias("second")).groupBy("user_id")
-    return keyed.applyInPandasWithState(step, "user_id long, start long, seen long, refused long", "start long, seen long", "append", GroupStateTimeout.NoTimeout)
+    keyed = events.withWatermark("ts", late).select("user_id", F.unix_timestamp("ts").alias("second"), "ts").groupBy("user_id")
+    return keyed.applyInPandasWithState(step, "user_id long, start long, seen long, refused long", "start long, seen long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def keep_snapshot(changes: DataFrame, folder: str, checkpoint: str, keys: list[str], order: str):
-    """Fold each batch into the last state per key, in versions beside each other behind a pointer."""
-    from inkwell.sources.sinks import current_version, latest, read_current, write_version
+    """Fold each batch into the last state per key, in versions beside each other behind a pointer; the last two stay."""
+    from inkwell.sources.sinks import current_version, latest, read_current, remove_old, write_version
 
     def fold(batch: DataFrame, number: int) -> None:
         rows = batch
@@ -65,5 +71,6 @@ def keep_snapshot(changes: DataFrame, folder: str, checkpoint: str, keys: list[s
                 return  # the batch is replayed: its version is there already
             rows = read_current(batch.sparkSession, folder).unionByName(batch)
         write_version(latest(rows, keys, F.desc(order)), folder, str(number))
+        remove_old(batch.sparkSession, folder)
 
     return changes.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
