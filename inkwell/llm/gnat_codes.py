@@ -38,6 +38,24 @@ def upper(squares: np.ndarray) -> np.ndarray:
     return np.sqrt(squares.astype(np.float64)) * (1 + ROUNDING)
 
 
+class _Products:
+    """Squared distances of queries and entries. Where all sums are integers below 2^53, products of doubles give them exactly."""
+
+    def __init__(self, queries: np.ndarray, entries: np.ndarray):
+        self.queries, self.entries = queries, entries
+        largest = max(int(np.abs(queries).max(initial=0)), int(np.abs(entries).max(initial=0)))
+        self.small = 4 * queries.shape[1] * largest * largest < 1 << 53
+        if self.small:
+            self.queries, self.entries = queries.astype(np.float64), entries.astype(np.float64)
+            self.query_norms, self.entry_norms = (self.queries**2).sum(1), (self.entries**2).sum(1)
+
+    def squares(self, rows: np.ndarray, members: np.ndarray) -> np.ndarray:
+        if not self.small:
+            return squared(self.queries[rows], self.entries[members])
+        products = self.queries[rows] @ self.entries[members].T
+        return (self.query_norms[rows, None] - 2 * products + self.entry_norms[None, members]).astype(np.int64)
+
+
 @dataclass
 class Node:
     """Split points (indexes of entries), the ranges of distances from each split point to each child's entries
@@ -88,11 +106,11 @@ class Search:
         index = np.zeros(len(queries), np.int64)
         self.compared = 0
         if len(queries):
-            self._visit(self.root, queries, np.arange(len(queries)), best, index)
+            self._visit(self.root, _Products(queries, self.entries), np.arange(len(queries)), best, index)
         return index, best
 
-    def _visit(self, node: Node, queries: np.ndarray, rows: np.ndarray, best: np.ndarray, index: np.ndarray) -> None:
-        squares = squared(queries[rows], self.entries[node.splits])
+    def _visit(self, node: Node, queries: _Products, rows: np.ndarray, best: np.ndarray, index: np.ndarray) -> None:
+        squares = queries.squares(rows, node.splits)
         self.compared += squares.size
         # exact integers decide: the nearest of this node's points, of equal ones the first entry
         least = squares.min(1)
