@@ -120,21 +120,18 @@ class Search:
         if node.children is None:
             return
         down, up = lower(squares), upper(squares)
-        # each query enters the children of its nearest split points first
+        # each query looks at the children of its nearest split points first; it skips a child if some split point
+        # proves every entry in it strictly farther than the best so far
         order = np.argsort(squares, axis=1, kind="stable")
-        entered = np.zeros((len(rows), len(node.children)), bool)
         for turn in range(len(node.children)):
-            for k, child in enumerate(node.children):
-                mine = np.flatnonzero((order[:, turn] == k) & ~entered[:, k])
-                if child is None or not len(mine):
-                    continue
-                entered[mine, k] = True
-                radius = upper(best[rows[mine]])[:, None]
-                # a child goes only if some split point proves every entry in it strictly farther than the best
-                far = (down[mine] - radius > node.high[:, k]) | (up[mine] + radius < node.low[:, k])
-                left = mine[~far.any(1)]
-                if len(left):
-                    self._visit(child, queries, rows[left], best, index)
+            child = order[:, turn]
+            radius = upper(best[rows])[:, None]
+            far = (down - radius > node.high[:, child].T) | (up + radius < node.low[:, child].T)
+            left = np.flatnonzero(~far.any(1))
+            if len(left):
+                left = left[np.argsort(child[left], kind="stable")]
+                for group in np.split(left, np.flatnonzero(np.diff(child[left])) + 1):
+                    self._visit(node.children[child[group[0]]], queries, rows[group], best, index)
 
 
 def bounds(width: int) -> list[int]:
