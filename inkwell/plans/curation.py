@@ -158,10 +158,10 @@ def resume_point(spark, sf_dir):
     return rest.agg(F.count("*").alias("to_do"), F.coalesce(F.min("doc_id"), F.lit(-1)).cast("long").alias("next"))
 
 
-@query("""WITH k AS (SELECT doc_id, source, trim(regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents) SELECT key, min(doc_id) AS doc_id, count(*) AS n FROM k GROUP BY key""")
+@query("""WITH k AS (SELECT doc_id, source, md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS key FROM documents) SELECT key, min(doc_id) AS doc_id, count(*) AS n FROM k GROUP BY key""")
 def prompt_keys(spark, sf_dir):
-    """Prompts made distinct by a normalised key, the first of each kept."""
-    key = F.trim(F.regexp_replace(F.lower(F.substring("text", 1, 60)), "[^a-z0-9]+", " "))
+    """Texts made distinct by a normalised key of all of them, the first of each kept."""
+    key = F.md5(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")).cast("binary"))
     return table(spark, sf_dir, "documents").groupBy(key.alias("key")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
 
 

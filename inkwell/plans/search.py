@@ -100,10 +100,10 @@ def recall_by_kind(spark, sf_dir):
 
 @query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 u AS (SELECT vec_id, list_transform(v, lambda x: CAST(round_even(x / sqrt(list_sum(list_transform(v, lambda y: y * y))) * 127.0::DOUBLE, 0) AS INTEGER)) AS q FROM e)
-SELECT vec_id, CAST(list_sum(list_transform(q, lambda x: x * x)) AS BIGINT) AS norm2, CAST(q[1] AS INTEGER) AS first, CAST(list_max(q) AS INTEGER) AS largest FROM u""")
+SELECT vec_id, CAST(list_sum(list_transform(q, lambda x: x * x)) AS BIGINT) AS norm2, CAST(q[1] AS INTEGER) AS first, CAST(list_max(q) AS INTEGER) AS largest, array_to_string(q, ',') AS codes FROM u""")
 def int8_pack(spark, sf_dir):
     q = table(spark, sf_dir, "embeddings").select("vec_id", quantized(F.col("embedding")).alias("q"))
-    return q.select("vec_id", F.aggregate("q", F.lit(0).cast("long"), lambda s, x: s + x * x).alias("norm2"), F.col("q")[0].alias("first"), F.array_max("q").alias("largest"))
+    return q.select("vec_id", F.aggregate("q", F.lit(0).cast("long"), lambda s, x: s + x * x).alias("norm2"), F.col("q")[0].alias("first"), F.array_max("q").alias("largest"), F.array_join(F.transform("q", lambda x: x.cast("string")), ",").alias("codes"))
 
 
 TERMS = 5  # words a query asks for: the most frequent of its document

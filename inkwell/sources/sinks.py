@@ -46,3 +46,23 @@ def remove_old(spark: SparkSession, folder: str, keep: int = 2, older_than: int
         path = hadoop.Path(f"{folder}/version={version}")
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     return gone
+
+
+def write_manifests(blocks: DataFrame, path: str) -> None:
+    """Manifests as JSON, one line a document, in folders by category. blocks: doc_id, title, category, ord and the fields of a block.
+
+    A document's blocks meet in its manifest, as its text does in its row."""
+    block = F.struct("ord", F.col("block_id").alias("id"), "type", "text", "printed_page", "physical_page", "level")
+    per = blocks.groupBy("doc_id", "title", "category").agg(F.array_sort(F.collect_list(block)).alias("_all"))
+    listed = F.transform("_all", lambda b: F.struct(b["id"].alias("id"), b["type"].alias("type"), b["text"].alias("text"), b["printed_page"].alias("printed_page"), b["physical_page"].alias("physical_page"), b["level"].alias("level")))
+    text = F.array_join(F.transform("_all", lambda b: F.coalesce(b["text"], F.lit(""))), "\n")
+    whole = per.select(F.lit(1).alias("schema_version"), "doc_id", F.sha2(text.cast("binary"), 256).alias("content_sha256"), "title", "category", listed.alias("blocks"))
+    whole.write.partitionBy("category").json(path)
+
+
+def newest_packs(files: DataFrame, name: str = "path") -> DataFrame:
+    """(pack, version, path, sha256) of the newest file of each pack: files: path ("search-v12.zip"), content. Versions are numbers, so 12 comes after 9."""
+    parts = F.regexp_extract(name, r"([^/]*?)-v([0-9]+)[.][a-z]+$", 1), F.regexp_extract(name, r"-v([0-9]+)[.][a-z]+$", 1)
+    named = files.select(parts[0].alias("pack"), parts[1].try_cast("int").alias("version"), F.col(name).alias("path"), "content").where("version IS NOT NULL")
+    best = named.groupBy("pack").agg(F.max(F.struct("version", "path")).alias("b")).select("pack", "b.version", "b.path")
+    return named.join(best, ["pack", "version", "path"]).select("pack", "version", "path", F.sha2("content", 256).alias("sha256"))

@@ -38,11 +38,11 @@ MANIFEST = T.StructType([
 ])
 
 
-def manifests(spark: SparkSession, folder: str, sink: str | None = None) -> DataFrame:
-    """Manifest files; missing fields are null. A file that is no JSON, or has no doc_id, goes to the sink, if one is given."""
+def manifests(spark: SparkSession, folder: str, sink: str | None = None, lines: bool = False) -> DataFrame:
+    """Manifest files, one a document (or, with `lines`, files of one a line, in folders by category); missing fields are null. A file that is no JSON, or has no doc_id, goes to the sink, if one is given."""
     from inkwell.sources.landing import quarantined, split_good
 
-    read = spark.read.schema(MANIFEST).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
+    read = spark.read.schema(MANIFEST).option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
     found = read.json(folder, pathGlobFilter="*.json").withColumn("_file", F.input_file_name())
     reasons = {"no JSON": "_corrupt IS NOT NULL", "no doc_id": "doc_id IS NULL"}
     good = split_good(found, reasons)[0] if sink is None else quarantined(found, reasons, sink)

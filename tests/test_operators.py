@@ -213,3 +213,18 @@ def test_minutes_of(spark):
     from inkwell.operators.feeds import minutes_of
 
     assert column(spark, minutes_of, ["7:30 am", "8pm", "19:05", "12 am", "12:15 PM", "99:99", "soon", "", None]) == [450, 1200, 1145, 0, 735, 23 * 60 + 59, None, None, None]
+
+
+def test_headers_levels_and_ligatures(spark):
+    keys = ["theopinion", "stepone"]
+    rows = spark.createDataFrame([("comes at once by THE OPINION xxix taking a few", keys), ("by 22 STEP ONE 23 and by OTHER WORDS 7 here", keys), ("none", keys), ("", keys), (None, keys)], "t string, k array<string>")
+    assert [r.o for r in rows.select(repair.without_headers(F.col("t"), F.col("k")).alias("o")).collect()] == ["comes at once by  taking a few", "by  and by OTHER WORDS 7 here", "none", "", None]
+    said = ["a sacrifi ce and confi dence", "off course, Staff meets; puff pastry", "diffi culties if so", "fl ow", None]
+    assert column(spark, repair.joined_ligatures, said) == ["a sacrifice and confidence", "off course, Staff meets; puff pastry", "difficulties if so", "flow", None]
+    assert column(spark, repair.heading_level, ["Part One", "section 2", "Step 1", "Chapters", "TRADITION", None]) == [1, 1, 2, 3, 2, 3]
+
+
+def test_newest_packs(spark):
+    files = spark.createDataFrame([("x/search-v9.zip", bytearray(b"a")), ("x/search-v12.zip", bytearray(b"b")), ("embed-v3.zip", bytearray(b"c")), ("readme.txt", bytearray(b"d"))], "path string, content binary")
+    got = {r.pack: (r.version, r.path) for r in sinks.newest_packs(files).collect()}
+    assert got == {"search": (12, "x/search-v12.zip"), "embed": (3, "embed-v3.zip")}
