@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkwell.functions.text import tokens
+from inkwell.operators.contain import contained
+from inkwell.operators.graph import staged
 from inkwell.operators.ranking import lengths, postings, top
 
 # Words that say nothing in a question.
@@ -112,22 +114,49 @@ def merged_results(first: DataFrame, rest: DataFrame, key: list[str], k: int) ->
 def resolved(names: DataFrame, catalog: DataFrame, least: float = 0.82) -> DataFrame:
     """(name, id, how): asked names onto a catalog (id, title): same key, a single containing key, or the closest spelling.
 
-    Closeness is one minus edits over the longer length. The catalog is a dimension table that is read whole for
-    the names that have no exact key only, which are made distinct first.
+    Closeness is one minus edits over the longer length. Names, made distinct, meet the catalog by whole keys, then by anchors
+    of the keys that may hold them, then by pieces of keys: by equi-joins alone.
     """
     def keyed(text: Column) -> Column:
         return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", ""), "^the(?=.{4})", "")
 
     asked = names.select("name").distinct().withColumn("key", keyed(F.col("name"))).where("key <> ''")
     books = catalog.select("id", keyed(F.col("title")).alias("book"))
-    books = books.groupBy("book").agg(F.min("id").alias("id"))
+    asked = staged(asked, "names")
+    books = staged(books.groupBy("book").agg(F.min("id").alias("id")), "catalog")
     exact = asked.join(books, F.col("key") == F.col("book")).select("name", "id", F.lit("exact").alias("how"))
-    left = asked.join(exact.select("name"), "name", "left_anti")
-    near = left.join(books, F.col("book").contains(F.col("key")) | (F.abs(F.length("book") - F.length("key")) <= F.greatest(F.length("book"), F.length("key")) * (1 - least)))
-    close = 1 - F.levenshtein("key", "book") / F.greatest(F.length("book"), F.length("key"))
-    near = near.withColumn("part", F.col("book").contains(F.col("key")) & (F.length("key") >= 5)).withColumn("close", close)
-    w = Window.partitionBy("name")
-    near = near.withColumn("parts", F.sum(F.col("part").cast("int")).over(w))
-    part = near.where("parts = 1 AND part").select("name", "id", F.lit("part").alias("how"))
-    close = top(near.where(f"parts <> 1 AND close >= {least}"), 1, ["name"], F.desc("close"), "book").select("name", "id", F.lit("close").alias("how"))
-    return exact.unionByName(part).unionByName(close)
+    left = staged(asked.join(exact.select("name"), "name", "left_anti"), "names")
+    wanted = left.select("key").distinct()
+    # a single book whose key holds the name's
+    held = contained(books.select("book", F.col("book").alias("text")), wanted.where("length(key) >= 5").select("key", F.col("key").alias("text")), "book", "key")
+    parts = staged(held.groupBy("key").agg(F.count("*").alias("parts"), F.min("book").alias("book")), "parts")
+    single = left.join(parts.where("parts = 1"), "key").join(books, "book").select("name", "id", F.lit("part").alias("how"))
+    rest = left.join(parts.where("parts = 1").select("key"), "key", "left_anti")
+    pairs = similar_keys(rest.select("key").distinct(), books.select("book"), least)
+    close = top(rest.join(pairs, "key"), 1, ["name"], F.desc("close"), "book").join(books, "book").select("name", "id", F.lit("close").alias("how"))
+    return exact.unionByName(single).unionByName(close)
+
+
+def similar_keys(keys: DataFrame, books: DataFrame, least: float) -> DataFrame:
+    """(key, book, close): one minus edits over the longer length, at least `least`. keys: key; books: book.
+
+    A key of n letters that is so close has at most e = n (1 - least) / least edits; of its e + 1 even pieces one is whole in the
+    book, moved by e places at most. So pieces meet the books' pieces of their lengths by an equi-join.
+    """
+    n = F.length("key")
+    edits = F.floor(n * ((1 - least) / least) + 1e-9).cast("int")
+    cut = keys.select("key", n.alias("n"), edits.alias("e")).where("n > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("e"))))
+    bound = lambda i: F.floor(i * F.col("n") / (F.col("e") + 1)).cast("int")
+    cut = cut.withColumns({"at": bound(F.col("i")), "size": bound(F.col("i") + 1) - bound(F.col("i"))}).where("size > 0")
+    pieces = cut.select("key", "e", "at", F.substring(F.col("key"), F.col("at") + 1, F.col("size")).alias("piece"))
+    sizes = sorted(r["size"] for r in cut.select("size").distinct().collect())  # lengths of pieces of titles
+    met = None
+    for size in sizes:
+        starts = F.explode(F.sequence(F.lit(1), F.length("book") - size + 1)).alias("p")
+        some = books.where(F.length("book") >= size).select("book", starts).select("book", (F.col("p") - 1).alias("p"), F.substring(F.col("book"), F.col("p"), F.lit(size)).alias("piece"))
+        met = some if met is None else met.unionByName(some)
+    if met is None:
+        return keys.select("key", F.lit("").alias("book"), F.lit(0.0).alias("close")).limit(0)
+    pairs = pieces.join(met, "piece").where(F.abs(F.col("p") - F.col("at")) <= F.col("e")).select("key", "book").distinct()
+    close = 1 - F.levenshtein("key", "book") / F.greatest(F.length("key"), F.length("book"))
+    return pairs.withColumn("close", close).where(F.col("close") >= least)
