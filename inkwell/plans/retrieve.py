@@ -40,11 +40,11 @@ f AS (SELECT coalesce(s1.qid, k1.qid) AS qid, coalesce(s1.doc_id, k1.doc_id) AS
 g AS (SELECT qid, doc_id, 0.7::DOUBLE * sem / greatest(max(sem) OVER (PARTITION BY qid), 1e-6) + 0.3::DOUBLE * kw / greatest(max(kw) OVER (PARTITION BY qid), 1e-6) AS base FROM f),
 qs AS (SELECT doc_id AS qid, CASE WHEN doc_id % 40 = 0 THEN lower('What does ' || source || ' say?') ELSE 'tell me more' END AS t FROM documents WHERE doc_id % 20 = 0),
 w AS (SELECT qid, CASE WHEN contains(t, 'src0') THEN ['src0'] ELSE [] END || CASE WHEN contains(t, 'src2') OR contains(t, 'the second') THEN ['src2', 'src4'] ELSE [] END AS works FROM qs),
-m AS (SELECT g.qid, g.doc_id, base, ch.*, works, len(list_filter(works, lambda x: contains(source, x))) > 0 AS named,
+m AS (SELECT g.qid, g.doc_id, base, ch.*, coalesce(w.works, []) AS works, len(list_filter(coalesce(w.works, []), lambda x: contains(source, x))) > 0 AS named,
   len(regexp_extract_all(text, '{Q(rv.INDEX_RUN)}')) >= 1 OR len(regexp_extract_all(text, '{Q(rv.INDEX_ENTRY)}')) >= 5 OR len(regexp_extract_all(text, '{Q(rv.ENDNOTE)}')) >= 3 AS listed,
   len(regexp_extract_all(text, '{Q(rv.ENUMERATION)}')) + CASE WHEN regexp_matches(text, '{rv.CONTENTS}') THEN 3 ELSE 0 END >= 5 AS steps,
   scale = 'small' AND len(regexp_extract_all(regexp_replace(text, '{Q(rv.HEADER)}', ''), '[A-Za-z0-9]+')) < 15 AS header
-  FROM g JOIN ch ON ch.doc_id = g.doc_id JOIN w ON w.qid = g.qid)
+  FROM g JOIN ch ON ch.doc_id = g.doc_id LEFT JOIN w ON w.qid = g.qid)
 SELECT qid, doc_id, round(base * CASE scale WHEN 'medium' THEN 0.97::DOUBLE WHEN 'large' THEN 0.95::DOUBLE WHEN 'topic' THEN 0.96::DOUBLE ELSE 1 END * CASE lang WHEN 'en' THEN 1.4::DOUBLE WHEN 'fr' THEN 1.05::DOUBLE ELSE 0.85::DOUBLE END
   * CASE WHEN named THEN 3.0::DOUBLE WHEN len(works) > 0 THEN 1 WHEN contains(source, 'src1') THEN 1.22::DOUBLE WHEN contains(source, 'src3') THEN 0.88::DOUBLE ELSE 1 END
   * CASE WHEN listed THEN 0.2::DOUBLE WHEN steps THEN 0.45::DOUBLE ELSE 1 END * CASE WHEN header THEN 0.35::DOUBLE ELSE 1 END, 6) AS score, named FROM m""")

@@ -16,6 +16,8 @@ CHOSEN = [
     "feed_scan", "feed_meetings", "meetings_by_range", "online_meetings", "online_soonest", "subscriber_settings", "subscriber_upsert", "rare_first", "fresh_results", "merged_lists", "int8_nearest",
     "query_windows", "concept_peers", "concept_places", "topic_votes", "topics_of_turns", "label_keys", "split_by_share", "assigned_flaws", "sample_prompts", "memory_snapshot", "cross_pairs",
     "citation_hits", "open_threads", "reading_parts", "best_pages", "result_passages", "book_names", "titles_and_authors",
+    "mined_concepts", "mined_phrases", "mined_edges", "meeting_asks", "ask_changes", "meeting_lines", "feed_near", "retrieved_scores", "starter_picks", "kinds_of_samples", "passages_of_samples",
+    "manifests_read_back", "newest_packs", "best_of_sources", "query_graph", "second_chance", "saved_turns", "scale_or_all", "verified_quotes", "titles_for_pointers", "knn_cosine", "recall_by_kind", "block_factors", "kind_quotas",
 ]
 
 
