@@ -42,7 +42,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         again = again.join(first, "row").withColumn("row", F.when(F.col("at") == F.col("first"), F.col("row")).otherwise(later))
         rows = staged(rows.join(twice, "row", "left_anti").unionByName(again.drop("at", "first")), "rows")
     found = staged(near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), words=5, percent=80), "near-dedup")
-    return rows.join(found.where("NOT kept").select(F.col("doc_id").alias("row")), "row", "left_anti").select(COLUMNS)
+    # a merge at any size: the ids to drop grow with the documents
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("row")).hint("merge")
+    return rows.join(gone, "row", "left_anti").select(COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
