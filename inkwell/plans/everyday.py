@@ -7,7 +7,8 @@ from pyspark.sql.window import Window
 
 from inkwell.functions.text import tokens
 from inkwell.operators import structure as st
-from inkwell.operators.ranking import cosine, top
+from inkwell.operators.ranking import top
+from inkwell.operators.vectors import best_by_kind
 from inkwell.plans.registry import query
 from inkwell.sources.sinks import latest
 from inkwell.sources.tables import lines_of, table
@@ -111,9 +112,7 @@ SELECT qid, pos > neg AS first, round(1 / (1 + exp(-10 * (pos - neg))), 6) AS ma
 def rank_at_one(spark, sf_dir):
     """Whether the best neighbour of a query's own kind beats all others, and a squashed margin."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("ql"), F.col("embedding").alias("qv"))
-    sim = rows.join(asked, F.col("vec_id") != F.col("qid")).select("qid", F.round(cosine(F.col("qv"), F.col("embedding")), 9).alias("s"), (F.col("label") == F.col("ql")).alias("own"))
-    best = sim.groupBy("qid").agg(F.max(F.when(F.col("own"), F.col("s"))).alias("pos"), F.max(F.when(~F.col("own"), F.col("s"))).alias("neg"))
+    best = best_by_kind(rows, rows.where("vec_id % 20 = 0"))
     return best.select("qid", (F.col("pos") > F.col("neg")).alias("first"), F.round(1 / (1 + F.exp(-10 * (F.col("pos") - F.col("neg")))), 6).alias("margin"))
 
 
