@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkwell.functions.text import tokens
-from inkwell.operators.ranking import bm25, cosine, diversified, fused, postings, quantized, top
+from inkwell.operators.graph import staged
+from inkwell.operators.ranking import bm25, diversified, fused, postings, quantized, top
 from inkwell.operators.retrieval import STOP_WORDS, asked_terms, batch_bm25, best_window, fresh, hybrid, merged_results
-from inkwell.operators.vectors import nearest_rows
+from inkwell.operators.vectors import nearest_products, nearest_rows
 from inkwell.plans.registry import query
 from inkwell.sources.tables import lines_of, table
 
@@ -186,10 +187,10 @@ SELECT a.vec_id AS qid, b.vec_id, CAST(list_inner_product(a.q::DOUBLE[], b.q::DO
 FROM u a JOIN u b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id QUALIFY rank <= 8""")
 def int8_nearest(spark, sf_dir, k: int = 8):
     """Exact neighbours by the dot product of packed vectors, in whole numbers."""
-    packed = table(spark, sf_dir, "embeddings").select("vec_id", quantized(F.col("embedding")).alias("q"))
-    asking = packed.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("q").alias("qq"))
-    score = F.aggregate(F.zip_with("q", "qq", lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
-    return top(packed.join(asking, F.col("vec_id") != F.col("qid")).select("qid", "vec_id", score.alias("score")), k, ["qid"], F.desc("score"), "vec_id")
+    packed = table(spark, sf_dir, "embeddings").select("vec_id", quantized(F.col("embedding")).cast("array<double>").alias("q"))
+    packed = staged(packed, "packed")  # products of whole numbers of this size are exact in doubles
+    asking = staged(packed.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "qid"), "asked")
+    return nearest_products(packed, asking, k, "vec_id", "q", 0).select("qid", "vec_id", F.col("sim").cast("long").alias("score"), "rank")
 
 
 @query(f"""WITH t AS (SELECT item_id, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9'']+'), lambda x: lower(x)), lambda x: length(x) > 2 AND x NOT IN ({SQL_STOP})) AS w FROM benchmark)
