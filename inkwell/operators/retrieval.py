@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,6 +54,112 @@ def batch_bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", k1: flo
     return scored.where("held OR NOT some").select("qid", key, "score")
 
 
+#: Postings of a block of documents, and queries of a block; both are in a task at a time. Words of a batch that may be broadcast.
+BLOCK_POSTINGS, BLOCK_QUERIES, FEW_WORDS = 1_500_000, 32_768, 200_000
+#: Blocks to deal a small index into, and from how many blocks on an eighth of them goes first and bounds what the rest may bring.
+LEAST_BLOCKS, BOUNDED_FROM = 12, 16
+
+
+def batch_top(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", k1: float = 1.5, b: float = 0.75, common: int | None = None, digits: int = 6) -> DataFrame:
+    """(qid, key, score, rank): the k best other documents of every query by `batch_bm25`, scores rounded, ties by key.
+
+    Only asked words are counted. Their postings are dealt by document into blocks of a bounded number; each meets each block of
+    queries in one task, which adds up a query's postings over the block's documents and leaves k rows a query. Where there are many
+    blocks, an eighth goes first, and of the rest only what reaches the k-th score found by then leaves a task.
+    """
+    queries = staged(queries.select("qid", "token").distinct(), "batch")
+    vocabulary = staged(queries.select("token").distinct().withColumn("tid", F.monotonically_increasing_id()), "words")
+    if vocabulary.count() <= FEW_WORDS:
+        words = docs.select(key, F.explode(tokens(F.col("text"))).alias("token")).join(F.broadcast(vocabulary), "token")
+        tf = words.groupBy(key, "tid").agg(F.count("*").cast("double").alias("tf"))
+    else:
+        tf = postings(docs, key).join(vocabulary, "token").select(key, "tid", F.col("tf").cast("double").alias("tf"))
+    tf = staged(tf, "postings")
+    size = staged(lengths(docs, key).withColumn("len", F.col("len").cast("double")), "lengths")
+    stats = size.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avgdl"))
+    df = staged(tf.groupBy("tid").agg(F.count("*").cast("double").alias("df")), "df")
+    idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
+    part = idf * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("len") / F.col("avgdl")))
+    weighed = tf.join(df, "tid").join(size, key).crossJoin(F.broadcast(stats)).select(key, "tid", part.alias("part"))  # stats: one row
+    asked = queries.join(vocabulary, "token").join(df, "tid").select("qid", "tid", (F.col("df") <= (common or 0)).alias("rare"))
+
+    n = tf.count()
+    n = max(-(-n // BLOCK_POSTINGS), min(-(-n // 20_000), LEAST_BLOCKS), 1)
+    m = max(-(-queries.select("qid").distinct().count() // BLOCK_QUERIES), 1)
+    dealt = lambda column, of: F.pmod(F.xxhash64(column), F.lit(of)).cast("int")
+    across = lambda low, high: F.explode(F.sequence(F.lit(low), F.lit(high - 1)))
+    weighed = weighed.withColumn("i", dealt(key, n))
+    asked = asked.withColumn("j", dealt("qid", m))
+    kinds = docs.schema[key].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
+    schema = f"qid {kinds[1]}, {key} {kinds[0]}, score double"
+
+    def best(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        return best_of_block(ours, theirs, k, key, common is not None, digits)
+
+    found = None
+    cut = n // 8 if n >= BOUNDED_FROM else 0
+    for low, high in [(0, cut), (cut, n)] if cut else [(0, n)]:
+        if found is None:
+            known = asked.withColumn("least", F.lit(float("-inf")))
+        else:
+            bound = top(found, k, ["qid"], F.desc("score"), key).where(F.col("rank") == k).select("qid", F.col("score").alias("least"))
+            known = asked.join(bound, "qid", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+        tasks = (high - low) * m
+        left = weighed.where((F.col("i") >= low) & (F.col("i") < high)).withColumn("j", across(0, m)).repartition(tasks, "i", "j")
+        right = known.withColumn("i", across(low, high)).repartition(tasks, "i", "j")
+        some = staged(left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, schema), "best")
+        found = some if found is None else found.unionByName(some)
+    return staged(top(found, k, ["qid"], F.desc("score"), key), "found")
+
+
+def best_of_block(ours: pd.DataFrame, theirs: pd.DataFrame, k: int, key: str, choosy: bool, digits: int) -> pd.DataFrame:
+    """(qid, key, score): the k best documents of a block for each query, down to the query's least score, ties by key.
+
+    ours: key, tid, part; theirs: qid, tid, rare, least. A choosy query that has rare words asks only for documents that hold one.
+    """
+    none = pd.DataFrame({"qid": theirs["qid"].iloc[:0], key: ours[key].iloc[:0], "score": pd.Series(dtype="float64")})
+    if not len(ours) or not len(theirs):
+        return none
+    ids, doc = np.unique(ours[key].to_numpy(), return_inverse=True)
+    tid, part = ours["tid"].to_numpy(), ours["part"].to_numpy()
+    order = np.argsort(tid, kind="stable")
+    tid, doc, part = tid[order], doc[order].astype(np.int32), part[order]
+    theirs = theirs.sort_values(["qid", "tid"])
+    first, last = np.searchsorted(tid, theirs["tid"].to_numpy()), np.searchsorted(tid, theirs["tid"].to_numpy(), "right")
+    qid, rare, least = theirs["qid"].to_numpy(), theirs["rare"].to_numpy(), theirs["least"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, qid[1:] != qid[:-1]])
+    same: dict = {}  # queries of the same words
+    for s, e in zip(starts.tolist(), np.r_[starts[1:], len(qid)].tolist(), strict=True):
+        same.setdefault(tuple(theirs["tid"].to_numpy()[s:e]), []).append((s, e))
+    scores, slack, out = np.zeros(len(ids)), 10.0**-digits, []
+    for group in same.values():
+        s, e = group[0]
+        scores[:] = 0.0
+        for a, z in zip(first[s:e].tolist(), last[s:e].tolist(), strict=True):
+            scores[doc[a:z]] += part[a:z]  # a document once a word
+        if choosy and rare[s:e].any():
+            held = np.unique(np.concatenate([doc[first[x] : last[x]] for x in range(s, e) if rare[x]]))
+            at = held[scores[held] > 0]
+        else:
+            low = min(least[x] for x, _ in group) - slack
+            at = np.flatnonzero(scores > max(low, 0.0))
+        value = scores[at]
+        if len(at) > k + 1:  # the query itself may be among them
+            near = value >= np.partition(value, len(value) - k - 1)[len(value) - k - 1] - slack
+            at, value = at[near], value[near]
+        value = np.round(value, digits)
+        order = np.lexsort((at, -value))[: k + 1]
+        at, value = at[order], value[order]
+        for x, _ in group:
+            mine = (ids[at] != qid[x]) & (value >= least[x])
+            rows = at[mine][:k]
+            if len(rows):
+                out.append((np.full(len(rows), qid[x]), ids[rows], value[mine][:k]))
+    if not out:
+        return none
+    return pd.DataFrame({"qid": np.concatenate([o[0] for o in out]), key: np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
+
+
 def hybrid(semantic: DataFrame, keyword: DataFrame, key: str = "doc_id", weight: float = 0.7) -> DataFrame:
     """(qid, key, score) of candidates (qid, key, sem) and (qid, key, kw), each side over its best of the query."""
     full = semantic.join(keyword, ["qid", key], "full").select("qid", key, F.coalesce("sem", F.lit(0.0)).alias("sem"), F.coalesce("kw", F.lit(0.0)).alias("kw"))

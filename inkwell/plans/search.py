@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from inkwell.functions.text import tokens
 from inkwell.operators.graph import staged
 from inkwell.operators.ranking import bm25, diversified, fused, postings, quantized, top
-from inkwell.operators.retrieval import STOP_WORDS, asked_terms, batch_bm25, best_window, fresh, hybrid, merged_results
+from inkwell.operators.retrieval import STOP_WORDS, asked_terms, batch_top, best_window, fresh, hybrid, merged_results
 from inkwell.operators.vectors import nearest_products, nearest_rows
 from inkwell.plans.registry import query
 from inkwell.sources.tables import lines_of, table
@@ -128,8 +128,8 @@ def batch(spark, sf_dir):
 
 
 def keyword_side(spark, sf_dir, k: int = 100, common: int | None = None):
-    found = batch_bm25(table(spark, sf_dir, "documents"), batch(spark, sf_dir), common=common).where("doc_id <> qid")
-    return top(found.withColumn("kw", F.round("score", 6)), k, ["qid"], F.desc("kw"), "doc_id").select("qid", "doc_id", "kw", "rank")
+    found = batch_top(table(spark, sf_dir, "documents"), batch(spark, sf_dir), k, common=common)
+    return found.select("qid", "doc_id", F.col("score").alias("kw"), "rank")
 
 
 def semantic_side(spark, sf_dir, k: int = 100):
