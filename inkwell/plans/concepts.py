@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from inkwell.functions.text import ascii_edges
 from inkwell.operators import concepts as cn
 from inkwell.operators.graph import cooccurrence
 from inkwell.operators.ranking import top
@@ -69,7 +70,7 @@ TOPIC_WORDS = {"motion": ["mot", "que"], "present": ["pre", "der"], "quality": [
 def topics_of_turns(spark, sf_dir):
     """A text's topics by their patterns; by plain words only if no pattern is found."""
     low = F.lower("text")
-    pattern = F.array_compact(F.array(*[F.when(low.rlike(p), t) for t, p in TOPIC_PATTERNS.items()]))
+    pattern = F.array_compact(F.array(*[F.when(low.rlike(ascii_edges(p)), t) for t, p in TOPIC_PATTERNS.items()]))
     word = F.array_compact(F.array(*[F.when(F.greatest(*[low.contains(w) for w in ws]), t) for t, ws in TOPIC_WORDS.items()]))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", pattern.alias("p"), word.alias("w"))
     return turns.select("conv_id", "turn", F.explode(F.when(F.size("p") > 0, F.col("p")).otherwise(F.col("w"))).alias("topic"))
