@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from inkwell.functions.text import ascii_edges
 from inkwell.operators.ranking import diversified
 
 # Marks of back-of-book indexes, endnotes, lists of steps and contents, running headers; and what they count for.
@@ -44,14 +45,14 @@ class Weights:
 
 
 def _times(text: Column, pattern: str) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    return F.size(F.regexp_extract_all(text, F.lit(ascii_edges(pattern)), F.lit(0)))
 
 
 def listed_factor(text: Column, context: Column | None = None) -> Column:
     """Less for pages of an index or of endnotes, as the text and its context show, and for bare lists of steps or contents."""
     whole = text if context is None else F.concat_ws("\n", text, context)
     index = (_times(whole, INDEX_RUN) >= 1) | (_times(whole, INDEX_ENTRY) >= 5) | (_times(whole, ENDNOTE) >= 3)
-    marks = _times(text, ENUMERATION) + F.when(text.rlike(CONTENTS), 3).otherwise(0)
+    marks = _times(text, ENUMERATION) + F.when(text.rlike(ascii_edges(CONTENTS)), 3).otherwise(0)
     return F.when(index, INDEX_FACTOR).when(marks >= MARKS, LIST_FACTOR).otherwise(1.0)
 
 
@@ -79,7 +80,7 @@ def scored(chunks: DataFrame, semantic: DataFrame, keyword: DataFrame, questions
 
     chunks: key, text, context, scale, category, source; semantic: qid, key, sem; keyword: qid, key, kw; questions: qid, text. Chunks
     outside the categories are left out of both sides before each is taken over its best. Both sides are a bounded list a query; chunks meet
-    them by key.
+    them by key, after what their texts say has become a factor.
     """
     kept = chunks if not categories else chunks.where(F.col("category").isin(categories))
     scope = kept.select("key")
@@ -88,12 +89,13 @@ def scored(chunks: DataFrame, semantic: DataFrame, keyword: DataFrame, questions
     part = lambda c: F.coalesce(F.col(c), F.lit(0.0)) / F.greatest(F.coalesce(F.max(c).over(w), F.lit(1.0)), F.lit(1e-6))
     base = either.select("qid", "key", (weights.semantic * part("sem") + weights.keyword * part("kw")).alias("base"))
     asked = questions.select("qid", named_works(F.col("text"), weights.works).alias("works"))
-    rows = base.join(kept, "key").join(asked, "qid", "left").withColumn("works", F.coalesce("works", F.array().cast("array<string>")))
+    weighed = kept.withColumn("listed", listed_factor(F.col("text"), F.col("context")) * header_factor(F.col("text"), F.col("scale"))).drop("text", "context")  # once a chunk
+    rows = base.join(weighed, "key").join(asked, "qid", "left").withColumn("works", F.coalesce("works", F.array().cast("array<string>")))
     source = F.lower(F.coalesce("source", F.lit("")))
     rows = rows.withColumn("named", F.exists("works", lambda x: source.contains(x)))
     title = F.when(F.col("named"), weights.named).when(F.size("works") > 0, 1.0).otherwise(_prior(F.col("source"), weights.priors))
     table = lambda column, values: F.coalesce(*[F.when(F.col(column) == k, v) for k, v in values.items()], F.lit(1.0))
-    factors = table("scale", weights.scales) * table("category", weights.categories) * title * listed_factor(F.col("text"), F.col("context")) * header_factor(F.col("text"), F.col("scale"))
+    factors = table("scale", weights.scales) * table("category", weights.categories) * title * F.col("listed")
     return rows.select("qid", "key", (F.col("base") * factors).alias("score"), "named", "scale", "source", F.coalesce("context_id", F.col("key").cast("string")).alias("context_id"))
 
 

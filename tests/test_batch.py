@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwell.operators import retrieval
+from inkwell.plans.catalog import QUERIES
 from inkwell.plans.search import keyword_side
 
 WORDS = [f"w{i}" for i in range(40)]
@@ -35,3 +36,9 @@ def test_the_keyword_side_makes_no_row_a_pair(spark, monkeypatch):
     """A join of postings with the queries' words would make a row for each query and document that share a word."""
     monkeypatch.setattr(retrieval, "batch_bm25", None)
     assert keyword_side(spark, "/root/testdata/sf0.001", 3).count() > 0
+
+
+def test_texts_are_weighed_once_a_chunk(spark):
+    """Patterns run below the join of candidates with chunks, so texts do not travel with each question."""
+    plan = QUERIES["retrieved_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Tradition") > plan.index("Join Inner, (key")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import ascii_edges
+from inkwell.operators.retrieve import listed_factor
 from inkwell.plans.catalog import QUERIES
 
 
@@ -17,3 +18,8 @@ def test_topics_of_turns_beside_other_letters(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = sorted((r.turn, r.topic) for r in QUERIES["topics_of_turns"](spark, str(tmp_path)).collect())
     assert got == [(0, "present"), (1, "motion"), (2, "present")]
+
+
+def test_marks_of_lists_beside_other_letters(spark):
+    df = spark.createDataFrame([("éibid éibid éibid",)], "t string")
+    assert df.select(listed_factor(F.col("t"))).first()[0] == 0.2
