@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkwell.operators import mining
+from inkwell.operators.matching import text_tokens
 from inkwell.operators.retrieval import STOP_WORDS
 from inkwell.plans.graphs import passages
 from inkwell.plans.phrases import TOKENS
@@ -38,8 +39,7 @@ SELECT array_to_string(p, ' ') AS phrase, words, "count", books, round(pmi, 6) A
 @query(f"WITH {SQL_PHRASES}")
 def mined_phrases(spark, sf_dir):
     """Phrases of two to four words that occur far more often than by chance, without parts of longer ones."""
-    words = mining.passage_words(passages(spark, sf_dir), "source")
-    found = mining.phrases(words, "source", sorted(STOP_WORDS))
+    found = mining.phrases(passages(spark, sf_dir), "source", sorted(STOP_WORDS), w="text", split=text_tokens)
     return found.select("phrase", "words", "count", "books", F.round("pmi", 6).alias("pmi"))
 
 

@@ -67,3 +67,28 @@ def test_names_and_sayings(spark):
     assert got == {n: (c, len(books[n])) for n, c in want.items() if len(n) >= 4 and n.split()[0].lower() not in STOP}
     assert got["Bill Wilson"][0] >= 2 and "House of Peace" in got
     assert [(r.saying, r["count"], r.books) for r in mining.sayings(rows, "book", least=1).collect()] == [("easy does it", 2, 2)]
+
+
+def test_grams_of_numbered_words_equal_counts(spark, monkeypatch):
+    """Windows of words in several slices and groups give the counts of all grams, and so do strings where words are too many."""
+    monkeypatch.setattr(mining, "HELD_WORDS", 50)
+    monkeypatch.setattr(mining, "GROUP_WINDOWS", 200)
+    r = np.random.default_rng(3)
+    texts = [(f"b{i % 3}" if i % 7 else None, " ".join(r.choice(["of", "x", "y", "z", "u", "v"] + [f"rare{i}"], int(r.integers(0, 40))))) for i in range(90)] + [("b9", None), ("b9", "")]
+    want, books = Counter(), defaultdict(set)
+    for book, text in texts:
+        w = (text or "").split()
+        for n in (2, 3, 4):
+            for i in range(len(w) - n + 1):
+                if w[i] != "of" and w[i + n - 1] != "of":
+                    want[tuple(w[i : i + n])] += 1
+                    books[tuple(w[i : i + n])].add(book)
+    rows = spark.createDataFrame(texts, "book string, text string")
+    words = mining.word_counts(rows, "text", str.split)
+    for longest in (2, 3, 4):
+        grams = mining.counted_grams(rows, "text", str.split, words, 4, longest, "book", ("of",))
+        assert {tuple(x.parts): (x.words, x["count"], x.books) for x in grams.collect()} == {g: (len(g), n, len(books[g])) for g, n in want.items() if n >= 4 and len(g) <= longest}
+    monkeypatch.setattr(mining, "NUMBERED_WORDS", 3)
+    assert mining.counted_grams(rows, "text", str.split, words, 4, 4, "book", ("of",)) is None
+    by_string = mining.string_grams(rows.select("book", F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda x: x != "").alias("w")), "book", ["of"], 4, 4)
+    assert {tuple(x.parts): (x["count"], x.books) for x in by_string.collect()} == {g: (n, len(books[g])) for g, n in want.items() if n >= 4}
