@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from inkwell.operators import spans
 from inkwell.operators import structure as st
 from inkwell.plans.registry import query
-from inkwell.sources.tables import lines_of, table
+from inkwell.sources.tables import table
 
 
 @query()
@@ -21,10 +21,11 @@ def highlight_spans(spark, sf_dir):
 @query()
 def rendered_spans(spark, sf_dir):
     """Each document's longest line, found again in the document as it is rendered: line ends are tags, words of over eight letters are parted."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    longest = lines_of(table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.max_by("text", F.struct(F.length("text"), -F.col("ord"))).alias("snippet"))
+    docs = table(spark, sf_dir, "documents")
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.length(x).alias("chars"), (-i).alias("back"), x.alias("line")))
+    longest = F.array_max(F.filter(lines, lambda x: F.length(F.trim(x["line"])) > 0))["line"]
     html = F.regexp_replace(F.replace("text", F.lit("\n"), F.lit("<br>\n")), r"\b([A-Za-z]{6})([A-Za-z]{3,})", "$1- $2")
-    return spans.located(docs.select("doc_id", html.alias("html")).join(longest, "doc_id"), ["doc_id"], "snippet", "html")
+    return spans.located(docs.select("doc_id", html.alias("html"), longest.alias("snippet")).where("snippet IS NOT NULL"), ["doc_id"], "snippet", "html")
 
 
 @query(r"""WITH d AS (SELECT doc_id, string_split(text, chr(10))[1] AS t1, 'The ' || source AS t2, replace(replace(text, ' the ', ' the first source '), ' la ', ' la 2nd reading ') AS text FROM documents),

@@ -1,6 +1,7 @@
 """Snippets in pages against a plain search, and pointers replaced by titles."""
 
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -63,3 +64,24 @@ def test_pointers_become_titles(spark):
     rows = spark.createDataFrame(list(enumerate(cases)), "n int, t string")
     got = [r.o for r in rows.select("n", spans.with_titles(F.col("t"), F.lit("Big Book"), F.lit("Steps")).alias("o")).orderBy("n").collect()]
     assert got == list(cases.values())
+
+
+def test_places_of_crowded_pages_in_linear_time():
+    """Words that stand everywhere, in pages whose letters have no small one of their own length; thousands of pointers in a text."""
+    page = "the one and " * 30000 + "İ the İ one"
+    began = time.time()
+    assert spans.locate("the one and the one and the one and the one never", page)[2] >= 10
+    assert spans.Page("AİB ẞ c").close == "aİbßc"
+    text = " the first source and  the source 2's" * 20000
+    assert spans.titled(text, "Big Book", "Steps") == " Big Book and  Steps'" * 20000
+    assert time.time() - began < 20
+
+
+def test_rendered_spans_take_the_longest_line_in_the_row(spark, tmp_path):
+    from inkwell.plans.spans import rendered_spans
+
+    texts = [(1, "one two three\n\nfour five sixteen"), (2, "alpha beta\n" + " " * 40 + "\ngamma delta nineteens"), (3, None), (4, " \n "), (5, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = rendered_spans(spark, str(tmp_path))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: r.words for r in found.collect()} == {1: 3, 2: 3}
