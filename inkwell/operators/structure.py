@@ -9,8 +9,11 @@ from html.parser import HTMLParser
 from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 # Words that end in a point without ending a sentence.
@@ -228,6 +231,10 @@ def covering(parts: DataFrame) -> DataFrame:
     return own.join(best, ["doc_id", "scale", "chunk_index"], "left").select("doc_id", "scale", "chunk_index", *names)
 
 
+#: Blocks that a task holds before it hands them on: characters and rows.
+HELD_CHARS, HELD_ROWS = 1 << 21, 5000
+
+
 class _Blocks(HTMLParser):
     TAGS = {"h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "p", "pre"}
 
@@ -264,17 +271,25 @@ class _Blocks(HTMLParser):
 def html_blocks(pages: DataFrame) -> DataFrame:
     """Typed blocks of web pages in order: (page_id, ord, type, text)."""
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = StructType.fromDDL("page_id long, ord int, type string, text string")
+    arrow = to_arrow_schema(schema)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for page_id, html in zip(batch["page_id"], batch["html"], strict=True):
+            rows, chars = [], 0
+            for page_id, html in zip(batch.column(0), batch.column(1), strict=True):  # one page at a time leaves Arrow's memory
                 parser = _Blocks()
-                parser.feed(html or "")
+                parser.feed(html.as_py() or "")
                 parser._close()
-                rows += [(page_id, n, kind, text) for n, (kind, text) in enumerate(parser.found)]
-            yield pd.DataFrame(rows, columns=["page_id", "ord", "type", "text"])
-
-    return pages.select("page_id", "html").mapInPandas(parse, "page_id long, ord int, type string, text string")
+                rows += [(page_id.as_py(), n, kind, text) for n, (kind, text) in enumerate(parser.found)]
+                chars += sum(len(text) for _, text in parser.found)
+                if chars > HELD_CHARS or len(rows) > HELD_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+                    rows, chars = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+    return pages.select("page_id", "html").mapInArrow(parse, schema)
 
 
 PASSAGE = (120, 260, 25)  # words: enough, most, least kept
