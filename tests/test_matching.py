@@ -53,3 +53,15 @@ def test_random_forms_equal_plain_search(spark, monkeypatch):
                 if at[:-1] == parts[:-1] and (at[-1] == parts[-1] or (is_open and at[-1].startswith(parts[-1]))):
                     want[n, concept] = want.get((n, concept), 0) + 1
     assert both(spark, texts, forms, monkeypatch, numbers=False) == want
+
+
+def test_a_task_holds_little(spark, monkeypatch):
+    """Words that a task remembers and blocks that it holds stay few, whatever the input; small limits change no row."""
+    from inkwell.operators import matching, structure
+
+    assert matching.REMEMBERED <= 1 << 16 and structure.HELD_CHARS <= 1 << 21
+    pages = spark.createDataFrame([(k, f"<h1>t{k}</h1>" + "<p>x</p><li>y</li>" * k if k % 5 else None) for k in range(40)], "page_id long, html string")
+    want = [(k, n, t, x) for k in range(40) if k % 5 for n, (t, x) in enumerate([("heading", f"t{k}")] + [("paragraph", "x"), ("list", "y")] * k)]
+    for rows in (structure.HELD_ROWS, 3):
+        monkeypatch.setattr(structure, "HELD_ROWS", rows)
+        assert sorted(tuple(r) for r in structure.html_blocks(pages).collect()) == want
