@@ -74,7 +74,9 @@ def _headed(b: DataFrame, least: int) -> DataFrame:
 def listed_titles(b: DataFrame) -> DataFrame:
     """(doc_id, k, title, toc_end): entries of a document's contents in order, if there are three at least."""
     squeezed = F.trim(F.regexp_replace("text", r"\s+", " "))
-    front = b.where(F.col("i") < F.greatest(F.lit(FRONT), F.floor(F.col("n") / 8))).withColumn("s", squeezed)
+    # an entry has three points in a row, or stands in a list that says so: few blocks do, and only they meet the slower patterns
+    likely = F.col("text").rlike(r"\.\s*\.\s*\.") | F.lower("text").contains("contents")
+    front = b.where((F.col("i") < F.greatest(F.lit(FRONT), F.floor(F.col("n") / 8))) & likely).withColumn("s", squeezed)
     dotted = F.regexp_extract_all("s", F.lit(DOTTED), F.lit(1))
     numbers = F.transform(F.regexp_extract_all("s", F.lit(NUMBERED), F.lit(1)), lambda x: x.cast("int"))
     counted = F.col("s").rlike(CONTENTS) & (F.slice(numbers, F.lit(1), F.lit(3)) == F.array(F.lit(1), F.lit(2), F.lit(3)))
@@ -87,8 +89,10 @@ def listed_titles(b: DataFrame) -> DataFrame:
 def aligned(b: DataFrame) -> DataFrame:
     """Starts of chapters by the contents: each entry at the first block after the entry before that begins with its
     title. Blocks meet entries by the first characters of their keys; what is left is one pass over a document's few pairs."""
-    entries = listed_titles(b).withColumn("key", F.left(title_key(F.col("title")), F.lit(WIDE))).where(F.length("key") >= KEY).withColumn("begin", F.left("key", F.lit(KEY)))
-    text = b.where(F.col("is_content") | (F.col("type") == "heading")).select("doc_id", "i", title_key(F.regexp_replace(F.left("text", F.lit(160)), r"^[0-9]{1,3}\s+", "")).alias("head"))
+    entries = staged(listed_titles(b), "outline-entries").withColumn("key", F.left(title_key(F.col("title")), F.lit(WIDE))).where(F.length("key") >= KEY).withColumn("begin", F.left("key", F.lit(KEY)))
+    begun = b.where(F.col("is_content") | (F.col("type") == "heading")).select("doc_id", "i", F.left("text", F.lit(160)).alias("text"))
+    begun = begun.join(entries.select("doc_id").distinct(), "doc_id", "left_semi")  # most documents list nothing
+    text = begun.select("doc_id", "i", title_key(F.regexp_replace("text", r"^[0-9]{1,3}\s+", "")).alias("head"))
     text = text.where(F.length("head") >= KEY).withColumn("begin", F.left("head", F.lit(KEY)))
     pairs = text.join(entries, ["doc_id", "begin"]).where("i > toc_end AND startswith(head, key)")
     lists = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "i", "title"))).alias("p"))
@@ -133,7 +137,8 @@ def outline(blocks: DataFrame, least: int = LEAST, most: int = MOST) -> DataFram
     over a written table; documents without blocks have no rows, null texts are empty.
     """
     b = staged(_measured(blocks), "outline-blocks")
-    starts = _merged(_headed(b, least), aligned(b)).join(b.select("doc_id", "i", "n", F.col("content").alias("opened")), ["doc_id", "i"])
+    starts = _merged(staged(_headed(b, least), "outline-heads"), aligned(b)).join(b.select("doc_id", "i", "n", F.col("content").alias("opened")), ["doc_id", "i"])
+    starts = staged(starts, "outline-starts")
     ends = lambda df: df.withColumn("end", F.lead("i").over(_in_order()))
 
     def counted(df: DataFrame) -> DataFrame:
@@ -145,7 +150,7 @@ def outline(blocks: DataFrame, least: int = LEAST, most: int = MOST) -> DataFram
     again = F.lead("i").over(Window.partitionBy("doc_id", "key").orderBy("i")).isNotNull()
     starts = counted(starts).withColumn("again", again).where(~F.col("again") | (F.col("content_blocks") >= LISTED)).drop("end", "closed", "content_blocks", "again")
     starts = counted(starts).where((F.col("content_blocks") > 0) | (F.col("end") == F.col("n"))).drop("end", "closed", "content_blocks")
-    chapters = counted(starts).select("doc_id", "i", "title", "n", "opened", "content_blocks")
+    chapters = staged(counted(starts).select("doc_id", "i", "title", "n", "opened", "content_blocks"), "outline-chapters")
     whole = b.where("i = n - 1").where(F.col("content") > most).select("doc_id", "n", F.col("content").alias("content_blocks")).join(chapters.select("doc_id").distinct(), "doc_id", "left_anti")
     whole = whole.join(b.where("i = 0").select("doc_id", "i", F.col("content").alias("opened")), "doc_id").withColumn("title", F.lit(""))
     chapters = staged(chapters.unionByName(whole), "outline-chapters")

@@ -66,3 +66,16 @@ def test_long_chapters_are_cut_at_pages(spark):
 
 def test_no_blocks(spark):
     assert outline(spark.createDataFrame([], BLOCKS)).count() == 0
+
+
+def test_slow_patterns_meet_likely_blocks_alone(spark):
+    """Blocks without three points or the word for a list are left out before the patterns of entries; the entries stay the same."""
+    from pyspark.sql import functions as F
+
+    from inkwell.operators.outline import listed_titles
+
+    text = ["Contents", "First Part . . . 1", "Second Part....2", "Third  Part .\t. . iv", "Plain. Text. Here. 5", "TABLE OF CONTENTS 1 One Thing 2 Other Thing 3 Last Thing", "contents 1 Alpha 3 Beta", "no"]
+    b = spark.createDataFrame([(1, i, 8, t) for i, t in enumerate(text)], "doc_id long, i int, n long, text string")
+    found = listed_titles(b).orderBy("k")
+    assert [r.title for r in found.collect()] == ["First Part", "Second Part", "Third Part", "One Thing", "Other Thing", "Last Thing"]
+    assert "contains(lower(text" in found._jdf.queryExecution().optimizedPlan().toString().lower()
