@@ -52,7 +52,8 @@ def _measured(blocks: DataFrame) -> DataFrame:
 def _headed(b: DataFrame, least: int) -> DataFrame:
     """Starts of chapters by headings. A running header, a title that a document repeats, one with little to read before
     the next other title, and the title of a list of contents open nothing."""
-    heads = b.where("type = 'heading'").withColumn("h", clean_heading(F.col("text"))).withColumn("key", title_key(F.col("h.title"))).where("key <> ''")
+    heads = b.where("type = 'heading'").select("*", F.explode(F.array(clean_heading(F.col("text")))).alias("h"))  # a generator: cleaned once, not once a use
+    heads = heads.withColumn("key", title_key(F.col("h.title"))).where("key <> ''")
     same = Window.partitionBy("doc_id", "key")
     heads = heads.withColumns({"times": F.count("*").over(same), "runs": F.max("h.running").over(same), "first": F.min("i").over(same)})
     heads = heads.where((F.col("times") < REPEATS) & ~(F.col("runs") & (F.col("i") > F.col("first"))))
