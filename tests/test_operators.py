@@ -199,6 +199,25 @@ def test_merged_is_union_find(spark):
     assert got == {x: root(x) for x in part}
 
 
+def test_merged_deals_edges_by_their_number(spark, monkeypatch):
+    """However many edges there are, and even if one node has most of them, a task gets a bounded number."""
+    monkeypatch.setattr(graph, "EDGES_A_TASK", 100, raising=False)
+    real, most = graph.staged, []
+
+    def tasks(df):
+        return max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+
+    monkeypatch.setattr(graph, "staged", lambda df, tag: (tag == "merge-edges" and most.append(tasks(df)), real(df, tag))[1])
+    pairs = [(0, k) for k in range(1, 1500)] + [(k, k) for k in range(5000, 5010)] + [(5000 + k, 6000 + k) for k in range(500)]
+    got = {r.id: r.root for r in graph.merged(spark.createDataFrame(pairs + pairs[::-1] + [(b, a) for a, b in pairs], "a long, b long")).collect()}
+    assert got == {x: 0 if x < 5000 else 5000 + x % 1000 for p in pairs for x in p}
+    assert len(most) == 1 and most[0] <= 300
+    edges = spark.createDataFrame([(b, a, b % 15) for a, b in pairs[:1499]] + [(a, b, 0) for a, b in pairs[:1499]], "a long, b long, part int")
+    label = edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root"), F.ceil(F.count("*") / 100).cast("int").alias("parts"))
+    joined = graph.spread(edges, label, 30)
+    assert joined.count() == edges.count() and tasks(joined) <= 500
+
+
 def test_rolling_sketches_are_near_the_exact_counts(spark):
     from inkwell.plans import catalog
 
