@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,110 +61,193 @@ def batch_bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", k1: flo
     return scored.where("held OR NOT some").select("qid", key, "score")
 
 
-#: Postings of a block of documents, and queries of a block; both are in a task at a time. Words of a batch that may be broadcast.
-BLOCK_POSTINGS, BLOCK_QUERIES, FEW_WORDS = 1_500_000, 32_768, 200_000
-#: Blocks to deal a small index into, and from how many blocks on an eighth of them goes first and bounds what the rest may bring.
-LEAST_BLOCKS, BOUNDED_FROM = 12, 16
+#: Postings of a block of documents, queries of a block and rows that a block leaves, all in a task at a time. Words of a batch that may be broadcast.
+BLOCK_POSTINGS, BLOCK_QUERIES, BLOCK_ROWS, FEW_WORDS = 4_000_000, 262_144, 4_000_000, 200_000
+#: Blocks to deal a small index into, and tasks of a round at least; from how many blocks on they go in rounds, each this many times what went before.
+LEAST_BLOCKS, BOUNDED_FROM, LARGER = 12, 16, 4
 
 
-def batch_top(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", k1: float = 1.5, b: float = 0.75, common: int | None = None, digits: int = 6) -> DataFrame:
-    """(qid, key, score, rank): the k best other documents of every query by `batch_bm25`, scores rounded, ties by key.
+@dataclass
+class BatchIndex:
+    """The words that a batch asks for (token, tid), who asks for them (qid, token), and which documents hold them (key, len, tids, tfs)."""
+
+    words: DataFrame
+    queries: DataFrame
+    held: DataFrame
+
+
+def frequent_words(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text", stop: list[str] = STOP_WORDS) -> DataFrame:
+    """(key, token): the k most frequent words of each document, longer than two letters and no stop words, ties by word."""
+    kind, left_out = docs.schema[key].dataType.simpleString(), set(stop)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, words = [], []
+            for i, found in zip(batch.column(0), batch.column(1), strict=True):
+                tf = Counter(t for t in found.as_py() or [] if len(t) > 2 and t not in left_out)
+                best = heapq.nsmallest(k, tf, key=lambda t: (-tf[t], t))
+                keys += [i.as_py()] * len(best)
+                words += best
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.types[0]), pa.array(words, pa.string())], [key, "token"])
+
+    return docs.select(key, tokens(F.col(text)).alias("w")).mapInArrow(count, f"{key} {kind}, token string")
+
+
+def held_words(docs: DataFrame, words: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, len, tids, tfs): a document's length, which of the words it holds by their place in the list, ascending, and how often each.
 
-    Only asked words are counted. Their postings are dealt by document into blocks of a bounded number; each meets each block of
-    queries in one task, which adds up a query's postings over the block's documents and leaves k rows a query. Where there are many
-    blocks, an eighth goes first, and of the rest only what reaches the k-th score found by then leaves a task.
+    A document is counted where it is read, so no row a word is shuffled.
     """
+    kind = docs.schema[key].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, of = pa.array(words, pa.string()), max(len(words), 1)
+        for batch in batches:
+            lists = batch.column(1)
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            tid = pc.fill_null(pc.index_in(lists.flatten(), wanted), -1).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(size)), size)[tid >= 0]
+            code, tf = np.unique(row * of + tid[tid >= 0], return_counts=True)
+            ends = pa.array(np.searchsorted(code, np.arange(len(size) + 1) * of), pa.int32())
+            tids, tfs = (pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (code % of, tf))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.maximum(size, 1), pa.int32()), tids, tfs], [key, "len", "tids", "tfs"])
+
+    return docs.select(key, tokens(F.col(text)).alias("w")).mapInArrow(count, f"{key} {kind}, len int, tids array<int>, tfs array<int>")
+
+
+def batch_index(docs: DataFrame, queries: DataFrame, key: str = "doc_id") -> BatchIndex:
+    """Only asked words are counted, a row a document. queries: qid, token; key: one row each."""
+    spark = docs.sparkSession
     queries = staged(queries.select("qid", "token").distinct(), "batch")
-    vocabulary = staged(queries.select("token").distinct().withColumn("tid", F.monotonically_increasing_id()), "words")
-    if vocabulary.count() <= FEW_WORDS:
-        words = docs.select(key, F.explode(tokens(F.col("text"))).alias("token")).join(F.broadcast(vocabulary), "token")
-        tf = words.groupBy(key, "tid").agg(F.count("*").cast("double").alias("tf"))
-    else:
-        tf = postings(docs, key).join(vocabulary, "token").select(key, "tid", F.col("tf").cast("double").alias("tf"))
-    tf = staged(tf, "postings")
-    size = staged(lengths(docs, key).withColumn("len", F.col("len").cast("double")), "lengths")
-    stats = size.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avgdl"))
-    df = staged(tf.groupBy("tid").agg(F.count("*").cast("double").alias("df")), "df")
-    idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-    part = idf * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("len") / F.col("avgdl")))
-    weighed = tf.join(df, "tid").join(size, key).crossJoin(F.broadcast(stats)).select(key, "tid", part.alias("part"))  # stats: one row
-    asked = queries.join(vocabulary, "token").join(df, "tid").select("qid", "tid", (F.col("df") <= (common or 0)).alias("rare"))
+    words = queries.select("token").distinct()
+    few = words.limit(FEW_WORDS + 1).collect()
+    if len(few) <= FEW_WORDS:
+        listed = sorted(r["token"] for r in few if r["token"] is not None)
+        words = staged(spark.createDataFrame(pd.DataFrame({"token": pd.Series(listed, dtype="str"), "tid": np.arange(len(listed), dtype="int32")}), "token string, tid int"), "words")
+        return BatchIndex(words, queries, staged(held_words(docs, listed, key), "held"))
+    words = staged(words.withColumn("tid", F.monotonically_increasing_id()), "words")
+    found = postings(docs, key).join(words, "token").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("tid", F.col("tf").cast("int").alias("tf")))).alias("found"))
+    none = lambda c, kind: F.coalesce(F.col(f"found.{c}"), F.array().cast(f"array<{kind}>")).alias(f"{c}s")
+    held = lengths(docs, key).join(found, key, "left").select(key, F.col("len").cast("int").alias("len"), none("tid", "bigint"), none("tf", "int"))
+    return BatchIndex(words, queries, staged(held, "held"))
+
+
+def rounds(n: int) -> list[tuple[int, int]]:
+    """Stretches of n blocks that go one after the other: all at once if they are few, else the first one and then always LARGER times what is done."""
+    if n < BOUNDED_FROM:
+        return [(0, n)]
+    out = [(0, 1)]
+    while out[-1][1] < n:
+        out.append((out[-1][1], min(out[-1][1] * LARGER, n)))
+    return out
 
-    n = tf.count()
+
+def batch_top(docs: DataFrame, queries: DataFrame | None, k: int, key: str = "doc_id", k1: float = 1.5, b: float = 0.75, common: int | None = None, digits: int = 6, index: BatchIndex | None = None) -> DataFrame:
+    """(qid, key, score, rank): the k best other documents of every query by `batch_bm25`, scores rounded, ties by key.
+
+    Documents, each with the asked words it holds, are dealt into blocks of a bounded number of postings; each meets each block of
+    queries in one task, which adds up a query's postings over the block's documents and leaves k rows a query. Many blocks go in rounds:
+    after the first one, only what comes before the k-th row found so far leaves a task, so a round leaves a few times k rows a query
+    however many blocks it has.
+    """
+    index = index or batch_index(docs, queries, key)
+    held = index.held
+    total = held.agg(F.count("*").cast("double").alias("n"), F.avg(F.col("len").cast("double")).alias("avgdl"), F.sum(F.size("tids")).alias("postings")).first()
+    df = held.select(F.explode("tids").alias("tid")).groupBy("tid").agg(F.count("*").cast("double").alias("df"))
+    idf = F.log(F.lit(1.0) + (F.lit(total["n"]) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
+    words = index.words.join(df, "tid").select("token", "tid", idf.alias("idf"), (F.col("df") <= (common or 0)).alias("rare"))
+    terms = F.sort_array(F.collect_list(F.struct("tid", "idf", "rare")))
+    choosy = ["rare"] if common is not None else []
+    asked = staged(index.queries.join(words, "token").groupBy("qid").agg(terms.alias("t")).select("qid", *[F.col(f"t.{c}").alias(f"{c}s") for c in ["tid", "idf", *choosy]]), "asked")
+
+    asks, n = asked.count(), total["postings"] or 0
     n = max(-(-n // BLOCK_POSTINGS), min(-(-n // 20_000), LEAST_BLOCKS), 1)
-    m = max(-(-queries.select("qid").distinct().count() // BLOCK_QUERIES), 1)
     dealt = lambda column, of: F.pmod(F.xxhash64(column), F.lit(of)).cast("int")
     across = lambda low, high: F.explode(F.sequence(F.lit(low), F.lit(high - 1)))
-    weighed = weighed.withColumn("i", dealt(key, n))
-    asked = asked.withColumn("j", dealt("qid", m))
-    kinds = docs.schema[key].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
+    kinds = index.held.schema[key].dataType.simpleString(), asked.schema["qid"].dataType.simpleString()
     schema = f"qid {kinds[1]}, {key} {kinds[0]}, score double"
+    mean = total["avgdl"]
 
-    def best(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        return best_of_block(ours, theirs, k, key, common is not None, digits)
+    def best(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        return best_of_block(ours, theirs, k, key, mean, k1, b, digits)
 
-    found = None
-    cut = n // 8 if n >= BOUNDED_FROM else 0
-    for low, high in [(0, cut), (cut, n)] if cut else [(0, n)]:
+    held, found = held.withColumn("i", dealt(key, n)), None
+    for low, high in rounds(n):
         if found is None:
-            known = asked.withColumn("least", F.lit(float("-inf")))
+            known = asked.withColumns({"least": F.lit(float("-inf")), "last": F.lit(None).cast(kinds[0])})
         else:
-            bound = top(found, k, ["qid"], F.desc("score"), key).where(F.col("rank") == k).select("qid", F.col("score").alias("least"))
+            bound = found.where(F.col("rank") == k).select("qid", F.col("score").alias("least"), F.col(key).alias("last"))
             known = asked.join(bound, "qid", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+        m = max(-(-asks // BLOCK_QUERIES), -(-asks * k // (max(low, 1) * BLOCK_ROWS)), -(-min(LEAST_BLOCKS, n) // (high - low)), 1)
         tasks = (high - low) * m
-        left = weighed.where((F.col("i") >= low) & (F.col("i") < high)).withColumn("j", across(0, m)).repartition(tasks, "i", "j")
-        right = known.withColumn("i", across(low, high)).repartition(tasks, "i", "j")
-        some = staged(left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, schema), "best")
-        found = some if found is None else found.unionByName(some)
-    return staged(top(found, k, ["qid"], F.desc("score"), key), "found")
+        left = held.where((F.col("i") >= low) & (F.col("i") < high)).withColumn("j", across(0, m)).repartition(tasks, "i", "j")
+        right = known.withColumns({"i": across(low, high), "j": dealt("qid", m)}).repartition(tasks, "i", "j")
+        some = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(best, schema)
+        every = some if found is None else found.select("qid", key, "score").unionByName(some)
+        found = staged(top(every, k, ["qid"], F.desc("score"), key), "found")
+    return found
 
 
-def best_of_block(ours: pd.DataFrame, theirs: pd.DataFrame, k: int, key: str, choosy: bool, digits: int) -> pd.DataFrame:
-    """(qid, key, score): the k best documents of a block for each query, down to the query's least score, ties by key.
+def best_of_block(ours: pa.Table, theirs: pa.Table, k: int, key: str, mean: float, k1: float, b: float, digits: int) -> pa.Table:
+    """(qid, key, score): the k best documents of a block for each query that come before its last one found so far, ties by key.
 
-    ours: key, tid, part; theirs: qid, tid, rare, least. A choosy query that has rare words asks only for documents that hold one.
+    ours: key, len, tids, tfs; theirs: qid, tids, idfs, least, last, and perhaps rares: a query that has rare words asks only for documents that hold one.
     """
-    none = pd.DataFrame({"qid": theirs["qid"].iloc[:0], key: ours[key].iloc[:0], "score": pd.Series(dtype="float64")})
+    none = pa.table({"qid": theirs["qid"].slice(0, 0), key: ours[key].slice(0, 0), "score": pa.array([], pa.float64())})
     if not len(ours) or not len(theirs):
         return none
+    flat = lambda table, c: table[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    sizes = lambda table: pc.list_value_length(table["tids"]).to_numpy()
     ids, doc = np.unique(ours[key].to_numpy(), return_inverse=True)
-    tid, part = ours["tid"].to_numpy(), ours["part"].to_numpy()
+    of, tid = sizes(ours), flat(ours, "tids")
     order = np.argsort(tid, kind="stable")
-    tid, doc, part = tid[order], doc[order].astype(np.int32), part[order]
-    theirs = theirs.sort_values(["qid", "tid"])
-    first, last = np.searchsorted(tid, theirs["tid"].to_numpy()), np.searchsorted(tid, theirs["tid"].to_numpy(), "right")
-    qid, rare, least = theirs["qid"].to_numpy(), theirs["rare"].to_numpy(), theirs["least"].to_numpy()
-    starts = np.flatnonzero(np.r_[True, qid[1:] != qid[:-1]])
+    tid, tf, doc = tid[order], flat(ours, "tfs")[order].astype(np.float64), np.repeat(doc.astype(np.int32), of)[order]
+    damp = k1 * ((1 - b) + b * ours["len"].to_numpy().astype(np.float64) / mean)
+    damp = tf + np.repeat(damp, of)[order]
+    del order
+    qid, least, last = theirs["qid"].to_numpy(), theirs["least"].to_numpy(), pc.fill_null(theirs["last"], ours[key][0]).to_numpy()
+    asked, idf = flat(theirs, "tids"), flat(theirs, "idfs")
+    rare = flat(theirs, "rares") if "rares" in theirs.column_names else np.zeros(len(asked), dtype=bool)
+    ends = np.cumsum(sizes(theirs))
+    starts = ends - sizes(theirs)
+    word, at = np.unique(asked, return_index=True)
+    part = np.zeros(len(tid))
+    first, end = np.searchsorted(tid, word), np.searchsorted(tid, word, "right")
+    for a, z, x in zip(first.tolist(), end.tolist(), at.tolist(), strict=True):
+        part[a:z] = idf[x] * tf[a:z] * (k1 + 1) / damp[a:z]
+    del tf, damp
+    place = np.searchsorted(word, asked)
+    first, end = first[place], end[place]
     same: dict = {}  # queries of the same words
-    for s, e in zip(starts.tolist(), np.r_[starts[1:], len(qid)].tolist(), strict=True):
-        same.setdefault(tuple(theirs["tid"].to_numpy()[s:e]), []).append((s, e))
+    for x, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        same.setdefault(asked[s:e].tobytes(), []).append(x)
     scores, slack, out = np.zeros(len(ids)), 10.0**-digits, []
     for group in same.values():
-        s, e = group[0]
+        s, e = starts[group[0]], ends[group[0]]
         scores[:] = 0.0
-        for a, z in zip(first[s:e].tolist(), last[s:e].tolist(), strict=True):
+        for a, z in zip(first[s:e].tolist(), end[s:e].tolist(), strict=True):
             scores[doc[a:z]] += part[a:z]  # a document once a word
-        if choosy and rare[s:e].any():
-            held = np.unique(np.concatenate([doc[first[x] : last[x]] for x in range(s, e) if rare[x]]))
-            at = held[scores[held] > 0]
+        low = max(least[group].min() - slack, 0.0)
+        if rare[s:e].any():
+            found = np.unique(np.concatenate([doc[first[x] : end[x]] for x in range(s, e) if rare[x]]))
+            found = found[scores[found] > low]
         else:
-            low = min(least[x] for x, _ in group) - slack
-            at = np.flatnonzero(scores > max(low, 0.0))
-        value = scores[at]
-        if len(at) > k + 1:  # the query itself may be among them
+            found = np.flatnonzero(scores > low)
+        value = scores[found]
+        if len(found) > k + 1:  # the query itself may be among them
             near = value >= np.partition(value, len(value) - k - 1)[len(value) - k - 1] - slack
-            at, value = at[near], value[near]
+            found, value = found[near], value[near]
         value = np.round(value, digits)
-        order = np.lexsort((at, -value))[: k + 1]
-        at, value = at[order], value[order]
-        for x, _ in group:
-            mine = (ids[at] != qid[x]) & (value >= least[x])
-            rows = at[mine][:k]
-            if len(rows):
-                out.append((np.full(len(rows), qid[x]), ids[rows], value[mine][:k]))
+        order = np.lexsort((found, -value))[: k + 1]
+        found, value = ids[found[order]], value[order]
+        for x in group:
+            mine = (found != qid[x]) & ((value > least[x]) | ((value == least[x]) & (found < last[x])))
+            if mine.any():
+                out.append((np.full(min(int(mine.sum()), k), qid[x]), found[mine][:k], value[mine][:k]))
     if not out:
         return none
-    return pd.DataFrame({"qid": np.concatenate([o[0] for o in out]), key: np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
+    columns = [np.concatenate([o[c] for o in out]) for c in range(3)]
+    return pa.table([pa.array(columns[0], theirs["qid"].type), pa.array(columns[1], ours[key].type), pa.array(columns[2], pa.float64())], names=["qid", key, "score"])
 
 
 def hybrid(semantic: DataFrame, keyword: DataFrame, key: str = "doc_id", weight: float = 0.7) -> DataFrame:

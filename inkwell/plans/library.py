@@ -10,8 +10,9 @@ from pyspark.sql.window import Window
 from inkwell.operators import repair
 from inkwell.operators.graph import shared_folder
 from inkwell.operators.ranking import bm25, top
+from inkwell.operators.retrieval import batch_index, batch_top
 from inkwell.plans.registry import query
-from inkwell.plans.search import SQL_BATCH, SQL_BM25, asked, batch, keyword_side
+from inkwell.plans.search import SQL_BATCH, SQL_BM25, asked, batch
 from inkwell.plans.structure import SHORT, SQL_LINES
 from inkwell.sources import sinks, tables
 from inkwell.sources.tables import lines_of, table
@@ -75,10 +76,11 @@ def second_chance(spark, sf_dir):
 SELECT 'q' || qid AS a, 'p' || doc_id AS b, 'passage' AS kind FROM r UNION ALL SELECT DISTINCT 'p' || r.doc_id, 't' || p.token, 'term' FROM r JOIN q USING (qid) JOIN p ON p.doc_id = r.doc_id AND p.token = q.token""")
 def query_graph(spark, sf_dir):
     """Edges from each asking document to its three best passages, and from those to the asked terms in them."""
-    found = keyword_side(spark, sf_dir, 3).select("qid", "doc_id")
-    terms = batch(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr("transform(regexp_extract_all(text, \"[A-Za-z0-9']+\", 0), x -> lower(x))").alias("w"))
-    held = found.join(terms, "qid").join(docs, "doc_id").where(F.array_contains("w", F.col("token"))).select(F.concat(F.lit("p"), "doc_id").alias("a"), F.concat(F.lit("t"), "token").alias("b"), F.lit("term").alias("kind")).distinct()
+    docs = table(spark, sf_dir, "documents")
+    index = batch_index(docs, batch(spark, sf_dir))
+    found = batch_top(docs, None, 3, index=index).select("qid", "doc_id")
+    asked = found.join(index.queries.join(index.words, "token"), "qid").join(index.held.select("doc_id", "tids"), "doc_id").where(F.array_contains("tids", F.col("tid")))
+    held = asked.select(F.concat(F.lit("p"), "doc_id").alias("a"), F.concat(F.lit("t"), "token").alias("b"), F.lit("term").alias("kind")).distinct()
     return found.select(F.concat(F.lit("q"), "qid").alias("a"), F.concat(F.lit("p"), "doc_id").alias("b"), F.lit("passage").alias("kind")).unionByName(held)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from inkwell.functions.text import tokens
 from inkwell.operators.graph import staged
 from inkwell.operators.ranking import bm25, diversified, fused, postings, quantized, top
-from inkwell.operators.retrieval import STOP_WORDS, asked_terms, batch_top, best_window, fresh, hybrid, merged_results
+from inkwell.operators.retrieval import STOP_WORDS, asked_terms, batch_top, best_window, frequent_words, fresh, hybrid, merged_results
 from inkwell.operators.vectors import nearest_products, nearest_rows
 from inkwell.plans.registry import query
 from inkwell.sources.tables import lines_of, table
@@ -123,8 +123,7 @@ kr AS (SELECT qid, doc_id, round(score, 6) AS kw, row_number() OVER (PARTITION B
 def batch(spark, sf_dir):
     """(qid, token): every document whose id is divisible by 20 asks for its most frequent words."""
     asking = table(spark, sf_dir, "documents").where("doc_id % 20 = 0")
-    words = postings(asking).where((F.length("token") > 2) & ~F.col("token").isin(STOP_WORDS))
-    return top(words, TERMS, ["doc_id"], F.desc("tf"), "token").select(F.col("doc_id").alias("qid"), "token")
+    return frequent_words(asking, TERMS).withColumnRenamed("doc_id", "qid")
 
 
 def keyword_side(spark, sf_dir, k: int = 100, common: int | None = None):
