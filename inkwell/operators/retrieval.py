@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from inkwell.functions.text import tokens
 from inkwell.operators.contain import contained
 from inkwell.operators.graph import staged
-from inkwell.operators.ranking import lengths, postings, top
+from inkwell.operators.ranking import lengths, postings, rounds, top
 
 # Words that say nothing in a question.
 STOP_WORDS = """
@@ -63,8 +63,8 @@ def batch_bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", k1: flo
 
 #: Postings of a block of documents, queries of a block and rows that a block leaves, all in a task at a time. Words of a batch that may be broadcast.
 BLOCK_POSTINGS, BLOCK_QUERIES, BLOCK_ROWS, FEW_WORDS = 4_000_000, 262_144, 4_000_000, 200_000
-#: Blocks to deal a small index into, and tasks of a round at least; from how many blocks on they go in rounds, each this many times what went before.
-LEAST_BLOCKS, BOUNDED_FROM, LARGER = 12, 16, 4
+#: Blocks to deal a small index into, and tasks of a round at least.
+LEAST_BLOCKS = 12
 
 
 @dataclass
@@ -132,16 +132,6 @@ def batch_index(docs: DataFrame, queries: DataFrame, key: str = "doc_id") -> Bat
     return BatchIndex(words, queries, staged(held, "held"))
 
 
-def rounds(n: int) -> list[tuple[int, int]]:
-    """Stretches of n blocks that go one after the other: all at once if they are few, else the first one and then always LARGER times what is done."""
-    if n < BOUNDED_FROM:
-        return [(0, n)]
-    out = [(0, 1)]
-    while out[-1][1] < n:
-        out.append((out[-1][1], min(out[-1][1] * LARGER, n)))
-    return out
-
-
 def batch_top(docs: DataFrame, queries: DataFrame | None, k: int, key: str = "doc_id", k1: float = 1.5, b: float = 0.75, common: int | None = None, digits: int = 6, index: BatchIndex | None = None) -> DataFrame:
     """(qid, key, score, rank): the k best other documents of every query by `batch_bm25`, scores rounded, ties by key.
 
