@@ -80,17 +80,16 @@ def scored(chunks: DataFrame, semantic: DataFrame, keyword: DataFrame, questions
 
     chunks: key, text, context, scale, category, source; semantic: qid, key, sem; keyword: qid, key, kw; questions: qid, text. Chunks
     outside the categories are left out of both sides before each is taken over its best. Both sides are a bounded list a query; chunks meet
-    them by key, after what their texts say has become a factor.
+    them by key once, after what their texts say has become a factor, and what has met is dealt by query once.
     """
     kept = chunks if not categories else chunks.where(F.col("category").isin(categories))
-    scope = kept.select("key")
-    either = semantic.join(scope, "key", "left_semi").join(keyword.join(scope, "key", "left_semi"), ["qid", "key"], "full")
+    weighed = kept.withColumn("listed", listed_factor(F.col("text"), F.col("context")) * header_factor(F.col("text"), F.col("scale"))).drop("text", "context")  # once a chunk
+    met = semantic.join(keyword, ["qid", "key"], "full").join(weighed, "key")
     w = Window.partitionBy("qid")
     part = lambda c: F.coalesce(F.col(c), F.lit(0.0)) / F.greatest(F.coalesce(F.max(c).over(w), F.lit(1.0)), F.lit(1e-6))
-    base = either.select("qid", "key", (weights.semantic * part("sem") + weights.keyword * part("kw")).alias("base"))
+    base = met.withColumn("base", weights.semantic * part("sem") + weights.keyword * part("kw")).drop("sem", "kw")
     asked = questions.select("qid", named_works(F.col("text"), weights.works).alias("works"))
-    weighed = kept.withColumn("listed", listed_factor(F.col("text"), F.col("context")) * header_factor(F.col("text"), F.col("scale"))).drop("text", "context")  # once a chunk
-    rows = base.join(weighed, "key").join(asked, "qid", "left").withColumn("works", F.coalesce("works", F.array().cast("array<string>")))
+    rows = base.join(asked, "qid", "left").withColumn("works", F.coalesce("works", F.array().cast("array<string>")))
     source = F.lower(F.coalesce("source", F.lit("")))
     rows = rows.withColumn("named", F.exists("works", lambda x: source.contains(x)))
     title = F.when(F.col("named"), weights.named).when(F.size("works") > 0, 1.0).otherwise(_prior(F.col("source"), weights.priors))

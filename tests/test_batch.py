@@ -83,3 +83,10 @@ def test_terms_of_a_query_graph_come_from_the_index(spark):
 def test_frequent_words_of_a_text(spark):
     docs = spark.createDataFrame([(1, "The pear fig PEAR fig kiwi apple it's of"), (2, None), (3, "of the")], "doc_id long, text string")
     assert [tuple(r) for r in retrieval.frequent_words(docs, 3).collect()] == [(1, "fig"), (1, "pear"), (1, "apple")]
+
+
+def test_candidates_meet_chunks_once_and_are_dealt_by_query_once(spark):
+    """Both sides met the chunks by key before they met each other, and again with the base of their scores."""
+    df = QUERIES["retrieved_scores"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and plan.count("Join Inner, (key") == 1
