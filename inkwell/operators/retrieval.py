@@ -191,10 +191,11 @@ def best_of_block(ours: pa.Table, theirs: pa.Table, k: int, key: str, mean: floa
     ids, doc = np.unique(ours[key].to_numpy(), return_inverse=True)
     of, tid = sizes(ours), flat(ours, "tids")
     order = np.argsort(tid, kind="stable")
-    tid, tf, doc = tid[order], flat(ours, "tfs")[order].astype(np.float64), np.repeat(doc.astype(np.int32), of)[order]
-    damp = k1 * ((1 - b) + b * ours["len"].to_numpy().astype(np.float64) / mean)
-    damp = tf + np.repeat(damp, of)[order]
-    del order
+    tid, tf, place = tid[order], flat(ours, "tfs")[order], np.repeat(doc.astype(np.int32), of)[order]
+    damp = np.zeros(len(ids))
+    damp[doc] = k1 * ((1 - b) + b * ours["len"].to_numpy().astype(np.float64) / mean)
+    doc = place
+    del order, place
     qid, least, last = theirs["qid"].to_numpy(), theirs["least"].to_numpy(), pc.fill_null(theirs["last"], ours[key][0]).to_numpy()
     asked, idf = flat(theirs, "tids"), flat(theirs, "idfs")
     rare = flat(theirs, "rares") if "rares" in theirs.column_names else np.zeros(len(asked), dtype=bool)
@@ -204,7 +205,7 @@ def best_of_block(ours: pa.Table, theirs: pa.Table, k: int, key: str, mean: floa
     part = np.zeros(len(tid))
     first, end = np.searchsorted(tid, word), np.searchsorted(tid, word, "right")
     for a, z, x in zip(first.tolist(), end.tolist(), at.tolist(), strict=True):
-        part[a:z] = idf[x] * tf[a:z] * (k1 + 1) / damp[a:z]
+        part[a:z] = idf[x] * tf[a:z] * (k1 + 1) / (tf[a:z] + damp[doc[a:z]])
     del tf, damp
     place = np.searchsorted(word, asked)
     first, end = first[place], end[place]
